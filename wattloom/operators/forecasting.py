@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecols import HOUR_MS, last_hours
@@ -54,33 +54,33 @@ def fit_linear(windows: DataFrame) -> DataFrame:
     """Least-squares model from normalised windows; no windows give an empty model."""
     parts = windows.select("x", "y").mapInPandas(_partial_products, "i INT, j INT, v DOUBLE")
     products = parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return products.groupBy(F.lit(0)).applyInPandas(
-        lambda frame: _solve(frame), MODEL_SCHEMA
-    )
+    # 385 sums in all: one group holds them.
+    return products.groupBy().applyInPandas(_solve, MODEL_SCHEMA)
 
 
-def _predictions(model: DataFrame) -> Column:
-    """Prediction array of ``x``; outputs below zero become zero."""
+def _with_predictions(frame: DataFrame, model: DataFrame) -> DataFrame:
+    """Add ``yhat`` from ``x``; outputs below zero become zero."""
     horizons = F.sort_array(F.collect_list(F.struct("horizon", "intercept", "weights")))
-    rows = model.agg(horizons).scalar()
 
     def one(h: Column) -> Column:
         terms = F.zip_with(F.col("x"), h["weights"], lambda a, w: a * w)
         total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
         return F.greatest(F.lit(0.0), h["intercept"] + total)
 
-    return F.transform(rows, one)
+    # The 24 model rows travel as one scalar value, not as a join.
+    attached = frame.withColumn("_model", model.agg(horizons).scalar())
+    return attached.withColumn("yhat", F.transform("_model", one)).drop("_model")
 
 
 def predict(inputs: DataFrame, model: DataFrame, scaler: DataFrame) -> DataFrame:
     """Add ``yhat`` (24 values in watts, at least 0) to inputs ``x`` in watts."""
     scaled = apply_min_max(inputs, scaler, ["x"])
-    return invert_min_max(scaled.withColumn("yhat", _predictions(model)), scaler, ["yhat"])
+    return invert_min_max(_with_predictions(scaled, model), scaler, ["yhat"])
 
 
 def predict_normalised(windows: DataFrame, model: DataFrame, scaler: DataFrame) -> DataFrame:
     """Normalised ``x``, ``y`` and ``yhat`` for evaluation."""
-    return apply_min_max(windows, scaler, ["x", "y"]).withColumn("yhat", _predictions(model))
+    return _with_predictions(apply_min_max(windows, scaler, ["x", "y"]), model)
 
 
 def forecast(
@@ -126,3 +126,13 @@ def forecast_vs_actual(forecasts: DataFrame, features: DataFrame) -> DataFrame:
         "avg_power",
         (F.col("predicted_consumption") - F.col("avg_power")).alias("error"),
     )
+
+
+def mean_model(spark: SparkSession) -> DataFrame:
+    """A model that repeats the mean of the inputs; the yardstick for a fitted one."""
+    weights = F.array_repeat(F.lit(1.0 / SEQ_LEN), SEQ_LEN)
+    return spark.range(PRED_LEN).select(
+        F.col("id").cast("int").alias("horizon"),
+        F.lit(0.0).alias("intercept"),
+        weights.alias("weights"),
+    )

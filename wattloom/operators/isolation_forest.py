@@ -102,7 +102,7 @@ def grow_trees(
 ) -> DataFrame:
     """Tree nodes as rows, one grouped task per tree over the cell counts."""
     ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    per_tree = counts.select(F.explode(ids).cast("int").alias("tree_id"), *FEATURES, "n")
+    per_tree = counts.select(F.explode(ids).alias("tree_id"), *FEATURES, "n")
     return per_tree.groupBy("tree_id").applyInPandas(_tree_grower(sample, seed), TREE_SCHEMA)
 
 

@@ -14,17 +14,19 @@ def _metric(name: str) -> Column:
     return F.try_element_at("metrics", F.lit(name))
 
 
-def best_runs(runs: DataFrame, experiment: str, metric: str, limit: int = BEST_RUNS) -> DataFrame:
-    """Runs with the lowest metric; runs without it come last."""
+def compare_runs(runs: DataFrame, experiment: str, metric: str) -> DataFrame:
+    """All runs of an experiment, lowest metric first; runs without it come last."""
     return (
         runs.where(F.col("experiment") == experiment)
-        .withColumn("metric", _metric(metric))
+        .select("run_id", "experiment", "ts", _metric(metric).alias("metric"))
         .orderBy(F.asc_nulls_last("metric"), "ts", "run_id")
-        .limit(limit)
-        .select("run_id", "experiment", "ts", "metric")
     )
 
 
+def best_runs(runs: DataFrame, experiment: str, metric: str, limit: int = BEST_RUNS) -> DataFrame:
+    return compare_runs(runs, experiment, metric).limit(limit)
+
+
 def recent_runs(runs: DataFrame, experiment: str, limit: int = BEST_RUNS) -> DataFrame:
     return (
         runs.where(F.col("experiment") == experiment)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_active
@@ -57,24 +57,22 @@ def fit_min_max(windows: DataFrame) -> DataFrame:
     return windows.agg(F.min(low).alias("low"), F.max(high).alias("high"))
 
 
-def _span(s: Column) -> Column:
-    """A constant series scales by 1."""
-    return F.when(s["high"] > s["low"], s["high"] - s["low"]).otherwise(F.lit(1.0))
+def _with_range(frame: DataFrame, scaler: DataFrame) -> DataFrame:
+    """Attach the fitted range as a struct column; a constant series scales by 1."""
+    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+    return frame.withColumn("_fit", scaler.select(F.struct("low", span.alias("span"))).scalar())
 
 
 def apply_min_max(frame: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
-    s = scaler.select(F.struct("low", "high")).scalar()
-    return frame.withColumns(
-        {c: F.transform(c, lambda v: (v - s["low"]) / _span(s)) for c in columns}
-    )
+    low, span = F.col("_fit.low"), F.col("_fit.span")
+    scaled = {c: F.transform(c, lambda v: (v - low) / span) for c in columns}
+    return _with_range(frame, scaler).withColumns(scaled).drop("_fit")
 
 
 def invert_min_max(frame: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
     """Back to watts, no negatives."""
-    s = scaler.select(F.struct("low", "high")).scalar()
-    return frame.withColumns(
-        {
-            c: F.transform(c, lambda v: F.greatest(F.lit(0.0), v * _span(s) + s["low"]))
-            for c in columns
-        }
-    )
+    low, span = F.col("_fit.low"), F.col("_fit.span")
+    watts = {
+        c: F.transform(c, lambda v: F.greatest(F.lit(0.0), v * span + low)) for c in columns
+    }
+    return _with_range(frame, scaler).withColumns(watts).drop("_fit")
