@@ -108,24 +108,22 @@ def grow_trees(
 
 def _cell_paths(tree: pd.DataFrame) -> pd.DataFrame:
     """Normalised path length of each of the 336 cells in one tree."""
-    nodes = tree.set_index("node")
+    tree = tree.sort_values("node")  # nodes are numbered 0, 1, 2, ...
+    feature, cut = tree["feature"].to_numpy(), tree["threshold"].to_numpy()
+    left, right = tree["left_node"].to_numpy(), tree["right_node"].to_numpy()
+    depth, size = tree["depth"].to_numpy(), tree["size"].to_numpy()
     grid = np.stack(np.meshgrid(*[np.arange(k) for k in SHAPE], indexing="ij"), -1)
     points = grid.reshape(-1, len(SHAPE))
-    norm = average_path(int(nodes.loc[0, "size"])) or 1.0
+    norm = average_path(int(size[0])) or 1.0
     path = np.zeros(len(points))
     todo = [(0, np.arange(len(points)))]
     while todo:
         node, members = todo.pop()
-        row = nodes.loc[node]
-        feature = int(row["feature"])
-        if feature < 0:
-            path[members] = (row["depth"] + average_path(int(row["size"]))) / norm
+        if feature[node] < 0:
+            path[members] = (depth[node] + average_path(int(size[node]))) / norm
             continue
-        below = points[members, feature] <= row["threshold"]
-        todo += [
-            (int(row["left_node"]), members[below]),
-            (int(row["right_node"]), members[~below]),
-        ]
+        below = points[members, feature[node]] <= cut[node]
+        todo += [(left[node], members[below]), (right[node], members[~below])]
     frame = pd.DataFrame(points, columns=FEATURES)
     frame.insert(0, "tree_id", int(tree["tree_id"].iloc[0]))
     frame["path"] = path

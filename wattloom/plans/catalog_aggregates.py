@@ -333,10 +333,10 @@ def _(v: Views):
 
 
 @query("e5_latest_inputs", """
-SELECT node_id, string_agg(printf('%.6f', avg_power), ',' ORDER BY timestamp) AS x
+SELECT node_id, string_agg(printf('%.9f', avg_power), ',' ORDER BY timestamp) AS x
 FROM numbered WHERE n - rn < 10 GROUP BY node_id HAVING count(*) = 10""")
 def _(v: Views):
-    texts = F.transform("x", lambda x: F.format_string("%.6f", x))
+    texts = F.transform("x", lambda x: F.format_string("%.9f", x))
     return sequences.latest_inputs(v.hourly).select("node_id", F.array_join(texts, ",").alias("x"))
 
 

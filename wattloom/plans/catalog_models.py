@@ -255,7 +255,7 @@ def _(v: Views):
 @query("j10_min_max_round_trip", """
 WITH s AS (SELECT min(list_min(w)) AS low, max(list_max(w)) AS high FROM windows)
 SELECT node_id, start_ms, round((w[1] - low) / (high - low), 9) AS scaled_first,
-       round(greatest(0.0, w[1]), 6) AS restored_first
+       round(greatest(0.0, w[1]), 9) AS restored_first
 FROM windows, s""")
 def _(v: Views):
     windows = sequences.sliding_windows(v.hourly)
@@ -264,7 +264,7 @@ def _(v: Views):
     both = scaling.invert_min_max(scaled, scaler, ["back"])
     return both.select(
         "node_id", "start_ms", F.round(F.col("x")[0], 9).alias("scaled_first"),
-        F.round(F.col("back")[0], 6).alias("restored_first"),
+        F.round(F.col("back")[0], 9).alias("restored_first"),
     )
 
 
