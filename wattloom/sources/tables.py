@@ -70,12 +70,12 @@ def purge_days(spark: SparkSession, path: str, table: str, as_of_ms: int, days:
     """
     limit = cutoff_ms(as_of_ms, days)
     limit_day = datetime.fromtimestamp(limit / 1000, tz=UTC).date()
-    boundary = spark.read.parquet(path).where(F.col(DAY) == F.lit(limit_day))
-    layers = [c for c in (DAY, BATCH) if c in boundary.columns]
-    replace_days(kept(boundary, table, as_of_ms, days), path, layers)
+    boundary = lambda: spark.read.parquet(path).where(F.col(DAY) == F.lit(limit_day))
+    before = boundary()
+    layers = [c for c in (DAY, BATCH) if c in before.columns]
+    replace_days(kept(before, table, as_of_ms, days), path, layers)
     # What is still expired on that day sits in partitions without survivors.
-    spark.catalog.refreshByPath(path)
-    rest = boundary.where(expired(table, as_of_ms, days)).select(*layers).distinct()
+    rest = boundary().where(expired(table, as_of_ms, days)).select(*layers).distinct()
     gone = ["/".join(f"{c}={row[c]}" for c in layers) for row in rest.collect()]
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -85,4 +85,3 @@ def purge_days(spark: SparkSession, path: str, table: str, as_of_ms: int, days:
             gone.append(name)
     for name in gone:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-    spark.catalog.refreshByPath(path)
