@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,14 +24,14 @@ class Feed:
 
     def __init__(self, folder):
         self.path, self.sent = folder + "/in", 0
-        import os
-
         os.makedirs(self.path)
 
     def send(self, *values, topic="energy/nodes/plug_01/telemetry"):
-        with open(f"{self.path}/{self.sent:04d}.json", "w") as out:
+        path = f"{self.path}/{self.sent:04d}.json"
+        with open(path, "w") as out:
             for i, value in enumerate(values):
                 out.write(json.dumps({"topic": topic, "seq": self.sent * 1000 + i, "value": value}) + "\n")
+        os.utime(path, (1_700_000_000 + self.sent,) * 2)  # files are read in time order
         self.sent += 1
 
     def stream(self, spark):
