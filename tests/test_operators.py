@@ -61,6 +61,14 @@ def test_sample_is_exact_and_partition_independent(spark):
     assert ranked.reproducible_sample(spark.range(5), 700, ["id"]).count() == 5
 
 
+@pytest.mark.parametrize("n", [1, 40, 250, 999, 1000, 5000])
+def test_oldest_rows_match_a_sort(spark, n):
+    rng = random.Random(n)
+    rows = sorted((BASE + rng.randrange(0, 3 * HOUR, 900_000), f"n{i:04d}") for i in range(1000))
+    frame = spark.createDataFrame(rows, "timestamp BIGINT, node_id STRING").repartition(6)
+    assert [tuple(r) for r in ranked.oldest_rows(frame, n).collect()] == rows[:n]
+
+
 def test_limits_are_checked(spark):
     for bad in (0, 1001):
         with pytest.raises(ValueError):

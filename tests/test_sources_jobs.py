@@ -152,6 +152,20 @@ def test_daily_run_is_repeatable(spark, folder):
     assert tuple(total) == (375.0, 150)
 
 
+def test_incremental_features_equal_a_full_run(spark, folder):
+    rng_power = "CAST(pmod(xxhash64(node_id, timestamp), 1000) AS DOUBLE) / 8"
+    data = readings(spark, 40 * 24).unionByName(readings(spark, 300, "b", step=5 * HOUR_MS))
+    data = data.withColumn("power", F.expr(rng_power)).where("timestamp % 7 <> 3")
+    split = BASE + 33 * DAY_MS
+    jobs.feature_job(data, folder + "/full")
+    jobs.feature_job(data.where(F.col("timestamp") < split), folder + "/inc")
+    jobs.feature_job(data, folder + "/inc", since_ms=split)
+    drop = ["created_at"]
+    full, inc = (spark.read.parquet(f"{folder}/{n}").drop(*drop) for n in ("full", "inc"))
+    assert inc.count() == full.count()
+    assert full.exceptAll(inc).count() == 0
+
+
 def test_validation_gate(spark):
     data = readings(spark, 48).withColumn("created_at", F.timestamp_millis("timestamp"))
     ok = jobs.validation_gate(data, "2024-01-01 00:00:00", "2024-01-02 00:00:00").first()

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -103,7 +103,14 @@ def grow_trees(
     """Tree nodes as rows, one grouped task per tree over the cell counts."""
     ids = F.sequence(F.lit(0), F.lit(trees - 1))
     per_tree = counts.select(F.explode(ids).alias("tree_id"), *FEATURES, "n")
-    return per_tree.groupBy("tree_id").applyInPandas(_tree_grower(sample, seed), TREE_SCHEMA)
+    return _by_tree(per_tree, trees).applyInPandas(_tree_grower(sample, seed), TREE_SCHEMA)
+
+
+def _by_tree(frame: DataFrame, trees: int) -> GroupedData:
+    """Group by tree over a fixed number of tasks; AQE would merge such small data
+    into one task, although the work per row is large."""
+    tasks = min(trees, frame.sparkSession.sparkContext.defaultParallelism)
+    return frame.repartition(tasks, "tree_id").groupBy("tree_id")
 
 
 def _cell_paths(tree: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +141,7 @@ def score_cells(
     trees: DataFrame, counts: DataFrame, contamination: float = CONTAMINATION
 ) -> DataFrame:
     """Score of every cell: raw score minus the training data's contamination quantile."""
-    paths = trees.groupBy("tree_id").applyInPandas(_cell_paths, PATH_SCHEMA)
+    paths = _by_tree(trees, TREES).applyInPandas(_cell_paths, PATH_SCHEMA)
     raw = paths.groupBy(*FEATURES).agg((-F.pow(F.lit(2.0), -F.avg("path"))).alias("raw"))
     # At most 336 rows from here on.
     weighted = raw.join(counts, FEATURES)

@@ -57,14 +57,15 @@ def sequence_gaps(health: DataFrame) -> DataFrame:
     """
     rows = health.select("node_id", "timestamp", "sequence_no", hour_ms("timestamp").alias("hour"))
     within = Window.partitionBy("node_id", "hour").orderBy("timestamp", "sequence_no")
-    seen = rows.withColumn("before", F.lag("sequence_no").over(within))
-    across = Window.partitionBy("node_id").orderBy("hour")
-    carried = (
-        rows.groupBy("node_id", "hour")
-        .agg(F.max(F.struct("timestamp", "sequence_no")).alias("last"))
-        .withColumn("carry", F.lag("last.sequence_no").over(across))
-        .select("node_id", "hour", "carry")
+    seen = rows.withColumns(
+        {
+            "before": F.lag("sequence_no").over(within),
+            "is_last": F.lead("timestamp").over(within).isNull(),
+        }
     )
+    across = Window.partitionBy("node_id").orderBy("hour")
+    last = seen.where("is_last").select("node_id", "hour", "sequence_no")
+    carried = last.select("node_id", "hour", F.lag("sequence_no").over(across).alias("carry"))
     linked = seen.join(carried, ["node_id", "hour"]).withColumn(
         "previous", F.coalesce("before", "carry")
     )
@@ -78,10 +79,15 @@ def sequence_gaps(health: DataFrame) -> DataFrame:
 
 
 def field_pivot(points: DataFrame, fields: list[str]) -> DataFrame:
-    """Tall points ``(node_id, timestamp, field, value)`` to one row per node and time."""
-    return (
-        points.groupBy("node_id", "timestamp").pivot("field", fields).agg(F.first("value"))
-    )
+    """Tall points ``(node_id, timestamp, field, value)`` to one row per node and time.
+
+    The fields are known, so one aggregate does it; a pivot would shuffle twice.
+    """
+    values = [
+        F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).alias(f)
+        for f in fields
+    ]
+    return points.groupBy("node_id", "timestamp").agg(*values)
 
 
 def to_points(telemetry: DataFrame, fields: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timecols import hour_ms
+
 MAX_LIMIT = 1000
 
 
@@ -23,6 +25,25 @@ def check_limit(limit: int, low: int = 1, high: int = MAX_LIMIT) -> int:
     return limit
 
 
+def oldest_rows(frame: DataFrame, n: int, time: str = "timestamp", tie: str = "node_id") -> DataFrame:
+    """The ``n`` oldest rows, for limits too large for a plain top-k.
+
+    A top-k sends ``n`` rows per task to one task. Counts per hour, then per
+    millisecond of the hour that completes ``n`` rows, give the exact cutoff time, so
+    only about ``n`` rows are left to order.
+    """
+    up_to = lambda c: Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+    count = F.count(F.lit(1)).alias("c")
+    hours = frame.groupBy(hour_ms(time).alias("t")).agg(count)
+    full = hours.withColumn("cum", F.sum("c").over(up_to("t"))).where(F.col("cum") >= n)
+    last = full.agg(F.min(F.struct("t", (F.col("cum") - F.col("c")).alias("before")))).scalar()
+    within = frame.where(hour_ms(time) == last["t"]).groupBy(F.col(time).alias("t")).agg(count)
+    reached = within.withColumn("cum", F.sum("c").over(up_to("t")) + last["before"])
+    cutoff = reached.agg(F.min(F.when(F.col("cum") >= n, F.col("t")))).scalar()
+    kept = frame.where(F.col(time) <= F.coalesce(cutoff, F.col(time)))
+    return kept.orderBy(time, tie).limit(n)
+
+
 def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 50_000) -> DataFrame:
     """One row ``quantile``: the linearly interpolated ``q`` quantile, exact.
 

@@ -376,6 +376,12 @@ def _(v: Views):
     return v.forecasts.orderBy("node_id", "timestamp")
 
 
+@query("f4_oldest_rows", """
+SELECT event_id, node_id, timestamp FROM telemetry ORDER BY timestamp, node_id LIMIT 5000""")
+def _(v: Views):
+    return ranked.oldest_rows(v.telemetry, 5000).select("event_id", "node_id", "timestamp")
+
+
 @query("f5_best_runs", """
 SELECT run_id, experiment, ts, test_mape AS metric FROM runs
 WHERE experiment = 'load-forecasting' ORDER BY test_mape, ts, run_id LIMIT 10""")

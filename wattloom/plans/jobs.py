@@ -9,10 +9,12 @@ from ..functions.timecols import last_days
 from ..operators import features as feat
 from ..operators import forecasting, nodes, quality, rollups, runs, scaling, sequences
 from ..operators import isolation_forest as forest
+from ..operators.serving import between_ms
 from ..session import materialise
-from ..sources.tables import DAY, replace_days, with_day
+from ..sources.tables import DAY, read_days, replace_days, with_day
 
 LOOKBACK_DAYS = 30  # fixed value
+MAX_MS = 9_999_999_999_999
 
 
 class ValidationFailed(ValueError):
@@ -33,11 +35,25 @@ def batch_analytics(telemetry: DataFrame, metadata: DataFrame, hourly_path: str,
     replace_days(daily.withColumn(DAY, F.col("date")), daily_path)
 
 
-def feature_job(telemetry: DataFrame, path: str) -> DataFrame:
-    """Hourly features, written by day; returns the quality counts of what was written."""
-    features = feat.engineer_features(feat.hourly_features(telemetry))
+def feature_job(telemetry: DataFrame, path: str, since_ms: int | None = None) -> DataFrame:
+    """Hourly features, written by day; returns the quality counts of the table.
+
+    With ``since_ms`` (a day start) only readings from that day on are aggregated. Lags
+    and rolling values of the new hours then use the hourly measures already stored,
+    which gives the same rows as recomputing everything without scanning old readings.
+    """
+    spark = telemetry.sparkSession
+    if since_ms is None:
+        features = feat.engineer_features(feat.hourly_features(telemetry))
+    else:
+        fresh = feat.hourly_features(between_ms(telemetry, since_ms, MAX_MS))
+        stored = read_days(spark, path, "energy_features").where(F.col("timestamp") < since_ms)
+        history = stored.select(*fresh.columns)
+        # Written before the table it was read from is replaced.
+        hourly = materialise(history.unionByName(fresh))
+        features = feat.engineer_features(hourly).where(F.col("timestamp") >= since_ms)
     replace_days(with_day(features.drop("feature_timestamp")), path)
-    return feat.feature_quality(telemetry.sparkSession.read.parquet(path))
+    return feat.feature_quality(spark.read.parquet(path))
 
 
 def daily_run(

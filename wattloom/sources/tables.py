@@ -26,17 +26,24 @@ def with_day(frame: DataFrame, ms: str = "timestamp") -> DataFrame:
 
 
 def replace_days(frame: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Write, replacing exactly the partitions present in ``frame``; safe to re-run."""
+    """Write, replacing exactly the partitions present in ``frame``; safe to re-run.
+
+    The rebalance groups rows by partition into files of the advisory size: small
+    partitions share a task and AQE splits a large one, so neither many small files
+    nor one huge task results.
+    """
+    layers = by or [DAY]
     (
-        frame.write.mode("overwrite")
+        frame.hint("rebalance", *layers)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*(by or [DAY]))
+        .partitionBy(*layers)
         .parquet(path)
     )
 
 
 def append_days(frame: DataFrame, path: str) -> None:
-    frame.write.mode("append").partitionBy(DAY).parquet(path)
+    frame.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def read_days(
