@@ -193,7 +193,7 @@ def test_linear_model_recovers_a_linear_series(spark):
     frame = hourly(spark, {"a": 200, "b": 150}, lambda node, i: (3.0 if node == "a" else 5.0) * i + 2)
     windows = sequences.sliding_windows(frame, stride=2).repartition(3)
     scaler = scaling.fit_min_max(windows)
-    model = forecasting.fit_linear(scaling.apply_min_max(windows, scaler, ["x", "y"]))
+    model = forecasting.fit_linear(windows, scaler)
     assert model.count() == 24
     as_of = BASE + 200 * HOUR
     out = forecasting.forecast(frame.where("node_id = 'a'"), model, scaler, as_of).orderBy("timestamp").collect()
@@ -208,7 +208,7 @@ def test_forecasts_are_not_negative(spark):
     frame = hourly(spark, {"a": 120}, lambda _, i: 100.0 - i)
     windows = sequences.sliding_windows(frame)
     scaler = scaling.fit_min_max(windows)
-    model = forecasting.fit_linear(scaling.apply_min_max(windows, scaler, ["x", "y"]))
+    model = forecasting.fit_linear(windows, scaler)
     out = forecasting.forecast(frame, model, scaler, BASE + 120 * HOUR)
     assert out.count() == 24
     assert out.where("predicted_consumption < 0").count() == 0
@@ -220,7 +220,7 @@ def test_no_windows_give_null_errors(spark):
     scored = forecasting.predict_normalised(windows, forecasting.mean_model(spark), scaler)
     row = forecasting.forecast_errors(scored).first()
     assert row["test_rmse"] is None and row["test_mape"] is None
-    assert forecasting.fit_linear(windows).count() == 0
+    assert forecasting.fit_linear(windows, scaler).count() == 0
 
 
 def test_min_max_round_trip_and_constant_series(spark):

@@ -11,30 +11,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecols import HOUR_MS, last_hours
-from .scaling import apply_min_max, invert_min_max
+from .scaling import apply_min_max, invert_min_max, with_range
 from .sequences import PRED_LEN, SEQ_LEN, latest_inputs
 
 MODEL_SCHEMA = "horizon INT, intercept DOUBLE, weights ARRAY<DOUBLE>"
 
 
-def _partial_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's share of the normal equations, on normalised values."""
     total = np.zeros((SEQ_LEN + 1, SEQ_LEN + 1 + PRED_LEN))
     rows = 0
     for batch in batches:
-        if batch.empty:
+        if batch.num_rows == 0:
             continue
-        x = np.stack(batch["x"].to_numpy())
-        y = np.stack(batch["y"].to_numpy())
+        low, span = batch["low"][0].as_py(), batch["span"][0].as_py()
+        x = (_matrix(batch["x"], SEQ_LEN) - low) / span
+        y = (_matrix(batch["y"], PRED_LEN) - low) / span
         design = np.hstack([np.ones((len(x), 1)), x])
         total += design.T @ np.hstack([design, y])
         rows += len(x)
     if rows:
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+        i, j = np.indices(total.shape, dtype=np.int32)
+        columns = {"i": i.ravel(), "j": j.ravel(), "v": total.ravel()}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def _solve(products: pd.DataFrame) -> pd.DataFrame:
@@ -50,9 +58,14 @@ def _solve(products: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def fit_linear(windows: DataFrame) -> DataFrame:
-    """Least-squares model from normalised windows; no windows give an empty model."""
-    parts = windows.select("x", "y").mapInPandas(_partial_products, "i INT, j INT, v DOUBLE")
+def fit_linear(windows: DataFrame, scaler: DataFrame) -> DataFrame:
+    """Least-squares model over normalised windows; no windows give an empty model.
+
+    Windows are given in watts and normalised inside the task.
+    """
+    fitted = with_range(windows.select("x", "y"), scaler)
+    flat = fitted.select("x", "y", "_fit.low", "_fit.span")
+    parts = flat.mapInArrow(_partial_products, "i INT, j INT, v DOUBLE")
     products = parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
     # 385 sums in all: one group holds them.
     return products.groupBy().applyInPandas(_solve, MODEL_SCHEMA)

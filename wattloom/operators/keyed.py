@@ -52,29 +52,29 @@ def sequence_gaps(health: DataFrame) -> DataFrame:
     """Jumps of more than one in a node's ``sequence_no``.
 
     A window per node over raw messages would put a hot node into one task. Messages
-    are compared within node and hour; the first of an hour is compared with the last
-    of the node's previous hour, found on one summary row per node and hour.
+    are compared within node and hour. Only the first and last message of each hour,
+    at most two rows per node and hour, go on to a window per node that compares the
+    first of an hour with the last of the node's hour before.
     """
     rows = health.select("node_id", "timestamp", "sequence_no", hour_ms("timestamp").alias("hour"))
-    within = Window.partitionBy("node_id", "hour").orderBy("timestamp", "sequence_no")
+    order = ["timestamp", "sequence_no"]
+    within = Window.partitionBy("node_id", "hour").orderBy(*order)
     seen = rows.withColumns(
         {
-            "before": F.lag("sequence_no").over(within),
+            "previous": F.lag("sequence_no").over(within),
+            "is_first": F.row_number().over(within) == 1,
             "is_last": F.lead("timestamp").over(within).isNull(),
         }
     )
-    across = Window.partitionBy("node_id").orderBy("hour")
-    last = seen.where("is_last").select("node_id", "hour", "sequence_no")
-    carried = last.select("node_id", "hour", F.lag("sequence_no").over(across).alias("carry"))
-    linked = seen.join(carried, ["node_id", "hour"]).withColumn(
-        "previous", F.coalesce("before", "carry")
-    )
-    return linked.where(F.col("sequence_no") - F.col("previous") > 1).select(
-        "node_id",
-        "timestamp",
-        "previous",
-        "sequence_no",
-        (F.col("sequence_no") - F.col("previous") - 1).alias("missing"),
+    across = Window.partitionBy("node_id").orderBy(*order)
+    edges = seen.where(F.col("is_first") | F.col("is_last"))
+    firsts = edges.withColumn("previous", F.lag("sequence_no").over(across)).where("is_first")
+    missing = F.col("sequence_no") - F.col("previous") - 1
+    return (
+        seen.where(~F.col("is_first"))
+        .unionByName(firsts)
+        .where(missing > 0)
+        .select("node_id", "timestamp", "previous", "sequence_no", missing.alias("missing"))
     )
 
 

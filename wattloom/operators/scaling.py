@@ -57,7 +57,7 @@ def fit_min_max(windows: DataFrame) -> DataFrame:
     return windows.agg(F.min(low).alias("low"), F.max(high).alias("high"))
 
 
-def _with_range(frame: DataFrame, scaler: DataFrame) -> DataFrame:
+def with_range(frame: DataFrame, scaler: DataFrame) -> DataFrame:
     """Attach the fitted range as a struct column; a constant series scales by 1."""
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
     return frame.withColumn("_fit", scaler.select(F.struct("low", span.alias("span"))).scalar())
@@ -66,7 +66,7 @@ def _with_range(frame: DataFrame, scaler: DataFrame) -> DataFrame:
 def apply_min_max(frame: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
     low, span = F.col("_fit.low"), F.col("_fit.span")
     scaled = {c: F.transform(c, lambda v: (v - low) / span) for c in columns}
-    return _with_range(frame, scaler).withColumns(scaled).drop("_fit")
+    return with_range(frame, scaler).withColumns(scaled).drop("_fit")
 
 
 def invert_min_max(frame: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,4 +75,4 @@ def invert_min_max(frame: DataFrame, scaler: DataFrame, columns: list[str]) -> D
     watts = {
         c: F.transform(c, lambda v: F.greatest(F.lit(0.0), v * span + low)) for c in columns
     }
-    return _with_range(frame, scaler).withColumns(watts).drop("_fit")
+    return with_range(frame, scaler).withColumns(watts).drop("_fit")

@@ -113,8 +113,7 @@ def train_forecaster(hourly: DataFrame, stride: int = sequences.TRAIN_STRIDE):
             f"(need at least {sequences.WINDOW})"
         )
     scaler = materialise(scaling.fit_min_max(windows))
-    model = forecasting.fit_linear(scaling.apply_min_max(windows, scaler, ["x", "y"]))
-    return materialise(model), scaler
+    return materialise(forecasting.fit_linear(windows, scaler)), scaler
 
 
 def retrain_forecaster(features: DataFrame, run_id: str, as_of_ms: int):
