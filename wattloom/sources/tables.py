@@ -6,9 +6,8 @@ and a re-run replaces only the days it recomputes (dynamic partition overwrite).
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,20 +45,38 @@ def append_days(frame: DataFrame, path: str) -> None:
     frame.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and a function from text to its path objects."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    return to_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), to_path
+
+
 def read_days(
-    spark: SparkSession, path: str, table: str, extra: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    table: str,
+    extra: list[str] | None = None,
+    days: list[date] | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
-    """A day-partitioned table; empty with the declared schema when nothing is stored."""
+    """A day-partitioned table; empty with the declared schema when nothing is stored.
+
+    With ``days`` (and ``batch`` below them) only those folders are listed, which keeps
+    a micro-batch from listing the whole table.
+    """
     fields = list(schema(table).fields)
     fields += [T.StructField(c, T.StringType()) for c in extra or []]
     fields.append(T.StructField(DAY, T.DateType()))
     declared = T.StructType(fields)
-    try:
-        return spark.read.schema(declared).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    folders = [path]
+    if days is not None:
+        below = f"/{BATCH}={batch}" if batch is not None else ""
+        folders = [f"{path}/{DAY}={day.isoformat()}{below}" for day in days]
+    fs, to_path = _file_system(spark, path)
+    stored = [folder for folder in folders if fs.exists(to_path(folder))]
+    if not stored:
         return spark.createDataFrame([], declared)
+    return spark.read.schema(declared).option("basePath", path).parquet(*stored)
 
 
 def write_points(readings: DataFrame, path: str) -> None:
@@ -84,11 +101,10 @@ def purge_days(spark: SparkSession, path: str, table: str, as_of_ms: int, days:
     # What is still expired on that day sits in partitions without survivors.
     rest = boundary().where(expired(table, as_of_ms, days)).select(*layers).distinct()
     gone = ["/".join(f"{c}={row[c]}" for c in layers) for row in rest.collect()]
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root):
+    fs, to_path = _file_system(spark, path)
+    for status in fs.listStatus(to_path(path)):
         name = status.getPath().getName()
         if name.startswith(f"{DAY}=") and name.split("=", 1)[1] < limit_day.isoformat():
             gone.append(name)
     for name in gone:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+        fs.delete(to_path(f"{path}/{name}"), True)

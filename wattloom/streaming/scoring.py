@@ -112,11 +112,10 @@ def scoring_sink(
             if cells is None:
                 return
             scored = forest.detect(past_learning(readings, seen, clock()), cells)
-            append_batch(anomalies_of(scored), records_path, batch)
+            found = anomalies_of(scored)
+            append_batch(found, records_path, batch)
             if send is not None:
-                stored = read_days(spark, records_path, "anomaly_records", [BATCH])
-                sent = stored.where(F.col(BATCH) == batch).drop(BATCH, "event_date")
-                send(sent.withColumnRenamed("score", "anomaly_score"))
+                send(found.withColumnRenamed("score", "anomaly_score"))
         finally:
             readings.unpersist()
 

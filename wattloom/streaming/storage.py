@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from ..sources.tables import BATCH, DAY, read_days, replace_days, with_day, writ
 
 log = logging.getLogger(__name__)
 
+# Beyond this many days in one batch the time spans are left out of the filter.
+MAX_SPANS = 100
+
 Secondary = Callable[[DataFrame], None]
 
 
@@ -36,16 +41,17 @@ def insert_batch(
     """Insert rows whose key is not stored yet; returns the rows of this batch."""
     spark, keys = rows.sparkSession, KEYS[table]
     dated = with_day(rows, time)
-    # Only the days present in the batch are searched for stored keys.
-    days = [r[0] for r in dated.select(DAY).distinct().collect()]
-    stored = read_days(spark, path, table, [BATCH]).where(
-        F.col(DAY).isin(days) & (F.col(BATCH) != batch)
-    )
+    # One row per day of the batch: only those folders are searched for stored keys,
+    # and within them only row groups that reach into the batch's time span.
+    spans = dated.groupBy(DAY).agg(F.min(time).alias("a"), F.max(time).alias("b")).collect()
+    days = [r[DAY] for r in spans]
+    stored = read_days(spark, path, table, [BATCH], days).where(F.col(BATCH) != batch)
+    if 0 < len(spans) <= MAX_SPANS:
+        spanned = [(F.col(DAY) == r[DAY]) & F.col(time).between(r["a"], r["b"]) for r in spans]
+        stored = stored.where(reduce(or_, spanned))
     new = insert_if_absent(dated, stored, keys, order).drop(order)
     replace_days(new.withColumn(BATCH, F.lit(batch)), path, [DAY, BATCH])
-    return read_days(spark, path, table, [BATCH]).where(
-        F.col(DAY).isin(days) & (F.col(BATCH) == batch)
-    )
+    return read_days(spark, path, table, [BATCH], days, batch)
 
 
 def telemetry_sink(
@@ -87,8 +93,11 @@ def summary_sink(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(summaries: DataFrame, batch_id: int) -> None:
         batch = batch_name(summaries.sparkSession, batch_id)
-        ordered = summaries.withColumn("seq", F.col("window_end"))
-        insert_batch(ordered, path, "stream_summaries", "seq", batch, "window_start")
+        ordered = summaries.withColumn("seq", F.col("window_end")).persist()
+        try:
+            insert_batch(ordered, path, "stream_summaries", "seq", batch, "window_start")
+        finally:
+            ordered.unpersist()
 
     return write
 
@@ -145,9 +154,10 @@ def router_sink(
 def start_sink(
     messages: DataFrame, sink, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
+    """Run a sink; meters report once a minute, so that is the default batch interval."""
     return (
         messages.writeStream.foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "2 seconds"}))
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
