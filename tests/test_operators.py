@@ -204,6 +204,34 @@ def test_linear_model_recovers_a_linear_series(spark):
     assert errors["test_rmse"] < 1e-6 and errors["test_mape"] < 1e-3
 
 
+def test_model_and_errors_match_numpy(spark):
+    """Brute force over every window of a small irregular fixture."""
+    rng = random.Random(11)
+    series = {"a": 90, "b": 60, "c": 20}
+    values = {(n, i): rng.uniform(0, 500) for n, k in series.items() for i in range(k)}
+    frame = hourly(spark, series, lambda node, i: values[(node, i)])
+    windows = sequences.sliding_windows(frame).repartition(5)
+    scaler = scaling.fit_min_max(windows)
+    model = forecasting.fit_linear(windows, scaler)
+    flat = np.array(
+        [[values[(n, i + k)] for k in range(34)] for n, c in series.items() for i in range(c - 33)]
+    )
+    norm = (flat - flat.min()) / (flat.max() - flat.min())
+    design = np.hstack([np.ones((len(norm), 1)), norm[:, :10]])
+    want = np.linalg.lstsq(design, norm[:, 10:], rcond=None)[0]
+    got = {r.horizon: [r.intercept, *r.weights] for r in model.collect()}
+    for h in range(24):
+        assert got[h] == pytest.approx(want[:, h].tolist(), abs=1e-8)
+    guess = np.maximum(0.0, design @ want)
+    errors = forecasting.forecast_errors(
+        forecasting.predict_normalised(windows, model, scaler)
+    ).first()
+    truth = norm[:, 10:]
+    assert errors["test_rmse"] == pytest.approx(np.sqrt(np.mean((guess - truth) ** 2)), rel=1e-9)
+    mape = np.mean(np.abs((truth - guess) / (np.abs(truth) + 1e-8)))
+    assert errors["test_mape"] == pytest.approx(mape, rel=1e-6)
+
+
 def test_forecasts_are_not_negative(spark):
     frame = hourly(spark, {"a": 120}, lambda _, i: 100.0 - i)
     windows = sequences.sliding_windows(frame)

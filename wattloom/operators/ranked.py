@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timecols import hour_ms
 
 MAX_LIMIT = 1000
+SLOTS = 10_000
 
 
 def newest(frame: DataFrame, time: str, limit: int, ties: list[str]) -> DataFrame:
@@ -50,9 +51,9 @@ def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 50_0
     The built-in exact percentile gathers every distinct value in one task. Here a
     fixed-size sketch brackets the wanted rank to within ``4 / accuracy`` of the rows,
     which exceeds the sketch's own error. A hash aggregate then counts the rows below
-    the bracket and each distinct value inside it, and only that remainder is ranked.
-    Up to ``accuracy`` rows need no bracket. A rank outside the bracket raises instead
-    of returning a wrong value.
+    the bracket and each distinct value inside it. Equal slots of the bracket find the
+    values around the rank, and only those are ordered. Up to ``accuracy`` rows need no
+    bracket. A rank outside the bracket raises instead of returning a wrong value.
     """
     values = frame.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     low, high = max(0.0, q - 4.0 / accuracy), min(1.0, q + 4.0 / accuracy)
@@ -74,29 +75,53 @@ def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 50_0
         )
         .scalar()
     )
-    inside = values.where(F.col("v") <= bracket["high"])
-    # A NULL key holds everything below the bracket.
-    key = F.when(F.col("v") >= bracket["low"], F.col("v"))
-    histogram = inside.groupBy(key.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    up_to = Window.orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
-    position = (bracket["n"] - 1) * F.lit(q)
-    ranked = histogram.withColumns(
-        {"cum": F.sum("c").over(up_to), "pos": position}
-    ).withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
-    misses = F.max((F.col("cum") > F.col("lo")) & F.col("v").isNull())
-    at_low = F.min(F.when(F.col("cum") > F.col("lo"), F.col("v")))
-    at_high = F.min(F.when(F.col("cum") > F.col("hi"), F.col("v")))
-    share = F.max(F.col("pos") - F.col("lo"))
+    # The subquery is attached once, as a column: copies of it make planning slow.
+    low, high = F.col("k.low"), F.col("k.high")
+    slot = F.when(high > low, F.floor((F.col("v") - low) / (high - low) * SLOTS)).otherwise(0)
+    histogram = (
+        values.withColumn("k", bracket)
+        .where(F.col("v") <= high)
+        # NULL stands for everything below the bracket.
+        .select(F.when(F.col("v") >= low, F.struct("v", slot.alias("slot"))).alias("b"))
+        .groupBy("b.v", "b.slot")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    # Rank the slots (at most SLOTS + 2 rows), then only the values of the slots hit.
+    first = lambda rank, what: F.min(F.when(F.col("cum") > rank, what))
+    slots = _running(histogram.groupBy("slot").agg(F.sum("c").alias("c")), "slot")
+    ranks = slots.withColumn("pos", (bracket["n"] - 1) * F.lit(q)).withColumns(
+        {"lo": F.floor("pos"), "hi": F.ceil("pos")}
+    )
+    hit = ranks.agg(
+        F.struct(
+            first(F.col("lo"), F.col("slot")).alias("a"),
+            first(F.col("hi"), F.col("slot")).alias("b"),
+            first(F.col("lo"), F.col("cum") - F.col("c")).alias("before"),
+            F.max((F.col("cum") > F.col("lo")) & F.col("slot").isNull()).alias("missed"),
+            F.max("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.max(F.col("pos") - F.col("lo")).alias("share"),
+        )
+    ).scalar()
+    near = histogram.withColumn("h", hit).where(F.col("slot").between(F.col("h.a"), F.col("h.b")))
+    ranked = _running(near, "v").withColumn("cum", F.col("cum") + F.col("h.before"))
+    at_low, at_high = first(F.col("h.lo"), F.col("v")), first(F.col("h.hi"), F.col("v"))
     outside = F.raise_error(F.lit("quantile rank fell outside its bracket"))
     return ranked.agg(
-        F.when(F.count(F.lit(1)) == 0, F.lit(None))
-        .when(misses | at_high.isNull(), outside)
-        .otherwise(at_low + (at_high - at_low) * share)
+        F.when(F.count(F.lit(1)) == 0, F.when(F.max(hit["lo"]).isNotNull(), outside))
+        .when(F.max("h.missed") | at_high.isNull(), outside)
+        .otherwise(at_low + (at_high - at_low) * F.max("h.share"))
         .cast("double")
         .alias("quantile")
     )
 
 
+def _running(counts: DataFrame, order: str) -> DataFrame:
+    """Add ``cum``, the running total of ``c`` (small inputs: one task)."""
+    up_to = Window.orderBy(F.asc_nulls_first(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("cum", F.sum("c").over(up_to))
+
+
 def reproducible_sample(frame: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """``n`` rows with the lowest keyed hash; the same rows on any partitioning.
 
