@@ -31,6 +31,12 @@ INGEST_OK = "Valid telemetry message"
 SUITE_OK = "Telemetry data is valid"
 EMPTY = "Empty message"
 BAD_JSON = "Invalid JSON"
+NOT_NUMBER = {
+    "voltage": "voltage must be a number",
+    "current": "current must be a number",
+    "power": "power must be a number",
+    "energy_wh": "energy_wh must be a number",
+}
 BELOW_ZERO = {
     "current": "current must be non-negative",
     "power": "power must be non-negative",
@@ -119,11 +125,11 @@ def ingest_reason_parsed() -> Column:
         ),
         (_is_not(_type("timestamp") == INTEGER), MS_INTEGER),
         (_is_not(ms.between(MS_LOW, MS_HIGH)), MS_DIGITS),
-        (_is_not(_numeric("voltage")), "voltage must be a number"),
+        (_is_not(_numeric("voltage")), NOT_NUMBER["voltage"]),
         (_is_not((volts == 0) | volts.between(200, 250)), VOLTAGE_RANGE),
     ]
     for field, text in BELOW_ZERO.items():
-        rules.append((_is_not(_numeric(field)), f"{field} must be a number"))
+        rules.append((_is_not(_numeric(field)), NOT_NUMBER[field]))
         rules.append((_is_not(_get(field) >= 0), text))
     return _first(*rules)
 
@@ -134,11 +140,11 @@ def ingest_reason_typed() -> Column:
         (F.coalesce(F.trim("node_id"), F.lit("")) == "", NODE_TEXT),
         (F.col("timestamp").isNull(), MS_INTEGER),
         (~F.col("timestamp").between(MS_LOW, MS_HIGH), MS_DIGITS),
-        (F.col("voltage").isNull(), "voltage must be a number"),
+        (F.col("voltage").isNull(), NOT_NUMBER["voltage"]),
         (~((F.col("voltage") == 0) | F.col("voltage").between(200, 250)), VOLTAGE_RANGE),
     ]
     for field, text in BELOW_ZERO.items():
-        rules.append((F.col(field).isNull(), f"{field} must be a number"))
+        rules.append((F.col(field).isNull(), NOT_NUMBER[field]))
         rules.append((F.col(field) < 0, text))
     return _first(*rules)
 

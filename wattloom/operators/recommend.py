@@ -14,6 +14,14 @@ HIGH_WATTS = 800.0
 PEAK_QUANTILE = 0.9
 LOOKBACK_HOURS = 6
 AHEAD_HOURS = 24
+ANOMALY_TEXT = (
+    "Node %s flagged with %s-severity anomaly (score %s). Inspect for irregular consumption."
+)
+CONSUMPTION_TEXT = "Node %s forecast exceeds %sW (peak: %sW). Review connected loads."
+LOAD_SHIFT_TEXT = (
+    "Node %s forecast shows peak consumption (%sW) at %s. "
+    "Consider shifting deferrable loads to off-peak hours."
+)
 
 COLUMNS = [
     "node_id", "type", "severity", "message",
@@ -55,11 +63,7 @@ def _record(frame: DataFrame, kind: str, severity, message, **meta) -> DataFrame
 
 
 def anomaly_rule(anomalies: DataFrame) -> DataFrame:
-    message = F.concat(
-        F.lit("Node "), F.col("node_id"), F.lit(" flagged with "), F.col("severity"),
-        F.lit("-severity anomaly (score "), fixed("score", 3),
-        F.lit("). Inspect for irregular consumption."),
-    )
+    message = F.format_string(ANOMALY_TEXT, "node_id", "severity", fixed("score", 3))
     return _record(
         worst_anomalies(anomalies), "high_anomaly", F.col("severity"), message,
         anomaly_score=F.col("score"),
@@ -76,10 +80,8 @@ def peak_per_node(forecasts: DataFrame, watts: float = HIGH_WATTS) -> DataFrame:
 
 
 def consumption_rule(forecasts: DataFrame, watts: float = HIGH_WATTS) -> DataFrame:
-    message = F.concat(
-        F.lit("Node "), F.col("node_id"), F.lit(f" forecast exceeds {watts:.0f}W (peak: "),
-        fixed("peak", 0), F.lit("W). Review connected loads."),
-    )
+    limit = fixed(F.lit(float(watts)), 0)
+    message = F.format_string(CONSUMPTION_TEXT, "node_id", limit, fixed("peak", 0))
     return _record(
         peak_per_node(forecasts, watts), "high_consumption", F.lit("high"), message,
         max_consumption_watts=F.col("peak"),
@@ -100,10 +102,8 @@ def peak_hours(forecasts: DataFrame, q: float = PEAK_QUANTILE) -> DataFrame:
 
 
 def load_shift_rule(forecasts: DataFrame, q: float = PEAK_QUANTILE) -> DataFrame:
-    message = F.concat(
-        F.lit("Node "), F.col("node_id"), F.lit(" forecast shows peak consumption ("),
-        fixed("peak", 0), F.lit("W) at "), hour_list("peak_hours"),
-        F.lit(". Consider shifting deferrable loads to off-peak hours."),
+    message = F.format_string(
+        LOAD_SHIFT_TEXT, "node_id", fixed("peak", 0), hour_list("peak_hours")
     )
     return _record(
         peak_hours(forecasts, q), "load_shift", F.lit("medium"), message,

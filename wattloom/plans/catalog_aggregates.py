@@ -272,10 +272,13 @@ def _(v: Views):
     return out.withColumn("avg_power", F.round("avg_power", 9))
 
 
-@query("e1_row_lags", f"""
-SELECT node_id, timestamp, {', '.join(
+LAG_SQL = ", ".join(
     f"round(lag(avg_power, {n}) OVER (PARTITION BY node_id ORDER BY timestamp), 9) AS {name}"
-    for name, n in feat.LAG_ROWS.items())} FROM hourly""")
+    for name, n in feat.LAG_ROWS.items()
+)
+
+
+@query("e1_row_lags", f"SELECT node_id, timestamp, {LAG_SQL} FROM hourly")
 def _(v: Views):
     return feat.with_lags(v.hourly).select("node_id", "timestamp", *r9(*feat.LAG_ROWS))
 
@@ -297,19 +300,19 @@ DAY_STATS_SQL = {
 }
 
 
-def _listed(columns: dict[str, str], digits: int = 8) -> str:
+def rounded(columns: dict[str, str], digits: int = 8) -> str:
     return ", ".join(f"round({sql}, {digits}) AS {name}" for name, sql in columns.items())
 
 
 @query("e2_rolling_averages",
-       f"SELECT node_id, timestamp, {_listed(ROLLING_SQL)} FROM hourly")
+       f"SELECT node_id, timestamp, {rounded(ROLLING_SQL)} FROM hourly")
 def _(v: Views):
     rolled = feat.with_rolling(v.hourly)
     return rolled.select("node_id", "timestamp", *[F.round(c, 8).alias(c) for c in ROLLING_SQL])
 
 
 @query("e3_rolling_day_statistics",
-       f"SELECT node_id, timestamp, {_listed(DAY_STATS_SQL)} FROM hourly")
+       f"SELECT node_id, timestamp, {rounded(DAY_STATS_SQL)} FROM hourly")
 def _(v: Views):
     rolled = feat.with_rolling(v.hourly)
     return rolled.select(

@@ -9,6 +9,7 @@ from ..functions import numeric as num
 from ..functions import text, timecols
 from ..functions.severity import is_anomalous, severity
 from ..operators import forecasting, keyed, meters, nodes, ranked, recommend, rollups, serving
+from ..operators.features import hourly_features, with_lineage
 from ..operators.quality import arrival_interval
 from ..schemas import MEASURES, READING_FIELDS, TABLES
 from ..streaming.windows import live_feed, summarise, summary_messages
@@ -125,8 +126,6 @@ def _(v: Views):
 SELECT node_id, timestamp, timestamp AS feature_ms, '2.0' AS pipeline_version,
        'hourly' AS aggregation_level FROM hourly""")
 def _(v: Views):
-    from ..operators.features import with_lineage
-
     return with_lineage(v.hourly).select(
         "node_id", "timestamp", F.unix_millis("feature_timestamp").alias("feature_ms"),
         "pipeline_version", "aggregation_level",
@@ -414,7 +413,5 @@ FROM forecasts f LEFT JOIN (
   SELECT node_id, timestamp // 3600000 * 3600000 AS h, avg(power) AS a FROM telemetry
   GROUP BY 1, 2) m ON f.node_id = m.node_id AND f.timestamp = h""")
 def _(v: Views):
-    from ..operators.features import hourly_features
-
     out = forecasting.forecast_vs_actual(v.forecasts, hourly_features(v.telemetry))
     return out.select("node_id", "timestamp", *r9("predicted_consumption", "avg_power", "error"))

@@ -13,7 +13,8 @@ from ..schemas import READING_FIELDS
 from ..streaming.scoring import anomalies_of
 from ..streaming.windows import summarise
 from .catalog_aggregates import (
-    CELL_SQL, DAY_STATS_SQL, DAY_TEXT, HOURLY, REASON_SQL, ROLLING_SQL, ROLLUP, SCALED,
+    CELL_SQL, DAY_STATS_SQL, DAY_TEXT, HOURLY, LAG_SQL, REASON_SQL, ROLLING_SQL, ROLLUP, SCALED,
+    rounded,
 )
 from .registry import query, r9, r9_sql
 from .standins import FEB_01, JAN_16, JAN_30, JAN_31, Views
@@ -567,8 +568,8 @@ SELECT node_id, timestamp, {r9_sql(*HOURLY)}, CAST(reading_count AS INTEGER) AS
        CAST(timestamp // 3600000 % 24 AS INTEGER) AS hour,
        CAST((timestamp // 86400000 + 4) % 7 + 1 AS INTEGER) AS day_of_week,
        CAST(day(make_timestamp(timestamp * 1000)) AS INTEGER) AS day_of_month,
-       {', '.join(f"round(lag(avg_power, {n}) OVER (PARTITION BY node_id ORDER BY timestamp), 9) AS {name}" for name, n in feat.LAG_ROWS.items())},
-       {', '.join(f"round({sql}, 8) AS {name}" for name, sql in {**ROLLING_SQL, **DAY_STATS_SQL}.items())},
+       {LAG_SQL},
+       {rounded({**ROLLING_SQL, **DAY_STATS_SQL})},
        '2.0' AS pipeline_version, 'hourly' AS aggregation_level FROM hourly""")
 def _(v: Views):
     table = feat.engineer_features(v.hourly)
