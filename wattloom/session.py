@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Window and dedupe state on local disk instead of the executor heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,19 +32,46 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once.
+
+    Functions that run in workers refer to their modules by name; without this they would be
+    found only where the workers happen to have the package on their path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(here)
+    archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(here):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.join(name, os.path.relpath(path, here)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
 
 
 def materialise(frame: DataFrame) -> DataFrame:
     """Compute once into the shared checkpoint folder and cut the lineage.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset,
-    as in local tests, a folder of this process is used.
+    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset, as in local
+    tests, a folder inside the warehouse is used, which the cluster shares too.
     """
-    context = frame.sparkSession.sparkContext
+    spark = frame.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(named or f"{warehouse}/_checkpoints")
     return frame.checkpoint()
