@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts  # noqa: F401
+from . import packing, simhash, token_counts  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
