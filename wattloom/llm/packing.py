@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import query, slices, stored, table, utf8
-from .pretokens import Cache, worker_cache
+from .pretokens import Cache, runs, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,15 +34,12 @@ def pieces(
     """
     end, name = np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
 
-    def packed(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache((name, tokenizer), lambda: Cache(tokenizer, packed))
+        cache = worker_cache((name, tokenizer), lambda: Cache(tokenizer, bytes))
         for batch in slices(batches, "text"):
             keys, split = batch.column("key").to_pylist(), []
             for t in batch.column("text").to_pylist():
-                split.append(t.split())
+                split.append(runs(t))
             ids_of = cache.of(split)
             out: list[tuple] = []
             for k, words in zip(keys, split):
@@ -255,11 +252,11 @@ def pack(
     for row in cut.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
     plan = plan_packing(counts, capacity, classes, few)
-    runs = np.array(plan.runs, np.int64).reshape(-1, 4)
-    order = np.lexsort((runs[:, 1], runs[:, 0]))
-    runs = runs[order]
+    placed = np.array(plan.runs, np.int64).reshape(-1, 4)
+    order = np.lexsort((placed[:, 1], placed[:, 0]))
+    placed = placed[order]
     # One sortable number per run: length above the rank.
-    heads = cut.sparkSession.sparkContext.broadcast(((runs[:, 0] << 48) + runs[:, 1], runs))
+    heads = cut.sparkSession.sparkContext.broadcast(((placed[:, 0] << 48) + placed[:, 1], placed))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, known = heads.value

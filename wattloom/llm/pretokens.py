@@ -8,9 +8,12 @@ space either, so a run that contains one is encoded just as inside the text.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 CACHE_ENTRIES = 800_000
 
 
@@ -24,21 +27,70 @@ def tokenizer(name: str):
     return Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
 
 
-def simpler(run: bytes) -> tuple[bytes, bytes]:
-    """A run of bytes as (run to encode, mark that follows), with the same ids.
+def runs(text: bytes) -> list[bytes]:
+    """Runs of non-space bytes of a UTF-8 text, in ASCII lower case where the ids stay the same.
+
+    The tokenizer lower-cases after composing characters. Of composed characters only those made
+    with U+0300 to U+036F (first byte CC or CD) have ASCII letters as base, so without these, and
+    without ``<`` that special strings begin with, case can go first.
+    """
+    if b"<" in text or b"\xcc" in text or b"\xcd" in text:
+        return text.split()
+    return text.lower().split()
+
 
-    ASCII case does not matter to this lower-casing tokenizer (a special string holds ``<``), and a
-    comma or full stop after a letter or digit is always a pre-token of its own.
+def unmarked(run: bytes) -> bytes:
+    """The run without a comma or full stop that follows a letter or digit of ASCII: such a mark is
+    a pre-token of its own."""
+    return run[:-1] if run[-1] in b".," and run[-2:-1].isalnum() else run
+
+
+@functools.lru_cache(maxsize=2)
+def _ends_word(name: str) -> np.ndarray | None:
+    """By id, whether a token ends a pre-token; None for tokenizers without word ends."""
+    vocabulary = tokenizer(name).get_vocab()
+    suffix = getattr(tokenizer(name).model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
+
+
+def encode(name: str, runs: list[bytes], together: int = 100) -> list[bytes]:
+    """The ids of each run as little-endian 32-bit numbers.
+
+    Runs of letters only are encoded ``together`` with spaces between, which costs less, and cut
+    where a token ends a word; a group in which that does not give one word per run is encoded
+    run by run, as are all other runs.
     """
-    mark = run[-1:] if run[-1:] in (b".", b",") and run[-2:-1].isalnum() else b""
-    body = run[: len(run) - len(mark)]
-    return (body.lower() if body.isascii() and b"<" not in body else body), mark
+    model, ends = tokenizer(name), _ends_word(name)
+    text = [run.decode("utf-8", "replace") for run in runs]
+    out: list[bytes] = [b""] * len(runs)
+    words = [i for i, t in enumerate(text) if t.isalpha()] if ends is not None else []
+    groups = [words[i : i + together] for i in range(0, len(words), together)]
+    lines = [" ".join([text[i] for i in group]) for group in groups]
+    taken = set()
+    for group, line in zip(groups, model.encode_batch_fast(lines, add_special_tokens=False)):
+        ids = np.array(line.ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) == len(group):
+            flat, start = ids.tobytes(), 0
+            for i, cut in zip(group, cuts):
+                out[i] = flat[start:cut]
+                start = cut
+            taken.update(group)
+    rest = [i for i in range(len(runs)) if i not in taken]
+    single = model.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)
+    for i, one in zip(rest, single):
+        out[i] = np.array(one.ids, "<u4").tobytes()
+    return out
 
 
 class Cache:
     """Run of bytes -> value for one Python worker, bounded; ``first`` entries always stay.
 
-    ``value`` turns an encoding into something that can be added up, a length or the ids as bytes.
+    ``value`` turns the ids of a run, as bytes, into something that can be added up.
     """
 
     def __init__(self, name: str, value: Callable, first: dict | None = None):
@@ -46,23 +98,30 @@ class Cache:
         self.known = dict(self.first)
 
     def of(self, texts: Iterable[list[bytes]]) -> Callable:
-        """Make every pre-token of ``texts`` known and return the lookup."""
+        """Make every run of ``texts`` known and return the lookup."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and scans of a large cache cost much
+        try:
+            return self._of(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _of(self, texts: Iterable[list[bytes]]) -> Callable:
         wanted = set().union(*texts)
         misses = list(wanted.difference(self.known))
         if len(self.known) + len(misses) > CACHE_ENTRIES + len(self.first):
-            self.known = dict(self.first)
-            misses = list(wanted.difference(self.known))
+            # What the texts at hand use is what later texts use most.
+            held = wanted.intersection(self.known)
+            self.known = self.first | {run: self.known[run] for run in held}
         if misses:
-            parts = list(map(simpler, misses))
-            new = {body for body, _ in parts}.union(mark for _, mark in parts if mark)
-            new = list(new.difference(self.known))
-            encoded = tokenizer(self.name).encode_batch_fast(
-                [m.decode("utf-8", "replace") for m in new], add_special_tokens=False
-            )
-            self.known.update(zip(new, map(self.value, encoded)))
             known = self.known
-            for run, (body, mark) in zip(misses, parts):
-                known[run] = known[body] + known[mark] if mark else known[body]
+            bodies = list(map(unmarked, misses))
+            new = list({*bodies, b".", b","}.difference(known))
+            known.update(zip(new, map(self.value, encode(self.name, new))))
+            for run, body in zip(misses, bodies):
+                if len(run) > len(body):
+                    known[run] = known[body] + known[run[-1:]]
         return self.known.__getitem__
 
 

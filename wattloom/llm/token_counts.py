@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import query, slices, table, utf8
-from .pretokens import Cache, worker_cache
+from .pretokens import Cache, runs, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def n_ids(ids: bytes) -> int:
+    return len(ids) // 4
+
+
 def _summary(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                seen.update(text.split())
+                seen.update(runs(text))
             if len(seen) > 64 * most:
                 seen = Counter(dict(seen.most_common(16 * most)))
         top = seen.most_common(most)
@@ -66,15 +70,15 @@ def token_counts(
     """
     first = frequent_pretokens(documents, text, entries)
     lengths = dict.fromkeys(first, 0)
-    lengths.update(zip(first, map(Cache(tokenizer, len).of([first]), first)))
+    lengths.update(zip(first, map(Cache(tokenizer, n_ids).of([first]), first)))
     spark = documents.sparkSession
     frequent, name = spark.sparkContext.broadcast(lengths), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache((name, tokenizer), lambda: Cache(tokenizer, len, frequent.value))
+        cache = worker_cache((name, tokenizer), lambda: Cache(tokenizer, n_ids, frequent.value))
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            split = [t.split() for t in texts]
+            split = [runs(t) for t in texts]
             length = cache.of(split)
             tokens = [sum(map(length, words)) for words in split]
             yield pa.RecordBatch.from_arrays(
