@@ -116,63 +116,66 @@ def train(
     pairs: list[tuple[list[int], list[int]]],
     columns: int,
     swap_penalty: float = 1.0,
-    l1: float = 2e-4,
     l2: float = 1e-5,
-    rounds: int = 400,
+    rounds: int = 200,
+    memory: int = 10,
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the mean log loss, plus an elastic net, plus
-    ``swap_penalty`` times the mean squared change of the logit between a sentence and its
-    counterfactual. Accelerated proximal gradient steps."""
+    """Weights and intercept that minimise the log loss (the rarer label weighs more, by the root of
+    the ratio), plus ``l2``, plus ``swap_penalty`` times the mean squared change of the logit
+    between a sentence and its counterfactual. Limited-memory quasi-Newton steps."""
     row, col = _rows(sets, columns)
     minus_row, minus = _rows([a for a, _ in pairs], columns)
     plus_row, plus = _rows([b for _, b in pairs], columns)
     n, m = len(sets), max(1, len(pairs))
-
-    def scores(w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(row, weights=w[col], minlength=n) + b
-
-    def changes(w: np.ndarray) -> np.ndarray:
-        up = np.bincount(plus_row, weights=w[plus], minlength=m)
-        return up - np.bincount(minus_row, weights=w[minus], minlength=m)
-
-    longest = np.bincount(row, minlength=n).max(initial=0) + 1
-    moved = np.bincount(plus_row, minlength=m) + np.bincount(minus_row, minlength=m)
-    # A bound of the curvature: longest row for the loss, longest change for the penalty.
-    curvature = 0.25 * longest + 2 * swap_penalty * float(moved.max(initial=0)) + l2
-    step = 4.0 / curvature
-    w, b, wv, bv, t = np.zeros(columns), 0.0, np.zeros(columns), 0.0, 1.0
-
-    def objective(w: np.ndarray, b: float) -> float:
-        z = scores(w, b)
-        loss = np.logaddexp(0, z).mean() - (z * labels).mean()
-        return float(
-            loss
-            + swap_penalty * (changes(w) ** 2).sum() / m
-            + l1 * np.abs(w).sum()
-            + l2 / 2 * (w**2).sum()
+    ones = float(labels.sum())
+    rare = np.sqrt((n - ones) / ones) if 0 < ones < n else 1.0
+    share = np.where(labels > 0, rare, 1.0)
+    share = share / share.sum()
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w = x[:-1]
+        z = np.bincount(row, weights=w[col], minlength=n) + x[-1]
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) * share
+        change = np.bincount(plus_row, weights=w[plus], minlength=m) - np.bincount(
+            minus_row, weights=w[minus], minlength=m
         )
-
-    best = objective(w, b)
+        pull = 2 * swap_penalty * change / m
+        gradient = l2 * w + np.bincount(col, weights=error[row], minlength=columns)
+        gradient += np.bincount(plus, weights=pull[plus_row], minlength=columns)
+        gradient -= np.bincount(minus, weights=pull[minus_row], minlength=columns)
+        value = ((np.logaddexp(0, z) - labels * z) * share).sum()
+        value += swap_penalty * (change**2).sum() / m + l2 / 2 * float(w @ w)
+        return float(value), np.append(gradient, error.sum())
+
+    x = np.zeros(columns + 1)
+    value, gradient = objective(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-scores(wv, bv))) - labels
-        grad = np.bincount(col, weights=error[row], minlength=columns) / n + l2 * wv
-        change = 2 * swap_penalty * changes(wv) / m
-        grad += np.bincount(plus, weights=change[plus_row], minlength=columns)
-        grad -= np.bincount(minus, weights=change[minus_row], minlength=columns)
-        trial = wv - step * grad
-        trial = np.sign(trial) * np.maximum(np.abs(trial) - step * l1, 0)
-        trial_b = bv - step * float(error.mean())
-        value = objective(trial, trial_b)
-        if value > best + 1e-12:  # too long a step, or momentum overshot: restart from the best
-            wv, bv, t = w, b, 1.0
-            step *= 0.7
-            continue
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        wv = trial + (t - 1) / t_new * (trial - w)
-        bv = trial_b + (t - 1) / t_new * (trial_b - b)
-        w, b, t = trial, trial_b, t_new
-        best = value
-    return w, b
+        direction, used = -gradient, []
+        for s, g in reversed(steps):
+            a = (s @ direction) / (g @ s)
+            used.append(a)
+            direction = direction - a * g
+        if steps:
+            s, g = steps[-1]
+            direction = direction * ((s @ g) / (g @ g))
+        for (s, g), a in zip(steps, reversed(used)):
+            direction = direction + s * (a - (g @ direction) / (g @ s))
+        length, slope = 1.0, float(gradient @ direction)
+        while True:
+            trial = x + length * direction
+            new, new_gradient = objective(trial)
+            if new <= value + 1e-4 * length * slope or length < 1e-10:
+                break
+            length /= 2
+        s, g = trial - x, new_gradient - gradient
+        if s @ g > 1e-12:
+            steps = [*steps[1 - memory :], (s, g)]
+        small = value - new < 1e-9 * max(1.0, value)
+        x, value, gradient = trial, new, new_gradient
+        if small:
+            break
+    return x[:-1], float(x[-1])
 
 
 def fit(
