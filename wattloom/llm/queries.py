@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, order_minhash, packing, simhash, token_counts, topk_search, toxicity  # noqa: F401
+from . import chat, licenses, mixing, order_minhash, packing, simhash, suffix_tree, token_counts, topk_search, toxicity  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
