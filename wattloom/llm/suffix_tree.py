@@ -414,8 +414,8 @@ def suffix_tree_scores(
     held_out: Column,
     text: str = "text",
     key: str = "doc_id",
-    share: float = 2e-5,
-    prior: float = 500.0,
+    share: float = 1e-5,
+    prior: float = 3000.0,
     least_gain: float = 10.0,
 ) -> DataFrame:
     """Score every whole text by a suffix tree learnt from the rows that are not ``held_out``.
