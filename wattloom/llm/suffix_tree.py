@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import query, slices, stored, table, utf8
 
-CHUNK_TOKENS = 1 << 20
-TOKENS_PER_RANGE = 4 << 20
+CHUNK_TOKENS = 1 << 19
+TOKENS_PER_RANGE = 2 << 20
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
 
 
