@@ -99,11 +99,9 @@ def ntz_to_ms(ts: str) -> Column:
 
 def day_first_to_ms(date: Column | str, time: Column | str) -> Column:
     """Epoch milliseconds of day-first date and time texts; NULL when unparsable."""
-    text = F.concat_ws(" ", as_col(date), as_col(time))
-    parsed = F.try_to_timestamp(text, F.lit("d/M/yyyy H:mm:ss"))
-    # The texts carry no zone: read the wall-clock value as UTC.
-    wall = parsed.cast("timestamp_ntz")
-    return F.timestamp_diff("MILLISECOND", F.expr(EPOCH_NTZ), wall)
+    # The texts carry no zone: with an explicit offset the session's zone plays no part.
+    text = F.concat(as_col(date), F.lit(" "), as_col(time), F.lit(" +0000"))
+    return F.unix_millis(F.try_to_timestamp(text, F.lit("d/M/yyyy H:mm:ss Z")))
 
 
 def last_hours(ms: Column | str, as_of_ms: int, hours: int) -> Column:

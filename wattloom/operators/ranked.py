@@ -52,25 +52,29 @@ def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 50_0
     fixed-size sketch brackets the wanted rank to within ``4 / accuracy`` of the rows,
     which exceeds the sketch's own error. A hash aggregate then counts the rows below
     the bracket and each distinct value inside it. Equal slots of the bracket find the
-    values around the rank, and only those are ordered. Up to ``accuracy`` rows need no
-    bracket. A rank outside the bracket raises instead of returning a wrong value.
+    values around the rank, and only those are ordered. A rank outside the bracket raises
+    instead of returning a wrong value.
     """
     values = frame.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     low, high = max(0.0, q - 4.0 / accuracy), min(1.0, q + 4.0 / accuracy)
     sketch = F.percentile_approx("v", [low, high], accuracy)
-    wide = F.col("n") > accuracy
+    ends = values.agg(F.count("v").alias("n"), sketch.alias("s"))
+    ends = ends.select(F.struct("n", F.get("s", F.lit(0)).alias("low"), F.get("s", F.lit(1)).alias("high")))
+    # The sketch's rank rounds up and the wanted one is interpolated: one more value on either side.
     bracket = (
-        values.agg(
-            F.count("v").alias("n"),
-            sketch.alias("s"),
-            F.min("v").alias("least"),
-            F.max("v").alias("most"),
+        values.withColumn("k", ends.scalar())
+        .agg(
+            F.first("k.n").alias("n"),
+            F.max(F.when(F.col("v") < F.col("k.low"), F.col("v"))).alias("below"),
+            F.min(F.when(F.col("v") > F.col("k.high"), F.col("v"))).alias("above"),
+            F.first("k.low").alias("low"),
+            F.first("k.high").alias("high"),
         )
         .select(
             F.struct(
-                "n",
-                F.when(wide, F.element_at("s", 1)).otherwise(F.col("least")).alias("low"),
-                F.when(wide, F.element_at("s", 2)).otherwise(F.col("most")).alias("high"),
+                F.coalesce("n", F.lit(0)).alias("n"),
+                F.coalesce("below", "low").alias("low"),
+                F.coalesce("above", "high").alias("high"),
             )
         )
         .scalar()
@@ -128,8 +132,10 @@ def reproducible_sample(frame: DataFrame, n: int, keys: list[str], seed: int = 4
     A histogram over the hash's upper 16 bits gives the bucket that completes ``n``
     rows. Only rows up to that bucket, about ``n``, reach the final top-k.
     """
-    hashed = frame.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
-    bucket = F.shiftright("_h", 48)
+    name = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    digits = F.substring(F.md5(name.cast("binary")), 1, 15)
+    hashed = frame.withColumn("_h", F.conv(digits, 16, 10).cast("bigint"))
+    bucket = F.shiftright("_h", 44)
     counts = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     up_to = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     reached = counts.withColumn("cum", F.sum("c").over(up_to))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fixed, hour_list
 from ..functions.timecols import last_hours, next_hours, utc_hour
 from .ranked import best_per_group, exact_quantile
+from .serving import latest_forecasts
 
 # Fixed values.
 HIGH_WATTS = 800.0
@@ -127,7 +128,7 @@ def recommendations(
 ) -> DataFrame:
     """Recommendations at ``as_of_ms`` from stored anomalies and forecasts."""
     recent = recent_anomalies(anomalies, as_of_ms, lookback_hours)
-    ahead = upcoming_forecasts(forecasts, as_of_ms)
+    ahead = latest_forecasts(upcoming_forecasts(forecasts, as_of_ms))
     rules = combine(
         anomaly_rule(recent), consumption_rule(ahead, high_watts), load_shift_rule(ahead, quantile)
     )

@@ -23,10 +23,11 @@ def _by_node() -> Window:
 def sliding_windows(hourly: DataFrame, value: str = "avg_power", stride: int = 1) -> DataFrame:
     """One row per window start: ``start_ms``, ``x`` (10 inputs), ``y`` (24 targets).
 
-    Starts step by ``stride`` rows; a node with fewer than 34 rows gives none.
+    Hours without a value are left out first, as they are from :func:`sequence_count`. Starts step by
+    ``stride`` rows; a node with fewer than 34 rows gives none.
     """
     ahead = _by_node().rowsBetween(0, WINDOW - 1)
-    windows = hourly.select(
+    windows = hourly.where(F.col(value).isNotNull()).select(
         "node_id",
         F.col("timestamp").alias("start_ms"),
         (F.row_number().over(_by_node()) - 1).alias("pos"),
@@ -64,9 +65,9 @@ def time_split(hourly: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:
     )
 
 
-def sequence_count(hourly: DataFrame) -> DataFrame:
+def sequence_count(hourly: DataFrame, value: str = "avg_power") -> DataFrame:
     """Number of stride-1 windows over all nodes."""
-    per_node = hourly.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    per_node = hourly.groupBy("node_id").agg(F.count(value).alias("n"))
     return per_node.agg(
         F.coalesce(F.sum(F.greatest(F.lit(0), F.col("n") - WINDOW + 1)), F.lit(0)).alias(
             "n_sequences"

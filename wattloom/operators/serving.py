@@ -82,7 +82,9 @@ def anomaly_records(
 
 
 def latest_forecasts(forecasts: DataFrame) -> DataFrame:
-    """The latest run's value per node and time, when runs overlap."""
+    """The latest run's value per node and time. Rows without ``run_ts`` are of a single run."""
+    if "run_ts" not in forecasts.columns:
+        return forecasts
     return forecasts.groupBy("node_id", "timestamp").agg(
         F.max_by("predicted_consumption", "run_ts").alias("predicted_consumption")
     )
@@ -91,7 +93,8 @@ def latest_forecasts(forecasts: DataFrame) -> DataFrame:
 def forecast_records(
     forecasts: DataFrame, node_id: str | None = None, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
-    rows = equals(forecasts, node_id=node_id).select(
+    """Oldest first; of overlapping runs the latest counts."""
+    rows = latest_forecasts(equals(forecasts, node_id=node_id)).select(
         "node_id", "timestamp", "predicted_consumption"
     )
     return oldest(rows, "timestamp", limit, ["node_id"])
@@ -116,14 +119,14 @@ def telemetry_history(
     return newest(filled.select(*READING_FIELDS), "timestamp", limit, ["node_id"])
 
 
-def between_ms(frame: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
-    """Half-open time range, also on the partition column when there is one."""
-    rows = frame.where((F.col("timestamp") >= start_ms) & (F.col("timestamp") < end_ms))
-    if "event_date" in frame.columns:
-        day = lambda ms: F.lit(ms // DAY_MS).cast("int")
-        rows = rows.where(
-            F.col("event_date").between(
-                F.date_from_unix_date(day(start_ms)), F.date_from_unix_date(day(end_ms))
-            )
-        )
+def between_ms(frame: DataFrame, start_ms: int, end_ms: int | None) -> DataFrame:
+    """Half-open time range, without end if that is None, also on the partition column when there
+    is one."""
+    day = lambda ms: F.date_from_unix_date(F.lit(ms // DAY_MS).cast("int"))
+    dated = "event_date" in frame.columns
+    rows = frame.where(F.col("timestamp") >= start_ms)
+    rows = rows.where(F.col("event_date") >= day(start_ms)) if dated else rows
+    if end_ms is not None:
+        rows = rows.where(F.col("timestamp") < end_ms)
+        rows = rows.where(F.col("event_date") <= day(end_ms)) if dated else rows
     return rows

@@ -167,10 +167,16 @@ def _(v: Views):
 SELECT CAST(count(*) AS BIGINT) AS row_count,
        CAST(count(*) - count(timestamp) AS BIGINT) AS null_timestamp,
        CAST(count(*) - count(avg_power) AS BIGINT) AS null_avg_power,
-       CAST(0 AS BIGINT) AS null_hour, CAST(0 AS BIGINT) AS null_day_of_week,
-       CAST(count(*) FILTER (avg_power < 0) AS BIGINT) AS negative_power FROM hourly""")
+       CAST(count(*) - count(hour) AS BIGINT) AS null_hour,
+       CAST(count(*) - count(day_of_week) AS BIGINT) AS null_day_of_week,
+       CAST(count(*) FILTER (avg_power < 0) AS BIGINT) AS negative_power
+FROM (SELECT timestamp, avg_power, timestamp // 3600000 % 24 AS hour,
+             (timestamp // 86400000 + 4) % 7 + 1 AS day_of_week
+      FROM (SELECT CASE WHEN reading_count % 5 <> 0 THEN timestamp END AS timestamp, avg_power
+            FROM gappy))""")
 def _(v: Views):
-    return feat.feature_quality(feat.with_calendar(v.hourly))
+    some = F.when(F.col("reading_count") % 5 != 0, F.col("timestamp"))
+    return feat.feature_quality(feat.with_calendar(v.gappy.withColumn("timestamp", some)))
 
 
 @query("d16_reduction", """
@@ -210,6 +216,13 @@ def _(v: Views):
     return sequences.sequence_count(v.hourly)
 
 
+@query("d20_sequences_of_gappy_hours", """
+SELECT CAST(sum(greatest(0, n - 33)) AS BIGINT) AS n_sequences
+FROM (SELECT count(avg_power) AS n FROM gappy GROUP BY node_id)""")
+def _(v: Views):
+    return sequences.sequence_count(v.gappy)
+
+
 @query("d21_min_max_fit", """
 SELECT round(min(list_min(w)), 9) AS low, round(max(list_max(w)), 9) AS high FROM windows
 WHERE rn % 2 = 1""")
@@ -335,6 +348,20 @@ def _(v: Views):
     )
 
 
+@query("e4_windows_of_gappy_hours", """
+WITH w AS (
+  SELECT node_id, timestamp AS start_ms, list(avg_power) OVER (
+    PARTITION BY node_id ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND 33 FOLLOWING) AS w
+  FROM gappy WHERE avg_power IS NOT NULL)
+SELECT node_id, start_ms, round(w[1], 9) AS x_first, round(w[34], 9) AS y_last
+FROM w WHERE len(w) = 34""")
+def _(v: Views):
+    return sequences.sliding_windows(v.gappy).select(
+        "node_id", "start_ms", F.round(F.col("x")[0], 9).alias("x_first"),
+        F.round(F.col("y")[23], 9).alias("y_last"),
+    )
+
+
 @query("e5_latest_inputs", """
 SELECT node_id, string_agg(printf('%.9f', avg_power), ',' ORDER BY timestamp) AS x
 FROM numbered WHERE n - rn < 10 GROUP BY node_id HAVING count(*) = 10""")

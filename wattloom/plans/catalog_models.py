@@ -10,6 +10,7 @@ from ..operators import forecasting, meters, nodes, quality, recommend, retentio
 from ..operators import isolation_forest as forest
 from ..operators import rollups, runs, scaling, sequences, serving
 from ..schemas import READING_FIELDS
+from ..session import materialise
 from ..streaming.scoring import anomalies_of
 from ..streaming.windows import summarise
 from .catalog_aggregates import (
@@ -206,13 +207,13 @@ def _(v: Views):
 
 @query("j4_anomaly_scores")
 def _(v: Views):
-    counts = forest.cell_counts(v.telemetry)
+    counts = materialise(forest.cell_counts(v.telemetry))  # at most 336 rows, used twice
     return forest.detect(v.telemetry, forest.score_cells(forest.grow_trees(counts), counts))
 
 
 @query("i8_gated_anomalies")
 def _(v: Views):
-    counts = forest.cell_counts(v.telemetry)
+    counts = materialise(forest.cell_counts(v.telemetry))
     cells = forest.score_cells(
         forest.grow_trees(counts), counts, forest.JOB_CONTAMINATION
     )
@@ -411,7 +412,7 @@ def _(v: Views):
 
 @query("k5_recommendations", f"SELECT *, {JAN_30} AS generated_ms FROM ({K4})")
 def _(v: Views):
-    out = recommend.recommendations(v.anomalies, v.forecasts, JAN_30)
+    out = recommend.recommendations(v.anomalies, v.forecast_runs, JAN_30)
     stamp = F.unix_millis("generated_at").alias("generated_ms")
     texts = F.array_join("peak_hours", ",").alias("peak_hours")
     return out.select(*[texts if c == "peak_hours" else c for c in K_COLUMNS], stamp)
@@ -497,10 +498,10 @@ def _(v: Views):
 
 @query("l4_hourly_analytics", f"""
 SELECT node_id, division, hour_ms, {r9_sql(*ROLLUP)}, reading_count FROM hourly_rollup
-WHERE division = 'JAPAN' AND hour_ms >= {JAN_16} ORDER BY hour_ms DESC, node_id LIMIT 1000""")
+WHERE division = 'NATION_3' AND hour_ms >= {JAN_16} ORDER BY hour_ms DESC, node_id LIMIT 1000""")
 def _(v: Views):
     hourly = rollups.hourly_rollup(v.telemetry, v.metadata)
-    rows = serving.hourly_analytics(hourly, division="JAPAN", start_ms=JAN_16, limit=1000)
+    rows = serving.hourly_analytics(hourly, division="NATION_3", start_ms=JAN_16, limit=1000)
     return rows.select(
         "node_id", "division", F.unix_millis("hour_start").alias("hour_ms"),
         *r9(*ROLLUP), "reading_count",
@@ -527,10 +528,10 @@ def _(v: Views):
 
 
 @query("l7_forecast_records", """
-SELECT node_id, timestamp, predicted_consumption FROM forecasts
-WHERE node_id = 'node_7' ORDER BY timestamp, node_id LIMIT 1000""")
+SELECT node_id, timestamp, arg_max(predicted_consumption, run_ts) AS predicted_consumption
+FROM forecast_runs WHERE node_id = 'node_7' GROUP BY 1, 2 ORDER BY timestamp, node_id LIMIT 1000""")
 def _(v: Views):
-    return serving.forecast_records(v.forecasts, node_id="node_7", limit=1000)
+    return serving.forecast_records(v.forecast_runs, node_id="node_7", limit=1000)
 
 
 @query("l8_telemetry_history", f"""

@@ -14,7 +14,6 @@ from ..session import materialise
 from ..sources.tables import DAY, read_days, replace_days, with_day
 
 LOOKBACK_DAYS = 30  # fixed value
-MAX_MS = 9_999_999_999_999
 
 
 class ValidationFailed(ValueError):
@@ -46,7 +45,7 @@ def feature_job(telemetry: DataFrame, path: str, since_ms: int | None = None) ->
     if since_ms is None:
         features = feat.engineer_features(feat.hourly_features(telemetry))
     else:
-        fresh = feat.hourly_features(between_ms(telemetry, since_ms, MAX_MS))
+        fresh = feat.hourly_features(between_ms(telemetry, since_ms, None))
         stored = read_days(spark, path, "energy_features").where(F.col("timestamp") < since_ms)
         history = stored.select(*fresh.columns)
         # Written before the table it was read from is replaced.

@@ -23,6 +23,8 @@ JAN_30 = 1_706_572_800_000
 JAN_31 = 1_706_659_200_000
 FEB_01 = 1_706_745_600_000
 
+# Node of a reading; one in ten is unknown to the metadata.
+NODE = "CASE WHEN user_id % 10 = 9 THEN 'meter_' ELSE 'node_' END || user_id"
 # Measures of a reading; some are out of range on purpose.
 VOLTAGE = (
     "CASE WHEN event_id % 97 = 0 THEN 0.0D WHEN event_id % 89 = 0 THEN 150.0D "
@@ -122,11 +124,11 @@ SEVERITY_SQL = (
 )
 
 VIEW_SQL = {
-    "telemetry": _readings_sql("'node_' || user_id"),
+    "telemetry": _readings_sql(NODE),
     "dense": _readings_sql("event_type"),
     "metadata": """
 SELECT 'node_' || c_custkey AS node_id, c_mktsegment AS node_type, n_name AS location
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0""",
+FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "deliveries": """
 SELECT node_id, timestamp, voltage, current, power, energy_wh,
        event_id * 2 + event_id % 2 AS seq FROM telemetry
@@ -141,6 +143,13 @@ FROM (SELECT node_id, timestamp,
 SELECT node_id, timestamp // 3600000 * 3600000 AS timestamp,
        max(power) * 10 AS predicted_consumption
 FROM telemetry GROUP BY 1, 2""",
+    "forecast_runs": """
+SELECT node_id, timestamp, predicted_consumption, timestamp AS run_ts FROM forecasts
+UNION ALL
+SELECT node_id, timestamp, predicted_consumption * 3 + 1, timestamp - 3600000 FROM forecasts
+UNION ALL
+SELECT node_id, timestamp, predicted_consumption * 2, timestamp - 7200000 FROM forecasts
+WHERE timestamp // 3600000 % 2 = 0""",
     "health": """
 SELECT node_id, timestamp,
        CAST(timestamp // 3600000 - 473352 AS INTEGER) AS sequence_no FROM telemetry""",
@@ -162,6 +171,9 @@ SELECT node_id, timestamp // 3600000 * 3600000 AS timestamp, avg(power) AS avg_p
        max(power) AS max_power, stddev_samp(power) AS std_power, avg(energy_wh) AS avg_energy_wh,
        count(power) AS reading_count
 FROM dense GROUP BY 1, 2""",
+    "gappy": """
+SELECT * REPLACE (CASE WHEN timestamp // 3600000 % 17 = 0 THEN NULL ELSE avg_power END AS avg_power)
+FROM hourly""",
     "hourly_rollup": """
 SELECT t.node_id, location AS division, timestamp // 3600000 * 3600000 AS hour_ms,
        sum(energy_wh) AS total_consumption_wh, avg(power) AS avg_power_w,
@@ -233,7 +245,7 @@ class Views:
 
     @cached_property
     def telemetry(self) -> DataFrame:
-        return self._readings("'node_' || user_id")
+        return self._readings(NODE)
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -242,7 +254,7 @@ class Views:
 
     @cached_property
     def metadata(self) -> DataFrame:
-        customers = self.table("customer").where("c_acctbal > 0")
+        customers = self.table("customer")
         places = self.table("nation").select(
             F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("location")
         )
@@ -277,6 +289,20 @@ class Views:
             (F.max("power") * 10).alias("predicted_consumption")
         )
 
+    @cached_property
+    def forecast_runs(self) -> DataFrame:
+        """Overlapping runs: up to three values per node and hour, of which the last counts."""
+        run = lambda value, back: self.forecasts.selectExpr(
+            "node_id", "timestamp", f"{value} AS predicted_consumption",
+            f"timestamp - {back} AS run_ts",
+        )
+        older = run("predicted_consumption * 2", 7_200_000)
+        return (
+            run("predicted_consumption", 0)
+            .unionByName(run("predicted_consumption * 3 + 1", 3_600_000))
+            .unionByName(older.where("timestamp DIV 3600000 % 2 = 0"))
+        )
+
     @cached_property
     def health(self) -> DataFrame:
         """Heartbeats whose counter is the hour since the start of the year."""
@@ -327,3 +353,9 @@ class Views:
     @cached_property
     def hourly(self) -> DataFrame:
         return features.hourly_features(self.dense)
+
+    @cached_property
+    def gappy(self) -> DataFrame:
+        """Hours of which some have no average."""
+        known = F.expr("timestamp DIV 3600000 % 17 <> 0")
+        return self.hourly.withColumn("avg_power", F.when(known, F.col("avg_power")))
