@@ -212,7 +212,7 @@ def test_scoring_gate_bootstrap_and_results(spark, feed, folder):
     tables.replace_days(
         tables.with_day(history).withColumn("batch", F.lit("h")), telemetry, ["event_date", "batch"]
     )
-    scoring.update_first_seen(history, folder + "/seen", "h")
+    scoring.update_first_seen(history, folder + "/seen")
     night = now - now % DAY_MS + 3 * HOUR_MS
     sent = []
     sink = scoring.scoring_sink(
@@ -241,12 +241,73 @@ def test_scoring_waits_without_enough_history(spark, feed, folder):
 
 
 def test_first_seen_stores_only_changes(spark, folder):
-    def batch(ms, name):
+    def batch(ms):
         rows = spark.createDataFrame([("a", ms)], "node_id STRING, timestamp BIGINT")
-        return scoring.update_first_seen(rows, folder + "/s", name).first()["first_seen_ms"]
+        return scoring.update_first_seen(rows, folder + "/s").first()["first_seen_ms"]
 
-    assert batch(10, "b1") == 10
-    assert batch(20, "b2") == 10
-    assert batch(5, "b3") == 5
-    assert batch(5, "b3") == 5  # retried
+    assert batch(10) == 10
+    assert batch(20) == 10
+    assert batch(5) == 5
+    assert batch(5) == 5  # retried
     assert spark.read.parquet(folder + "/s").count() == 2
+    scoring.compact_first_seen(spark, folder + "/s")
+    assert spark.read.parquet(folder + "/s").count() == 1
+    assert batch(7) == 5 and batch(3) == 3
+
+
+def one_batch(spark, rows):
+    schema = "topic STRING, value STRING, seq STRUCT<topic: STRING, partition: INT, offset: BIGINT>"
+    return spark.createDataFrame([(t, v, (t, p, o)) for t, v, p, o in rows], schema)
+
+
+def files_of(path):
+    return sum(f.endswith(".parquet") for _, _, names in os.walk(path) for f in names)
+
+
+def test_many_batches_keep_few_files(spark, folder, monkeypatch):
+    monkeypatch.setattr(storage, "TIDY_EVERY", 6)
+    points = storage.points_sink(folder + "/p")
+    sink = storage.telemetry_sink(folder + "/t", folder + "/r", points)
+    for i in range(40):
+        rows = [("t", record(BASE + 1000 * i, power=float(i)), 0, 2 * i), ("t", "{bad", 0, 2 * i + 1)]
+        sink(one_batch(spark, rows), i)
+    for path in "tpr":
+        assert files_of(f"{folder}/{path}") <= 6 + 3 + 1
+    assert stored(spark, folder + "/t").count() == 40
+    assert spark.read.parquet(folder + "/p").count() == 40
+    assert spark.read.parquet(folder + "/r").count() == 40
+
+
+def test_a_batch_delivered_twice_is_stored_once(spark, folder):
+    sink = storage.telemetry_sink(folder + "/t", folder + "/r", storage.points_sink(folder + "/p"))
+    health = json.dumps({"node_id": "n", "timestamp": BASE, "sequence_no": 4})
+    dateless = json.dumps({"node_id": "n", "sequence_no": 5})
+    router = storage.router_sink(sink, folder + "/e", folder + "/h")
+    topic, beat = "energy/nodes/n/telemetry", "energy/nodes/n/health"
+    rows = [(topic, record(), 0, 1), (topic, record(BASE + DAY_MS), 0, 2),
+            (beat, health, 0, 1), (beat, dateless, 0, 2)]
+    for _ in range(2):
+        router(one_batch(spark, rows), 7)
+        sink(one_batch(spark, [(topic, "{bad", 0, 3), (topic, record(), 0, 4)]), 8)
+    router(one_batch(spark, rows[2:3]), 9)  # another batch: a record of its own
+    assert stored(spark, folder + "/t").count() == 2
+    assert spark.read.parquet(folder + "/p").count() == 2
+    assert spark.read.parquet(folder + "/r").count() == 1
+    assert spark.read.parquet(folder + "/h").count() == 3
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_equal_offsets_of_two_topics_have_one_winner(spark, folder, parts):
+    rows = [(t, record(BASE + i, power=p), part, i) for i in range(20)
+            for t, p, part in (("b", 2.0, 0), ("a", 1.0, 1), ("a", 3.0, 5000))]
+    sink = storage.telemetry_sink(folder + "/t", folder + "/r")
+    sink(one_batch(spark, rows).repartition(parts), 0)
+    assert {r["power"] for r in stored(spark, folder + "/t").collect()} == {1.0}
+
+
+def test_a_batch_over_many_days_finds_what_is_stored(spark, folder):
+    sink = storage.telemetry_sink(folder + "/t", folder + "/r")
+    days = [("t", record(BASE - i * DAY_MS), 0, i) for i in range(130)]
+    sink(one_batch(spark, days[:70]), 0)
+    sink(one_batch(spark, days), 1)
+    assert stored(spark, folder + "/t").count() == 130

@@ -12,8 +12,9 @@ def first_wins(frame: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key: the one with the lowest ``order`` value.
 
     ``min_by`` per column keeps a fixed-size buffer and combines inside each task, so
-    a key repeated in a third of all rows costs one row per task in the shuffle. The
-    order value is unique within a key, so all columns come from the same row.
+    a key repeated in a third of all rows costs one row per task in the shuffle. The order
+    value must be unique, such as a message's topic, partition and offset: then all columns
+    come from the same row.
     """
     others = [c for c in frame.columns if c not in (*keys, order)]
     picked = [F.min_by(c, order).alias(c) for c in others]

@@ -46,12 +46,17 @@ TABLES = {
     "energy_analytics_hourly": (
         "node_id STRING, division STRING, hour_start TIMESTAMP, "
         "total_consumption_wh DOUBLE, avg_power_w DOUBLE, peak_power_w DOUBLE, "
-        "reading_count INT"
+        "reading_count INT, created_at TIMESTAMP"
     ),
     "energy_analytics_daily": (
         "node_id STRING, division STRING, date DATE, total_consumption_wh DOUBLE, "
-        "avg_power_w DOUBLE, peak_power_w DOUBLE, reading_count INT"
+        "avg_power_w DOUBLE, peak_power_w DOUBLE, reading_count INT, created_at TIMESTAMP"
     ),
+    "points": (
+        "node_id STRING, timestamp BIGINT, voltage DOUBLE, current DOUBLE, power DOUBLE, "
+        "energy_wh DOUBLE"
+    ),
+    "rejected": "value STRING, reason STRING, arrived BIGINT",
     "runs": (
         "run_id STRING, experiment STRING, ts BIGINT, "
         "params MAP<STRING,STRING>, metrics MAP<STRING,DOUBLE>"
@@ -61,6 +66,7 @@ TABLES = {
 # Columns that identify a row of each keyed table.
 KEYS = {
     "telemetry_readings": ["node_id", "timestamp"],
+    "points": ["node_id", "timestamp"],
     "node_metadata": ["node_id"],
     "stream_summaries": ["node_id", "window_start"],
     "energy_features": ["node_id", "timestamp"],

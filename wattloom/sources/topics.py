@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.messages import to_message
@@ -27,31 +27,39 @@ def topic_options(servers: str, topic: str, start: str = "earliest") -> dict[str
     }
 
 
+def place(topic: str, partition: Column, offset: Column) -> Column:
+    return F.struct(
+        F.col(topic).alias("topic"),
+        partition.cast("int").alias("partition"),
+        offset.cast("bigint").alias("offset"),
+    )
+
+
 def read_topic(
     spark: SparkSession, servers: str, topic: str, start: str = "earliest", **extra: str
 ) -> DataFrame:
-    """Unbounded ``value``, ``topic`` and ``seq``.
+    """Unbounded ``value``, ``topic`` and ``seq``, the message's place: topic, partition, offset.
 
-    ``seq`` is the offset with the partition number in its lowest 12 bits, so it is
-    unique within a topic of up to 4,096 partitions and keeps each partition's order.
+    That is unique over all topics and partitions, so the first of two equal keys is the same
+    however the messages are dealt out.
     """
     options = {**topic_options(servers, topic, start), **extra}
     raw = spark.readStream.format("kafka").options(**options).load()
     return raw.select(
         F.col("value").cast("string").alias("value"),
         "topic",
-        F.shiftleft("offset", 12).bitwiseOR(F.col("partition").cast("bigint")).alias("seq"),
+        place("topic", F.col("partition"), F.col("offset")).alias("seq"),
     )
 
 
 def read_message_files(
     spark: SparkSession, path: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Unbounded JSON lines ``{"topic", "seq", "value"}`` from a folder."""
+    """Unbounded JSON lines ``{"topic", "seq", "value"}`` from a folder; ``seq`` counts per topic."""
     reader = spark.readStream.schema("topic STRING, seq BIGINT, value STRING")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return reader.json(path).withColumn("seq", place("topic", F.lit(0), F.col("seq")))
 
 
 def write_topic(frame: DataFrame, servers: str, topic: str, checkpoint: str):

@@ -1,31 +1,30 @@
 """Storage of streamed records with first-write-wins keys.
 
-Each micro-batch writes its own ``batch`` partition under each day and replaces it when
-the batch is retried, so a retry neither loses nor doubles rows. The batch name carries
-the id of the stream, which its checkpoint keeps; a new checkpoint cannot overwrite the
-partitions of an earlier one. Offsets are committed only after all writes succeeded.
+Tables are partitioned by day. Every stored row carries the name of its micro-batch, which contains the
+id of the stream that its checkpoint keeps. A retried batch therefore finds its own rows and adds none
+twice. Offsets are committed only after all writes succeeded. Each sink is the only writer of its
+tables; after every ``TIDY_EVERY`` batches it merges the small files of the days it wrote to, so the
+files of a day stay few however many batches write into it.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.messages import judge_ingest, route
-from ..operators.keyed import insert_if_absent
-from ..schemas import KEYS, schema
-from ..sources.tables import BATCH, DAY, read_days, replace_days, with_day, write_points
+from ..schemas import KEYS, MEASURES, schema
+from ..sources.tables import BATCH, DAY, compact_days, insert_rows
 
 log = logging.getLogger(__name__)
 
-# Beyond this many days in one batch the time spans are left out of the filter.
-MAX_SPANS = 100
+TIDY_EVERY = 32
+PLACE = "place"  # where a message came from, as text; the key of records that have none
 
 Secondary = Callable[[DataFrame], None]
 
@@ -35,117 +34,161 @@ def batch_name(spark: SparkSession, batch_id: int) -> str:
     return f"{stream}-{batch_id:012d}"
 
 
-def insert_batch(
-    rows: DataFrame, path: str, table: str, order: str, batch: str, time: str = "timestamp"
-) -> DataFrame:
-    """Insert rows whose key is not stored yet; returns the rows of this batch."""
-    spark, keys = rows.sparkSession, KEYS[table]
-    dated = with_day(rows, time)
-    # One row per day of the batch: only those folders are searched for stored keys,
-    # and within them only row groups that reach into the batch's time span.
-    spans = dated.groupBy(DAY).agg(F.min(time).alias("a"), F.max(time).alias("b")).collect()
-    days = [r[DAY] for r in spans]
-    stored = read_days(spark, path, table, [BATCH], days).where(F.col(BATCH) != batch)
-    if 0 < len(spans) <= MAX_SPANS:
-        spanned = [(F.col(DAY) == r[DAY]) & F.col(time).between(r["a"], r["b"]) for r in spans]
-        stored = stored.where(reduce(or_, spanned))
-    new = insert_if_absent(dated, stored, keys, order).drop(order)
-    replace_days(new.withColumn(BATCH, F.lit(batch)), path, [DAY, BATCH])
-    return read_days(spark, path, table, [BATCH], days, batch)
-
-
-def telemetry_sink(
-    path: str, rejected: str, secondary: Secondary | None = None
-) -> Callable[[DataFrame, int], None]:
-    """Validate, store, then pass newly stored rows to the secondary sink.
-
-    Invalid messages go to ``rejected`` with their reason. A failing primary write
-    raises, so the batch is retried. A failing secondary write is logged and dropped.
+class Tables:
+    """The tables of one sink: inserts, and now and then a merge of small files."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, int] = {}
+        self.spans: dict[str, tuple[date, date]] = {}
+
+    def insert(
+        self,
+        rows: DataFrame,
+        path: str,
+        table: str,
+        order: str,
+        batch: str,
+        time: str = "timestamp",
+        keys: list[str] | None = None,
+    ) -> DataFrame:
+        """Insert rows whose key is not stored yet; returns the stored rows of this batch."""
+        done = self.batches.get(path, 0)
+        if done and done % TIDY_EVERY == 0 and path in self.spans:
+            compact_days(rows.sparkSession, path, self.spans.pop(path), TIDY_EVERY // 2)
+        self.batches[path] = done + 1
+        inserted, span = insert_rows(rows, path, table, keys or KEYS[table], order, batch, time)
+        if span is not None:
+            old = self.spans.get(path, span)
+            self.spans[path] = (min(span[0], old[0]), max(span[1], old[1]))
+        return inserted
+
+
+def place_text(seq: str = "seq") -> Column:
+    """A message's place as one text."""
+    return F.concat_ws("/", f"{seq}.topic", f"{seq}.partition", f"{seq}.offset")
+
+
+class TelemetrySink:
+    """Validate, store, then pass the batch's stored rows to the secondary sink.
+
+    Invalid messages go to ``rejected`` with their reason, by the day they arrived. A failing primary
+    write raises, so the batch is retried. A failing secondary write is logged and dropped.
     """
 
-    def write(messages: DataFrame, batch_id: int) -> None:
-        spark = messages.sparkSession
-        batch = batch_name(spark, batch_id)
+    def __init__(self, path: str, rejected: str, secondary: Secondary | None = None):
+        self.path, self.rejected, self.secondary = path, rejected, secondary
+        self.tables = Tables()
+
+    def __call__(self, messages: DataFrame, batch_id: int) -> None:
         judged = judge_ingest(messages).persist()
         try:
-            bad = judged.where(F.col("reason").isNotNull()).select("value", "reason")
-            replace_days(bad.withColumn(BATCH, F.lit(batch)), rejected, [BATCH])
-            good = judged.where(F.col("reason").isNull()).select("data.*", "seq")
-            stamped = good.withColumn("created_at", F.current_timestamp())
-            inserted = insert_batch(stamped, path, "telemetry_readings", "seq", batch)
-            if secondary is not None:
-                try:
-                    secondary(inserted)
-                except Exception:
-                    log.warning("secondary write of batch %s failed", batch, exc_info=True)
+            self.store(judged, batch_id)
         finally:
             judged.unpersist()
 
-    return write
+    def store(self, judged: DataFrame, batch_id: int) -> None:
+        """Store messages that carry their verdict already."""
+        batch = batch_name(judged.sparkSession, batch_id)
+        bad = judged.where(F.col("reason").isNotNull()).select(
+            "value",
+            "reason",
+            F.unix_millis(F.current_timestamp()).alias("arrived"),
+            place_text().alias(PLACE),
+            "seq",
+        )
+        self.tables.insert(bad, self.rejected, "rejected", "seq", batch, "arrived", [BATCH, PLACE])
+        good = judged.where(F.col("reason").isNull()).select("data.*", "seq")
+        stamped = good.withColumn("created_at", F.current_timestamp())
+        inserted = self.tables.insert(stamped, self.path, "telemetry_readings", "seq", batch)
+        if self.secondary is not None:
+            try:
+                self.secondary(inserted)
+            except Exception:
+                log.warning("secondary write of batch %s failed", batch, exc_info=True)
+
+
+def telemetry_sink(path: str, rejected: str, secondary: Secondary | None = None) -> TelemetrySink:
+    return TelemetrySink(path, rejected, secondary)
 
 
 def points_sink(path: str) -> Secondary:
-    return lambda inserted: write_points(inserted, path)
+    """Time-series points: node, four measures, millisecond time. A point is stored once."""
+    tables = Tables()
+
+    def write(inserted: DataFrame) -> None:
+        measures = [F.col(m).cast("double").alias(m) for m in MEASURES]
+        points = inserted.select("node_id", "timestamp", *measures)
+        points = points.withColumn("seq", F.col("timestamp"))
+        tables.insert(points, path, "points", "seq", batch_name(inserted.sparkSession, 0))
+
+    return write
 
 
 def summary_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Store window summaries, first per node and window start."""
+    tables = Tables()
 
     def write(summaries: DataFrame, batch_id: int) -> None:
         batch = batch_name(summaries.sparkSession, batch_id)
         ordered = summaries.withColumn("seq", F.col("window_end")).persist()
         try:
-            insert_batch(ordered, path, "stream_summaries", "seq", batch, "window_start")
+            tables.insert(ordered, path, "stream_summaries", "seq", batch, "window_start")
         finally:
             ordered.unpersist()
 
     return write
 
 
-def append_batch(rows: DataFrame, path: str, batch: str, time: str = "timestamp") -> None:
-    """Append without a key, replacing only this batch's own partitions."""
-    dated = with_day(rows, time).withColumn(BATCH, F.lit(batch))
-    replace_days(dated, path, [DAY, BATCH])
-
-
 def device_records(messages: DataFrame, table: str) -> DataFrame:
     """Event or health payloads (passed through unvalidated) under the table's schema."""
     fields = schema(table)
     wanted = [f.name for f in fields if f.name != "created_at"]
-    parsed = messages.select(F.from_json("value", fields).alias("r")).select("r.*")
-    return parsed.select(*wanted, F.current_timestamp().alias("created_at"))
+    parsed = messages.select(
+        F.from_json("value", fields).alias("r"), "seq", place_text().alias(PLACE)
+    )
+    stamp = F.current_timestamp().alias("created_at")
+    return parsed.select(*(f"r.{c}" for c in wanted), stamp, "seq", PLACE)
 
 
 def routed(messages: DataFrame) -> dict[str, DataFrame]:
-    """Device messages by topic suffix: valid telemetry, events, health.
+    """Device messages by topic suffix: judged telemetry that is valid, events, health.
 
     Messages of other topics and unparsable payloads are dropped.
     """
     kinds = messages.withColumn("kind", route("topic"))
     parsable = F.try_parse_json("value").isNotNull()
-    of = lambda kind: kinds.where((F.col("kind") == kind) & parsable).drop("kind")
-    valid = judge_ingest(of("telemetry")).where(F.col("reason").isNull())
+    of = lambda kind: kinds.where(F.col("kind") == kind).drop("kind")
     return {
-        "telemetry": valid.select(*messages.columns),
-        "events": of("events"),
-        "health": of("health"),
+        "telemetry": judge_ingest(of("telemetry")).where(F.col("reason").isNull()),
+        "events": of("events").where(parsable),
+        "health": of("health").where(parsable),
     }
 
 
 def router_sink(
-    telemetry: Callable[[DataFrame, int], None], events_path: str, health_path: str
+    telemetry: TelemetrySink, events_path: str, health_path: str
 ) -> Callable[[DataFrame, int], None]:
-    """One pass over device topics: telemetry to its sink, events and health to tables."""
+    """One pass over device topics: telemetry to its sink, events and health to tables.
+
+    A telemetry message is parsed once; the sink gets it with its verdict.
+    """
+    tables = Tables()
 
     def write(messages: DataFrame, batch_id: int) -> None:
         batch = batch_name(messages.sparkSession, batch_id)
         messages.persist()
+        parts = routed(messages)
+        judged = parts["telemetry"].persist()
         try:
-            parts = routed(messages)
-            telemetry(parts["telemetry"], batch_id)
-            append_batch(device_records(parts["events"], "node_events"), events_path, batch)
-            append_batch(device_records(parts["health"], "node_health"), health_path, batch)
+            telemetry.store(judged, batch_id)
+            for kind, table, path in (
+                ("events", "node_events", events_path),
+                ("health", "node_health", health_path),
+            ):
+                records = device_records(parts[kind], table)
+                tables.insert(records, path, table, "seq", batch, keys=[BATCH, PLACE])
         finally:
+            judged.unpersist()
             messages.unpersist()
 
     return write
