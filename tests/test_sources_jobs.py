@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.functions.timecols import DAY_MS, HOUR_MS
-from wattloom.operators import meters, nodes
+from wattloom.operators import meters, nodes, retention
 from wattloom.plans import jobs
 from wattloom.schemas import READING, TABLES
 from wattloom.sources import files, jdbc, tables, topics
@@ -99,12 +99,6 @@ def test_day_filter_prunes_partitions(spark, folder):
     assert "EqualTo(node_id,a)" in plan
 
 
-def test_points_append(spark, folder):
-    tables.write_points(readings(spark, 3), folder + "/p")
-    tables.write_points(readings(spark, 2), folder + "/p")
-    assert spark.read.parquet(folder + "/p").count() == 5
-
-
 def test_purge_drops_days_and_rewrites_the_boundary(spark, folder):
     path = folder + "/t"
     rows = tables.with_day(readings(spark, 72)).withColumn(
@@ -114,7 +108,7 @@ def test_purge_drops_days_and_rewrites_the_boundary(spark, folder):
     # Cutoff: the second day at 12:00, inside batch b2; b1 of that day is fully expired.
     as_of = BASE + DAY_MS + 12 * HOUR_MS + 30 * DAY_MS
     for _ in range(2):  # a repeated run changes nothing
-        tables.purge_days(spark, path, "telemetry_readings", as_of, 30)
+        assert tables.purge_rows(spark, path, "telemetry_readings", as_of, 30) in (36, 0)
         left = spark.read.parquet(path)
         assert left.count() == 36
         assert left.agg(F.min("timestamp")).first()[0] == BASE + DAY_MS + 12 * HOUR_MS
@@ -166,6 +160,83 @@ def test_incremental_features_equal_a_full_run(spark, folder):
     assert full.exceptAll(inc).count() == 0
 
 
+def test_incremental_daily_run_equals_a_full_run(spark, folder):
+    power = "CAST(pmod(xxhash64(node_id, timestamp), 1000) AS DOUBLE) / 8"
+    data = readings(spark, 45 * 24).unionByName(readings(spark, 200, "b", step=5 * HOUR_MS))
+    data = data.withColumn("power", F.expr(power))
+    meta = spark.createDataFrame([("a", "meter", "north")], TABLES["node_metadata"])
+    split = BASE + 43 * DAY_MS
+    paths = lambda name: [f"{folder}/{name}_{t}" for t in "fhd"]
+    jobs.daily_run(data, meta, *paths("full"))
+    early = data.where(F.col("timestamp") < split + DAY_MS // 2)  # the last day is incomplete
+    jobs.daily_run(early, meta, *paths("inc"))
+    since = jobs.resume_ms(spark, paths("inc")[0])
+    assert since == split
+    before = {p: files_by_day(p) for p in paths("inc")}
+    report = jobs.daily_run(data, meta, *paths("inc"), since).first()
+    assert report["row_count"] == 2 * 24  # the rows written, not the table
+    for one, two in zip(paths("full"), paths("inc")):
+        full, inc = (spark.read.parquet(p).drop("created_at") for p in (one, two))
+        assert inc.count() == full.count() and full.exceptAll(inc).count() == 0
+        after = files_by_day(two)
+        assert {d for d in after if after[d] != before[two].get(d)} == set(sorted(after)[-2:])
+
+
+def files_by_day(path):
+    return {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if "=" in d}
+
+
+def test_history_reads_only_the_days_it_needs(spark, folder):
+    data = readings(spark, 60 * 24)
+    jobs.feature_job(data, folder + "/f")
+    since = BASE + 59 * DAY_MS
+    stored = tables.read_days(spark, folder + "/f", "energy_features")
+    fresh = jobs.feat.hourly_features(data.where(F.col("timestamp") >= since))
+    history = jobs._history(stored, fresh, since)
+    assert history.count() == 30 * 24
+    tenth = stored.where("timestamp % 36000000 = 0")  # too few in the frame: older rows come too
+    before = tenth.where(F.col("timestamp") < since).count()
+    assert 72 < before < 168 and jobs._history(tenth, fresh, since).count() == before
+    fourth = stored.where("timestamp % 14400000 = 0")
+    assert jobs._history(fourth, fresh, since).count() == 180
+
+
+def test_retention_of_all_tables(spark, folder):
+    now_day = F.expr(f"timestamp_millis({BASE} + CAST(timestamp - {BASE} AS BIGINT) * 2)")
+    data = readings(spark, 72)
+    meta = spark.createDataFrame([("a", "meter", "north")], TABLES["node_metadata"])
+    names = ["telemetry_readings", "node_events", "node_health", "anomaly_records", "forecasts",
+             "energy_features", "energy_analytics_hourly", "energy_analytics_daily"]
+    paths = {n: f"{folder}/{n}" for n in names}
+    for n in names[:3]:
+        tables.replace_days(tables.with_day(data.withColumn("created_at", now_day)), paths[n])
+    scores = data.select("node_id", "timestamp", F.lit("t").alias("anomaly_type"),
+                         F.lit(-0.2).alias("score"), F.lit("high").alias("severity"))
+    tables.replace_days(tables.with_day(scores), paths["anomaly_records"])
+    jobs.daily_run(data, meta, *(paths[n] for n in names[5:]))
+    forecasts = data.select("node_id", "timestamp", F.col("power").alias("predicted_consumption"))
+    for run in (BASE, BASE + DAY_MS):
+        tables.replace_days(forecasts.withColumn("run_ts", F.lit(run)), paths["forecasts"], ["run_ts"])
+    frames = lambda: {n: spark.read.parquet(p) for n, p in paths.items()}
+    as_of = BASE + DAY_MS + 12 * HOUR_MS + 30 * DAY_MS
+    want = {n: f.count() - retention.kept(f, n, as_of).count() for n, f in frames().items()}
+    assert want["telemetry_readings"] == 36 and want["forecasts"] == 72
+    # Rows made a minute ago stay, however old the hours they are about.
+    assert want["energy_features"] == want["energy_analytics_daily"] == 0
+    for expected in (want, dict.fromkeys(names, 0)):
+        got = {r["table_name"]: r["deleted"] for r in jobs.retention_job(spark, paths, as_of).collect()}
+        assert got == {**expected, "total": sum(expected.values())}
+        for n, f in frames().items():
+            assert f.count() == retention.kept(f, n, as_of).count()
+    # By creation time: of one day, half the rows are older than the limit.
+    features = spark.read.parquet(paths["energy_features"])
+    aged = features.withColumn("created_at", F.expr(f"timestamp_millis(timestamp - {DAY_MS})"))
+    aged.write.partitionBy("event_date").parquet(folder + "/aged")
+    assert tables.purge_rows(spark, folder + "/aged", "energy_features", as_of) == 60
+    left = spark.read.parquet(folder + "/aged")
+    assert left.count() == 12 and left.agg(F.min("timestamp")).first()[0] == BASE + 60 * HOUR_MS
+
+
 def test_validation_gate(spark):
     data = readings(spark, 48).withColumn("created_at", F.timestamp_millis("timestamp"))
     ok = jobs.validation_gate(data, "2024-01-01 00:00:00", "2024-01-02 00:00:00").first()

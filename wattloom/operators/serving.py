@@ -130,3 +130,12 @@ def between_ms(frame: DataFrame, start_ms: int, end_ms: int | None) -> DataFrame
         rows = rows.where(F.col("timestamp") < end_ms)
         rows = rows.where(F.col("event_date") <= day(end_ms)) if dated else rows
     return rows
+
+
+def before_ms(frame: DataFrame, end_ms: int) -> DataFrame:
+    """Rows earlier than a time, also by the partition column when there is one."""
+    rows = frame.where(F.col("timestamp") < end_ms)
+    if "event_date" in frame.columns:
+        last = F.date_from_unix_date(F.lit(end_ms // DAY_MS).cast("int"))
+        rows = rows.where(F.col("event_date") <= last)
+    return rows

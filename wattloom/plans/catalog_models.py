@@ -442,9 +442,11 @@ BY_TIME_SQL = _counts_sql(
 )
 BY_CREATION_SQL = _counts_sql(
     {
-        "energy_features": ("hourly", "timestamp"),
-        "energy_analytics_hourly": ("hourly_rollup", "hour_ms"),
-        "energy_analytics_daily": ("daily_rollup", "day * 86400000"),
+        "energy_features": ("hourly", "timestamp + reading_count % 3 * 864000000"),
+        "energy_analytics_hourly": ("hourly_rollup", "hour_ms + reading_count % 3 * 864000000"),
+        "energy_analytics_daily": (
+            "daily_rollup", "day * 86400000 + reading_count % 3 * 864000000"
+        ),
     }
 )
 
@@ -461,7 +463,9 @@ def _by_time(v: Views):
 
 def _by_creation(v: Views):
     partials = rollups.hourly_partials(v.telemetry)
-    created = F.timestamp_millis
+    # Created up to twenty days after the time that a row is about.
+    late = F.col("reading_count").cast("bigint") % 3 * 864_000_000
+    created = lambda ms: F.timestamp_millis((F.col(ms) if isinstance(ms, str) else ms) + late)
     daily = rollups.daily_from_partials(partials, v.metadata)
     day = F.unix_date("date").cast("bigint") * 86_400_000
     return {

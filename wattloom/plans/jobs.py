@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecols import last_days
+from ..functions.timecols import DAY_MS, last_days
 from ..operators import features as feat
 from ..operators import forecasting, nodes, quality, rollups, runs, scaling, sequences
 from ..operators import isolation_forest as forest
-from ..operators.serving import between_ms
+from ..operators.retention import RETENTION_DAYS
+from ..operators.serving import before_ms, between_ms
 from ..session import materialise
-from ..sources.tables import DAY, read_days, replace_days, with_day
+from ..sources.tables import (
+    DAY,
+    NO_DAY,
+    day_folders,
+    purge_rows,
+    read_days,
+    replace_days,
+    with_day,
+)
 
 LOOKBACK_DAYS = 30  # fixed value
 
@@ -20,22 +31,55 @@ class ValidationFailed(ValueError):
     """A validation interval holds failing readings."""
 
 
-def batch_analytics(telemetry: DataFrame, metadata: DataFrame, hourly_path: str, daily_path: str):
-    """Hourly and daily rollups from one scan of the readings.
+def batch_analytics(
+    telemetry: DataFrame,
+    metadata: DataFrame,
+    hourly_path: str,
+    daily_path: str,
+    since_ms: int | None = None,
+):
+    """Hourly and daily rollups from one scan of the readings, from ``since_ms`` (a day start) on.
 
     The hourly sums are computed once into the shared checkpoint folder and feed both
     tables; each table replaces only the days it covers.
     """
-    pruned = telemetry.select("node_id", "timestamp", "power", "energy_wh")
+    pruned = telemetry if since_ms is None else between_ms(telemetry, since_ms, None)
+    pruned = pruned.select("node_id", "timestamp", "power", "energy_wh")
     partials = materialise(rollups.hourly_partials(pruned))
-    hourly = rollups.hourly_from_partials(partials, metadata)
+    stamp = F.current_timestamp()
+    hourly = rollups.hourly_from_partials(partials, metadata).withColumn("created_at", stamp)
     replace_days(with_day(hourly, "hour_ms").drop("hour_ms"), hourly_path)
-    daily = rollups.daily_from_partials(partials, metadata)
+    daily = rollups.daily_from_partials(partials, metadata).withColumn("created_at", stamp)
     replace_days(daily.withColumn(DAY, F.col("date")), daily_path)
 
 
+def _history(stored: DataFrame, fresh: DataFrame, since_ms: int) -> DataFrame:
+    """Stored hours that values from ``since_ms`` on depend on: those within the longest rolling
+    frame, and for nodes with fewer than the longest lag's rows in it, so many rows from before."""
+    edge = since_ms - LOOKBACK_DAYS * DAY_MS
+    recent = between_ms(stored, edge, since_ms)
+    rows = max(feat.LAG_ROWS.values())
+    counts = recent.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    short = (
+        fresh.select("node_id")
+        .distinct()
+        .join(counts, "node_id", "left")
+        .where(F.coalesce("n", F.lit(0)) < rows)
+        .select("node_id")
+    )
+    newest = Window.partitionBy("node_id").orderBy(F.desc("timestamp"))
+    older = (
+        before_ms(stored, edge)
+        .join(short, "node_id", "left_semi")
+        .withColumn("back", F.row_number().over(newest))
+        .where(F.col("back") <= rows)
+        .drop("back")
+    )
+    return recent.unionByName(older).select(*fresh.columns)
+
+
 def feature_job(telemetry: DataFrame, path: str, since_ms: int | None = None) -> DataFrame:
-    """Hourly features, written by day; returns the quality counts of the table.
+    """Hourly features, written by day; returns the quality counts of the rows written.
 
     With ``since_ms`` (a day start) only readings from that day on are aggregated. Lags
     and rolling values of the new hours then use the hourly measures already stored,
@@ -46,24 +90,47 @@ def feature_job(telemetry: DataFrame, path: str, since_ms: int | None = None) ->
         features = feat.engineer_features(feat.hourly_features(telemetry))
     else:
         fresh = feat.hourly_features(between_ms(telemetry, since_ms, None))
-        stored = read_days(spark, path, "energy_features").where(F.col("timestamp") < since_ms)
-        history = stored.select(*fresh.columns)
+        stored = read_days(spark, path, "energy_features")
         # Written before the table it was read from is replaced.
-        hourly = materialise(history.unionByName(fresh))
+        hourly = materialise(_history(stored, fresh, since_ms).unionByName(fresh))
         features = feat.engineer_features(hourly).where(F.col("timestamp") >= since_ms)
     replace_days(with_day(features.drop("feature_timestamp")), path)
-    return feat.feature_quality(spark.read.parquet(path))
+    written = read_days(spark, path, "energy_features")
+    return feat.feature_quality(between_ms(written, since_ms or 0, None))
+
+
+def resume_ms(spark: SparkSession, path: str) -> int | None:
+    """Start of the newest day stored in a table: where the next daily run begins. That day may have
+    been incomplete and is computed again. None when nothing is stored."""
+    days = [f.rsplit("=", 1)[1] for f in day_folders(spark, path) if not f.endswith(NO_DAY)]
+    if not days:
+        return None
+    return (date.fromisoformat(max(days)) - date(1970, 1, 1)).days * DAY_MS
 
 
 def daily_run(
-    telemetry: DataFrame, metadata: DataFrame, features_path: str, hourly_path: str, daily_path: str
+    telemetry: DataFrame,
+    metadata: DataFrame,
+    features_path: str,
+    hourly_path: str,
+    daily_path: str,
+    since_ms: int | None = None,
 ) -> DataFrame:
-    """Features first, then analytics."""
-    report = feature_job(telemetry, features_path)
-    batch_analytics(telemetry, metadata, hourly_path, daily_path)
+    """Features first, then analytics; all days, or those from ``since_ms`` (a day start) on."""
+    report = feature_job(telemetry, features_path, since_ms)
+    batch_analytics(telemetry, metadata, hourly_path, daily_path, since_ms)
     return report
 
 
+def retention_job(
+    spark: SparkSession, paths: dict[str, str], as_of_ms: int, days: int = RETENTION_DAYS
+) -> DataFrame:
+    """Delete the expired rows of the named tables; a row per table and one ``total``."""
+    deleted = {name: purge_rows(spark, path, name, as_of_ms, days) for name, path in paths.items()}
+    rows = [*deleted.items(), ("total", sum(deleted.values()))]
+    return spark.createDataFrame(rows, "table_name STRING, deleted BIGINT")
+
+
 def validation_gate(readings: DataFrame, start: str, end: str) -> DataFrame:
     """Validate the readings created in one interval; raise when any fails."""
     interval = quality.arrival_interval(
