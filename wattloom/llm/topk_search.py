@@ -13,6 +13,7 @@ from .common import query, stored, table
 
 LEVELS = (4, 16)  # segments per vector, coarse to fine
 QUERIES_AT_ONCE = 256
+DENSE = 8  # with one pair in so many left, a whole product costs less than picking pairs
 EXACT = float(1 << 53)
 
 
@@ -89,20 +90,34 @@ class Searcher:
         sizes = np.sqrt((vectors * vectors).sum(1))
         for at, best in self.blocks:
             to = at + len(best.least)
-            own = self.vectors[at:to]
+            own, k = self.vectors[at:to], best.k
+            own_sizes = np.sqrt((own * own).sum(1))
             # Room for rounding in the bounds; the scores themselves are exact.
-            slack = 1e-9 * np.sqrt((own * own).sum(1))[:, None] * sizes[None, :] + 1e-6
-            floor = best.least[:, None] - slack
+            slack = 1e-9 * own_sizes.max(initial=0) * sizes.max(initial=0) + 1e-6
+            floor = best.least - slack
             alive = self.ids[at:to, None] != ids[None, :]
-            bound = self.statistics[0][at:to] @ statistics[0].T
-            alive &= ~(bound < floor)
+            for mine, theirs in zip(self.statistics, statistics):
+                if np.count_nonzero(alive) * DENSE < alive.size:
+                    # Few pairs are left: bound each of them on its own.
+                    q, c = np.nonzero(alive)
+                    below = np.einsum("ij,ij->i", mine[at:to][q], theirs[c]) < floor[q]
+                    alive[q[below], c[below]] = False
+                else:
+                    alive &= ~(mine[at:to] @ theirs.T < floor[:, None])
+            left = np.count_nonzero(alive)
+            if left * DENSE >= alive.size and own_sizes.max() * sizes.max() < EXACT:
+                # Whole numbers below 2**53: the product of the matrices is exact.
+                scores = own @ vectors.T
+                scores[~alive] = -np.inf
+                least = best.least
+                if scores.shape[1] > k:
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                q, c = np.nonzero((scores >= least[:, None]) & alive)
+                best.add(q, ids[c], scores[q, c].astype(np.int64))
+                continue
             q, c = np.nonzero(alive)
             for begin in range(0, len(q), 1 << 16):
                 qs, cs = q[begin : begin + (1 << 16)], c[begin : begin + (1 << 16)]
-                for mine, theirs in zip(self.statistics[1:], statistics[1:]):
-                    fine = np.einsum("ij,ij->i", mine[at:to][qs], theirs[cs])
-                    left = ~(fine < floor[qs, cs])
-                    qs, cs = qs[left], cs[left]
                 scores = exact_scores(own[qs], vectors[cs])
                 good = scores >= best.least[qs]
                 if good.any():
