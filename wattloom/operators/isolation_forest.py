@@ -9,6 +9,7 @@ then a broadcast join with the 336-row score table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -50,31 +51,34 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
-def _draw(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """Rows drawn per cell: ``size`` distinct reading positions out of the total."""
+def chance(seed: int, tree: int, what: str) -> float:
+    """A number from 0 up to 1 that depends on nothing but its name, in any language."""
+    return int(hashlib.md5(f"{seed}:{tree}:{what}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def _draw(counts: np.ndarray, size: int, seed: int, tree: int) -> np.ndarray:
+    """Rows drawn per cell: ``size`` distinct reading positions out of the total, drawn in turn."""
     total = int(counts.sum())
-    size = min(size, total)
-    picked = np.empty(0, dtype=np.int64)
-    while len(picked) < size:
-        more = rng.integers(0, total, size=size)
-        merged = np.concatenate([picked, more])
-        _, first = np.unique(merged, return_index=True)
-        picked = merged[np.sort(first)][:size]
-    cells = np.searchsorted(np.cumsum(counts), picked, side="right")
+    picked: dict[int, None] = {}
+    turn = 0
+    while len(picked) < min(size, total):
+        picked[int(chance(seed, tree, f"draw:{turn}") * total)] = None
+        turn += 1
+    cells = np.searchsorted(np.cumsum(counts), np.array(list(picked), np.int64), side="right")
     return np.bincount(cells, minlength=len(counts))
 
 
 def _tree_grower(sample: int, seed: int):
+    """Nodes are numbered from the root, 1, on: the children of n are 2n and 2n + 1."""
+
     def grow(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values(FEATURES)
         tree = int(cells["tree_id"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        drawn = _draw(cells["n"].to_numpy(), sample, rng)
+        drawn = _draw(cells["n"].to_numpy(), sample, seed, tree)
         points = cells[FEATURES].to_numpy()[drawn > 0]
         weights = drawn[drawn > 0]
         limit = math.ceil(math.log2(max(int(weights.sum()), 2)))
-        rows, todo = [], [(0, np.arange(len(points)), 0)]
-        made = 1
+        rows, todo = [], [(1, np.arange(len(points)), 0)]
         while todo:
             node, members, depth = todo.pop()
             low, high = points[members].min(axis=0), points[members].max(axis=0)
@@ -83,12 +87,15 @@ def _tree_grower(sample: int, seed: int):
             if depth >= limit or len(varying) == 0:
                 rows.append((tree, node, -1, 0.0, -1, -1, depth, size))
                 continue
-            feature = int(rng.choice(varying))
-            cut = float(rng.uniform(low[feature], high[feature]))
+            feature = varying[int(chance(seed, tree, f"feature:{node}") * len(varying))]
+            share = chance(seed, tree, f"cut:{node}")
+            cut = float(low[feature] + share * (high[feature] - low[feature]))
             below = points[members, feature] <= cut
-            rows.append((tree, node, feature, cut, made, made + 1, depth, size))
-            todo += [(made, members[below], depth + 1), (made + 1, members[~below], depth + 1)]
-            made += 2
+            rows.append((tree, node, int(feature), cut, 2 * node, 2 * node + 1, depth, size))
+            todo += [
+                (2 * node, members[below], depth + 1),
+                (2 * node + 1, members[~below], depth + 1),
+            ]
         return pd.DataFrame(rows, columns=[f.split()[0] for f in TREE_SCHEMA.split(", ")])
 
     return grow
@@ -112,7 +119,8 @@ def _by_tree(frame: DataFrame, trees: int) -> GroupedData:
 
 def _cell_paths(tree: pd.DataFrame) -> pd.DataFrame:
     """Normalised path length of each of the 336 cells in one tree."""
-    tree = tree.sort_values("node")  # nodes are numbered 0, 1, 2, ...
+    tree = tree.sort_values("node")
+    place = {int(node): i for i, node in enumerate(tree["node"])}
     feature, cut = tree["feature"].to_numpy(), tree["threshold"].to_numpy()
     left, right = tree["left_node"].to_numpy(), tree["right_node"].to_numpy()
     depth, size = tree["depth"].to_numpy(), tree["size"].to_numpy()
@@ -120,14 +128,15 @@ def _cell_paths(tree: pd.DataFrame) -> pd.DataFrame:
     points = grid.reshape(-1, len(SHAPE))
     norm = average_path(int(size[0])) or 1.0
     path = np.zeros(len(points))
-    todo = [(0, np.arange(len(points)))]
+    todo = [(1, np.arange(len(points)))]
     while todo:
         node, members = todo.pop()
-        if feature[node] < 0:
-            path[members] = (depth[node] + average_path(int(size[node]))) / norm
+        at = place[int(node)]
+        if feature[at] < 0:
+            path[members] = (depth[at] + average_path(int(size[at]))) / norm
             continue
-        below = points[members, feature[node]] <= cut[node]
-        todo += [(left[node], members[below]), (right[node], members[~below])]
+        below = points[members, feature[at]] <= cut[at]
+        todo += [(left[at], members[below]), (right[at], members[~below])]
     frame = pd.DataFrame(points, columns=FEATURES)
     frame.insert(0, "tree_id", int(tree["tree_id"].iloc[0]))
     frame["path"] = path

@@ -11,14 +11,14 @@ from ..operators import isolation_forest as forest
 from ..operators import rollups, runs, scaling, sequences, serving
 from ..schemas import READING_FIELDS
 from ..session import materialise
-from ..streaming.scoring import anomalies_of
+from ..streaming.scoring import ANOMALY_TYPE, anomalies_of
 from ..streaming.windows import summarise
 from .catalog_aggregates import (
     CELL_SQL, DAY_STATS_SQL, DAY_TEXT, HOURLY, LAG_SQL, REASON_SQL, ROLLING_SQL, ROLLUP, SCALED,
     rounded,
 )
 from .registry import query, r9, r9_sql
-from .standins import FEB_01, JAN_16, JAN_30, JAN_31, Views
+from .standins import FEB_01, JAN_16, JAN_30, JAN_31, SEVERITY_SQL, Views
 
 FIELDS = ", ".join(READING_FIELDS)
 NUMBER = "('UBIGINT', 'BIGINT', 'DOUBLE')"
@@ -200,18 +200,110 @@ def _(v: Views):
     return forest.cell_counts(v.telemetry)
 
 
-@query("j3_isolation_trees")
+def _chance(what: str) -> str:
+    return f"('0x' || substr(md5('42:' || tree_id || ':{what}:' || {'i' if what == 'draw' else 'node'}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+def _average_path(n: str) -> str:
+    return (
+        f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE "
+        f"2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649) - 2 * ({n} - 1.0::DOUBLE) / {n} END"
+    )
+
+
+SPANS = ", ".join(
+    f"min({c}) OVER node AS low_{i}, max({c}) OVER node AS high_{i}" for i, c in enumerate(SCALED)
+)
+VARYING = ", ".join(f"CASE WHEN high_{i} > low_{i} THEN {i} END" for i in range(3))
+PICK = lambda stem: " ".join(f"WHEN {i} THEN {stem(i)}" for i in range(3))
+# Rows of a node know its split: the feature by one number named after the node, the cut by another.
+SPLIT_SQL = f"""
+SELECT *, CASE WHEN feature >= 0 THEN CASE feature {PICK(lambda i: f"low_{i}::DOUBLE")} END
+            + {_chance("cut")} * (CASE feature {PICK(lambda i: f"(high_{i} - low_{i})")} END)
+            ELSE 0 END AS threshold
+FROM (SELECT *, CASE WHEN depth >= deepest OR len(varying) = 0 THEN -1
+       ELSE varying[1 + floor({_chance("feature")} * len(varying))::INTEGER] END AS feature
+  FROM (SELECT *, [f FOR f IN [{VARYING}] IF f IS NOT NULL] AS varying
+    FROM (SELECT *, {SPANS} FROM {{rows}} WINDOW node AS (PARTITION BY tree_id, node))))"""
+FOREST_SQL = f"""
+WITH RECURSIVE cell AS (
+  SELECT *, sum(n) OVER (ORDER BY {", ".join(SCALED)}) AS cum, sum(n) OVER () AS total
+  FROM (SELECT {", ".join(SCALED)}, count(*) AS n FROM ({CELL_SQL}) GROUP BY ALL)
+), draw AS (
+  SELECT tree_id, i, floor({_chance("draw")} * total)::BIGINT AS pos, total
+  FROM range(100) AS t(tree_id), range(20000) AS r(i), (SELECT any_value(total) AS total FROM cell)
+), kept AS (
+  SELECT tree_id, pos FROM (SELECT tree_id, pos, min(i) AS i, any_value(total) AS total
+    FROM draw GROUP BY tree_id, pos)
+  QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY i) <= least(256, total)
+), drawn AS (
+  SELECT tree_id, {", ".join(SCALED)}, count(*) AS w,
+         greatest(1, ceil(log2(sum(count(*)) OVER (PARTITION BY tree_id))))::INTEGER AS deepest
+  FROM kept JOIN cell ON pos >= cum - n AND pos < cum GROUP BY tree_id, {", ".join(SCALED)}
+), grown AS (
+  SELECT tree_id, 1 AS node, 0 AS depth, {", ".join(SCALED)}, w, deepest FROM drawn
+  UNION ALL
+  SELECT tree_id, 2 * node + CASE WHEN CASE feature {PICK(lambda i: SCALED[i])} END > threshold
+         THEN 1 ELSE 0 END, depth + 1, {", ".join(SCALED)}, w, deepest
+  FROM ({SPLIT_SQL.format(rows="grown")}) WHERE feature >= 0
+), trees AS (
+  SELECT tree_id, node, any_value(feature) AS feature, any_value(threshold) AS threshold,
+         any_value(depth) AS depth, sum(w) AS size
+  FROM ({SPLIT_SQL.format(rows="grown")}) GROUP BY tree_id, node
+)"""
+TREES_SQL = f"""{FOREST_SQL}
+SELECT tree_id::INTEGER AS tree_id, node::INTEGER AS node, feature::INTEGER AS feature, threshold,
+       CASE WHEN feature < 0 THEN -1 ELSE 2 * node END::INTEGER AS left_node,
+       CASE WHEN feature < 0 THEN -1 ELSE 2 * node + 1 END::INTEGER AS right_node,
+       depth::INTEGER AS depth, size::INTEGER AS size FROM trees"""
+
+
+def _scored_sql(contamination: float) -> str:
+    """Scores of all cells: every cell walks every tree, then the offset is taken off."""
+    return f"""{FOREST_SQL}, walk AS (
+  SELECT tree_id, h AS hour_of_day, d AS day_of_week, a AS is_active, 1 AS node
+  FROM range(100) AS t(tree_id), range(24) AS x(h), range(7) AS y(d), range(2) AS z(a)
+  UNION ALL
+  SELECT walk.tree_id, hour_of_day, day_of_week, is_active,
+         2 * node + CASE WHEN CASE feature {PICK(lambda i: SCALED[i])} END > threshold
+         THEN 1 ELSE 0 END
+  FROM walk JOIN trees USING (tree_id, node) WHERE feature >= 0
+), raw AS (
+  SELECT {", ".join(SCALED)}, -pow(2.0::DOUBLE, -avg(
+    (t.depth + {_average_path("t.size")}) / ({_average_path("r.size")}))) AS raw
+  FROM walk JOIN trees t USING (tree_id, node) JOIN trees r ON r.tree_id = walk.tree_id AND r.node = 1
+  WHERE t.feature < 0 GROUP BY ALL
+), ranked AS (
+  SELECT raw, sum(n) OVER (ORDER BY raw, {", ".join(SCALED)}) AS cum,
+         (sum(n) OVER () - 1) * {contamination}::DOUBLE AS pos
+  FROM raw JOIN cell USING ({", ".join(SCALED)})
+), ends AS (
+  SELECT min(raw) FILTER (cum > floor(pos)) AS low, min(raw) FILTER (cum > ceil(pos)) AS high,
+         max(pos - floor(pos)) AS share FROM ranked
+), scored AS (
+  SELECT {", ".join(SCALED)}, raw - (low + (high - low) * share) AS score FROM raw, ends
+), readings AS (
+  SELECT t.node_id, t.timestamp, score, {SEVERITY_SQL} AS severity
+  FROM telemetry t JOIN ({CELL_SQL}) c USING (event_id) JOIN scored USING ({", ".join(SCALED)})
+)"""
+
+
+@query("j3_isolation_trees", TREES_SQL)
 def _(v: Views):
     return forest.grow_trees(forest.cell_counts(v.telemetry))
 
 
-@query("j4_anomaly_scores")
+@query("j4_anomaly_scores", f"""{_scored_sql(forest.CONTAMINATION)}
+SELECT node_id, timestamp, round_even(score, 6) AS anomaly_score, severity FROM readings""")
 def _(v: Views):
     counts = materialise(forest.cell_counts(v.telemetry))  # at most 336 rows, used twice
     return forest.detect(v.telemetry, forest.score_cells(forest.grow_trees(counts), counts))
 
 
-@query("i8_gated_anomalies")
+@query("i8_gated_anomalies", f"""{_scored_sql(forest.JOB_CONTAMINATION)}
+SELECT node_id, timestamp, '{ANOMALY_TYPE}' AS anomaly_type, round_even(score, 6) AS score, severity
+FROM readings WHERE severity <> 'normal' AND node_id IN (
+  SELECT node_id FROM telemetry GROUP BY node_id HAVING {FEB_01} - min(timestamp) >= 2592000000)""")
 def _(v: Views):
     counts = materialise(forest.cell_counts(v.telemetry))
     cells = forest.score_cells(
@@ -270,22 +362,80 @@ def _(v: Views):
     )
 
 
+def _least_squares_sql(windows: str) -> str:
+    """The fitted model, ``solved`` (i, j, v): weight i (0 is the intercept) of horizon j - 11.
+
+    The normal equations of all horizons at once, by elimination: step p makes column p a unit column.
+    """
+    return f"""
+train AS (SELECT * FROM ({windows}) WHERE rn % 2 = 1),
+fit AS (SELECT min(list_min(w)) AS low, max(list_max(w)) AS high FROM train),
+spread AS (SELECT low, CASE WHEN high > low THEN high - low ELSE 1 END AS span FROM fit),
+design AS (
+  SELECT list_prepend(1.0::DOUBLE, [(v - low) / span FOR v IN w]) AS z FROM train, spread
+), sums AS (
+  SELECT i, j, sum(z[i + 1] * z[j + 1]) AS v FROM design, range(11) AS a(i), range(35) AS b(j)
+  GROUP BY i, j
+), steps AS (
+  SELECT 0 AS p, i, j, v FROM sums
+  UNION ALL
+  SELECT p + 1, i, j, CASE WHEN i = p THEN row_v / lead_v ELSE v - col_v * row_v / lead_v END
+  FROM (SELECT *, max(CASE WHEN i = p THEN v END) OVER (PARTITION BY j) AS row_v,
+               max(CASE WHEN j = p THEN v END) OVER (PARTITION BY i) AS col_v,
+               max(CASE WHEN i = p AND j = p THEN v END) OVER () AS lead_v FROM steps)
+  WHERE p < 11
+), solved AS (SELECT i, j, v FROM steps WHERE p = 11 AND j >= 11)"""
+
+
+def _predicted_sql(inputs: str) -> str:
+    """Normalised predictions of ``inputs`` (any columns and z, ten normalised values)."""
+    return f"""
+SELECT q.*, j - 11 AS horizon,
+       greatest(0.0::DOUBLE, sum(v * CASE WHEN i = 0 THEN 1 ELSE z[i] END)) AS yhat
+FROM ({inputs}) q, solved GROUP BY ALL"""
+
+
+SPLIT_WINDOWS = """
+SELECT node_id, rn, part, w FROM (
+  SELECT node_id, part, row_number() OVER (PARTITION BY node_id, part ORDER BY timestamp) AS rn,
+         list(avg_power) OVER (PARTITION BY node_id, part ORDER BY timestamp
+           ROWS BETWEEN CURRENT ROW AND 33 FOLLOWING) AS w
+  FROM (SELECT *, rn <= floor(n * (1.0::DOUBLE - 0.2::DOUBLE)) AS part FROM numbered))
+WHERE len(w) = 34"""
+
+
 def _fitted(hourly):
     windows = sequences.sliding_windows(hourly, stride=sequences.TRAIN_STRIDE)
     scaler = scaling.fit_min_max(windows)
     return forecasting.fit_linear(windows, scaler), scaler
 
 
-@query("j11_forecaster_model")
+@query("j11_forecaster_model", f"""
+WITH RECURSIVE {_least_squares_sql("SELECT * FROM windows")}
+SELECT (j - 11)::INTEGER AS horizon, i::INTEGER AS term, round(v, 6) + 0 AS weight FROM solved""")
 def _(v: Views):
     model, _ = _fitted(v.hourly)
-    return model
+    terms = model.select(
+        "horizon", F.posexplode(F.concat(F.array("intercept"), "weights")).alias("term", "weight")
+    )
+    return terms.select("horizon", "term", (F.round("weight", 6) + F.lit(0.0)).alias("weight"))
 
 
-@query("j12_fitted_forecast")
+@query("j12_fitted_forecast", f"""
+WITH RECURSIVE {_least_squares_sql("SELECT * FROM windows")}, recent AS (
+  SELECT node_id, list(avg_power ORDER BY timestamp) AS x
+  FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC) AS back
+        FROM hourly WHERE timestamp >= {JAN_31 - 11 * 3600000})
+  WHERE back <= 10 GROUP BY node_id HAVING count(*) = 10
+)
+SELECT node_id, {JAN_31} + horizon * 3600000 AS timestamp,
+       round(greatest(0.0::DOUBLE, yhat * span + low), 6) AS predicted_consumption
+FROM ({_predicted_sql("SELECT node_id, [(v - low) / span FOR v IN x] AS z FROM recent, spread")}),
+     spread""")
 def _(v: Views):
     model, scaler = _fitted(v.hourly)
-    return forecasting.forecast(v.hourly, model, scaler, JAN_31)
+    out = forecasting.forecast(v.hourly, model, scaler, JAN_31)
+    return out.withColumn("predicted_consumption", F.round("predicted_consumption", 6))
 
 
 @query("j12_mean_forecast", f"""
@@ -302,7 +452,16 @@ def _(v: Views):
     return out.withColumn("predicted_consumption", F.round("predicted_consumption", 6))
 
 
-@query("j14_holdout_errors")
+@query("j14_holdout_errors", f"""
+WITH RECURSIVE {_least_squares_sql(f"SELECT * FROM ({SPLIT_WINDOWS}) WHERE part")}, held AS (
+  SELECT node_id, rn, [(v - low) / span FOR v IN w] AS z
+  FROM ({SPLIT_WINDOWS}), spread WHERE NOT part
+), errors AS (
+  SELECT yhat - z[11 + horizon] AS e, z[11 + horizon] AS y FROM ({_predicted_sql("SELECT * FROM held")})
+)
+SELECT round(sqrt(sum(e * e) / count(*)), 9) AS test_rmse,
+       round(sum(abs(e / (abs(y) + 1e-8))) / count(*), 9) AS test_mape FROM errors"""
+)
 def _(v: Views):
     split = sequences.time_split(v.hourly)
     model, scaler = _fitted(split.where("split = 'train'"))

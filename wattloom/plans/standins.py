@@ -216,6 +216,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[len('WITH RECURSIVE '):]}"
     if body.startswith("WITH "):
         return f"WITH {', '.join(ctes)}, {body[len('WITH '):]}"
     return f"WITH {', '.join(ctes)} {body}"
