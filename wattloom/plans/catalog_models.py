@@ -425,7 +425,7 @@ def _(v: Views):
 WITH RECURSIVE {_least_squares_sql("SELECT * FROM windows")}, recent AS (
   SELECT node_id, list(avg_power ORDER BY timestamp) AS x
   FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC) AS back
-        FROM hourly WHERE timestamp >= {JAN_31 - 11 * 3600000})
+        FROM steady WHERE timestamp >= {JAN_31 - 11 * 3600000})
   WHERE back <= 10 GROUP BY node_id HAVING count(*) = 10
 )
 SELECT node_id, {JAN_31} + horizon * 3600000 AS timestamp,
@@ -434,7 +434,7 @@ FROM ({_predicted_sql("SELECT node_id, [(v - low) / span FOR v IN x] AS z FROM r
      spread""")
 def _(v: Views):
     model, scaler = _fitted(v.hourly)
-    out = forecasting.forecast(v.hourly, model, scaler, JAN_31)
+    out = forecasting.forecast(v.steady, model, scaler, JAN_31)
     return out.withColumn("predicted_consumption", F.round("predicted_consumption", 6))
 
 
@@ -443,12 +443,12 @@ SELECT node_id, {JAN_31} + h * 3600000 AS timestamp,
        round(greatest(0.0, m), 6) AS predicted_consumption
 FROM (SELECT node_id, avg(avg_power) AS m FROM (
         SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC) AS back
-        FROM hourly WHERE timestamp >= {JAN_31 - 11 * 3600000}) WHERE back <= 10
+        FROM steady WHERE timestamp >= {JAN_31 - 11 * 3600000}) WHERE back <= 10
       GROUP BY node_id HAVING count(*) = 10), range(24) AS r(h)""")
 def _(v: Views):
     # An identity scaler: the model works in watts.
     scaler = v.hourly.agg(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    out = forecasting.forecast(v.hourly, forecasting.mean_model(v.spark), scaler, JAN_31)
+    out = forecasting.forecast(v.steady, forecasting.mean_model(v.spark), scaler, JAN_31)
     return out.withColumn("predicted_consumption", F.round("predicted_consumption", 6))
 
 
@@ -661,10 +661,10 @@ def _(v: Views):
 
 @query("l4_hourly_analytics", f"""
 SELECT node_id, division, hour_ms, {r9_sql(*ROLLUP)}, reading_count FROM hourly_rollup
-WHERE division = 'NATION_3' AND hour_ms >= {JAN_16} ORDER BY hour_ms DESC, node_id LIMIT 1000""")
+WHERE division = 'NATION_10' AND hour_ms >= {JAN_16} ORDER BY hour_ms DESC, node_id LIMIT 1000""")
 def _(v: Views):
     hourly = rollups.hourly_rollup(v.telemetry, v.metadata)
-    rows = serving.hourly_analytics(hourly, division="NATION_3", start_ms=JAN_16, limit=1000)
+    rows = serving.hourly_analytics(hourly, division="NATION_10", start_ms=JAN_16, limit=1000)
     return rows.select(
         "node_id", "division", F.unix_millis("hour_start").alias("hour_ms"),
         *r9(*ROLLUP), "reading_count",

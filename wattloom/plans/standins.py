@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import severity
@@ -194,6 +194,8 @@ FROM dense GROUP BY 1, 2, 3""",
     "numbered": """
 SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY timestamp) AS rn,
        count(*) OVER (PARTITION BY node_id) AS n FROM hourly""",
+    "steady": f"""
+SELECT * EXCLUDE (rn, n) REPLACE ({JAN_31} - (n - rn + 1) * 3600000 AS timestamp) FROM numbered""",
     "windows": """
 SELECT * FROM (
   SELECT node_id, timestamp AS start_ms, rn, list(avg_power) OVER (
@@ -357,6 +359,12 @@ class Views:
     def hourly(self) -> DataFrame:
         return features.hourly_features(self.dense)
 
+    @cached_property
+    def steady(self) -> DataFrame:
+        """The same hours without gaps, up to the end of January 30."""
+        back = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("timestamp")))
+        return self.hourly.withColumn("timestamp", F.lit(JAN_31) - back * 3_600_000)
+
     @cached_property
     def gappy(self) -> DataFrame:
         """Hours of which some have no average."""
