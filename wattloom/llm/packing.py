@@ -36,7 +36,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache((name, tokenizer), lambda: Cache(tokenizer, bytes))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             keys, split = batch.column("key").to_pylist(), []
             for t in batch.column("text").to_pylist():
                 split.append(runs(t))
