@@ -255,6 +255,6 @@ FROM rows
 """
 
 
-@query("op8_hierarchical_mixing")
+@query("op8_hierarchical_mixing", MIXING_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "mixed.*")
