@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,14 +43,28 @@ def stored(frame: DataFrame) -> DataFrame:
     """Write once as Parquet into the shared folder and read that back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation. The table is
-    compressed and columnar, so later passes read only the columns they need.
+    compressed and columnar, so later passes read only the columns they need. It is deleted when
+    the driver's Python ends.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    if not _KEPT:
+        atexit.register(_delete_kept, spark)
+    _KEPT.append(path)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+_KEPT: list[str] = []
+
+
+def _delete_kept(spark: SparkSession) -> None:
+    """Delete all stored tables when the driver's Python ends."""
+    with contextlib.suppress(Exception):  # the session may be gone already
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _KEPT):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(frame: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that no later plan reads."""
     spark = frame.sparkSession

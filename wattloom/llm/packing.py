@@ -210,12 +210,16 @@ def plan_packing(
     return plan
 
 
-def ranked(cut: DataFrame, key: str, counts: np.ndarray, most: int = 50_000) -> DataFrame:
-    """Adds ``rank``, from 0 among the pieces of a length. A frequent length is dealt over slots,
-    numbered on their own and shifted by the sizes of the slots before, so none meets in a task."""
-    slots = int(-(-counts.max() // most)) if counts.size else 1
-    slotted = cut.withColumn(
-        "slot", F.pmod(F.xxhash64(key, "piece"), F.lit(max(1, slots))).cast("int")
+def ranked(cut: DataFrame, key: str, counts: np.ndarray, most: int = 1000) -> DataFrame:
+    """Adds ``rank``, from 0 among the pieces of a length. A frequent length is dealt over slots of
+    about ``most`` pieces, numbered on their own and shifted by the sizes of the slots before, so
+    none meets in a task."""
+    at = np.flatnonzero(counts)
+    slots = cut.sparkSession.createDataFrame(
+        [(int(i), int(-(-counts[i] // most))) for i in at], "length bigint, slots bigint"
+    )  # at most a row per length
+    slotted = cut.join(F.broadcast(slots), "length").withColumn(
+        "slot", F.pmod(F.xxhash64(key, "piece"), F.col("slots"))
     )
     within = Window.partitionBy("length", "slot").orderBy(key, "piece")
     before = Window.partitionBy("length").orderBy("slot").rowsBetween(
@@ -227,7 +231,8 @@ def ranked(cut: DataFrame, key: str, counts: np.ndarray, most: int = 50_000) ->
     )
     numbered = slotted.withColumn("row", F.row_number().over(within).cast("bigint") - 1)
     joined = numbered.join(shifts, ["length", "slot"])
-    return joined.withColumn("rank", F.col("row") + F.col("shift")).drop("slot", "row", "shift")
+    ranks = joined.withColumn("rank", F.col("row") + F.col("shift"))
+    return ranks.drop("slot", "slots", "row", "shift")
 
 
 def pack(

@@ -46,10 +46,11 @@ def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> Data
         held: list[bool] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
-        end = -1
+        end = size = 0
 
         def reset() -> None:
-            nonlocal end
+            nonlocal end, size
+            size = 0
             numbers.clear()
             numbers.default_factory = count().__next__
             end = numbers[b"\n"]
@@ -87,7 +88,8 @@ def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> Data
                 keys.append(k)
                 held.append(h)
                 lengths.append(len(words) + 1)
-                if sum(lengths[-64:]) > CHUNK_TOKENS or len(lengths) % 64 == 0 and sum(lengths) > CHUNK_TOKENS:
+                size += len(words) + 1
+                if size > CHUNK_TOKENS:
                     yield emit()
         if keys:
             yield emit()
