@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -56,8 +57,8 @@ def test_sample_is_exact_and_partition_independent(spark):
     frame = spark.range(20_000).withColumnRenamed("id", "k")
     one = {r.k for r in ranked.reproducible_sample(frame.repartition(3), 700, ["k"]).collect()}
     two = {r.k for r in ranked.reproducible_sample(frame.repartition(11), 700, ["k"]).collect()}
-    hashed = frame.orderBy(F.xxhash64("k", F.lit(42)), "k").limit(700).collect()
-    assert one == two == {r.k for r in hashed}
+    digest = lambda k: int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:15], 16)
+    assert one == two == set(sorted(range(20_000), key=digest)[:700])
     assert ranked.reproducible_sample(spark.range(5), 700, ["id"]).count() == 5
 
 
@@ -362,59 +363,79 @@ def forecasts(spark, *rows):
     return spark.createDataFrame(list(rows), TABLES["forecasts"])
 
 
-NOON = 1_714_896_000_000
+NINE = 1_726_131_600_000  # 09:00 on a September day
 
 
 def test_anomaly_rule_cases(spark):
     rows = anomalies(
         spark,
-        ("a", 1, "t", -0.3, "high"), ("a", 2, "t", -0.5, "high"),
-        ("b", 1, "t", -0.1, "medium"), ("c", 1, "t", -0.02, "low"),
+        ("oven", 7, "t", -0.2125, "high"), ("oven", 5, "t", -0.4375, "high"),
+        ("oven", 9, "t", -0.4375, "medium"),
+        ("pump", 3, "t", -0.0625, "medium"), ("lamp", 4, "t", -0.03125, "low"),
     )
     got = {r["node_id"]: r for r in recommend.anomaly_rule(rows).collect()}
-    assert set(got) == {"a", "b"}
-    assert got["a"]["anomaly_score"] == -0.5 and got["b"]["severity"] == "medium"
-    assert got["a"]["message"] == (
-        "Node a flagged with high-severity anomaly (score -0.500). "
+    assert set(got) == {"oven", "pump"}
+    assert got["oven"]["anomaly_score"] == -0.4375 and got["pump"]["severity"] == "medium"
+    assert got["oven"]["message"] == (
+        "Node oven flagged with high-severity anomaly (score -0.438). "
         "Inspect for irregular consumption."
     )
-    assert json.loads(got["a"]["metadata_json"]) == {"anomaly_score": -0.5}
+    assert json.loads(got["oven"]["metadata_json"]) == {"anomaly_score": -0.4375}
 
 
 def test_consumption_rule_cases(spark):
-    rows = forecasts(spark, ("a", NOON, 900.0), ("a", NOON + HOUR, 950.5), ("b", NOON, 500.0))
-    got = recommend.consumption_rule(rows).collect()
-    assert [r["node_id"] for r in got] == ["a"]
-    assert got[0]["message"] == "Node a forecast exceeds 800W (peak: 950W). Review connected loads."
-    assert json.loads(got[0]["metadata_json"]) == {"max_consumption_watts": 950.5}
+    rows = forecasts(
+        spark, ("oven", NINE, 1203.25), ("oven", NINE + HOUR, 811.0), ("pump", NINE, 799.75),
+        ("edge", NINE, 800.0),
+    )
+    got = {r["node_id"]: r for r in recommend.consumption_rule(rows).collect()}
+    assert set(got) == {"oven", "edge"}
+    assert got["oven"]["message"] == (
+        "Node oven forecast exceeds 800W (peak: 1203W). Review connected loads."
+    )
+    assert json.loads(got["oven"]["metadata_json"]) == {"max_consumption_watts": 1203.25}
 
 
 def test_load_shift_lists_peak_hours(spark):
-    rows = forecasts(spark, *[("a", NOON + i * HOUR, 100.0 + 50 * i) for i in range(10)])
+    watts = [40.0] * 18 + [310.0, 615.0]  # the last two hours, from 03:00 on, stand out
+    rows = forecasts(spark, *[("pump", NINE + i * HOUR, w) for i, w in enumerate(watts)])
     row = recommend.load_shift_rule(rows).first()
     assert row["type"] == "load_shift" and row["severity"] == "medium"
-    assert row["peak_hours"] == [17]
-    assert json.loads(row["metadata_json"]) == {"peak_hours": [17], "max_consumption_watts": 550.0}
-    assert "(550W) at 17:00." in row["message"]
+    assert row["peak_hours"] == [3, 4]
+    assert json.loads(row["metadata_json"]) == {"peak_hours": [3, 4], "max_consumption_watts": 615.0}
+    assert "(615W)" in row["message"]
 
 
 def test_high_consumption_suppresses_load_shift(spark):
-    rows = forecasts(spark, *[("a", NOON + i * HOUR, 900.0 + 10 * i) for i in range(10)])
-    got = recommend.recommendations(anomalies(spark), rows, NOON).collect()
-    assert [r["type"] for r in got] == ["high_consumption"]
+    rows = forecasts(
+        spark,
+        *[("oven", NINE + i * HOUR, 820.0 + 7 * i) for i in range(6)],
+        *[("pump", NINE + i * HOUR, 20.0 + 125 * i) for i in range(6)],
+    )
+    got = recommend.recommendations(anomalies(spark), rows, NINE).collect()
+    assert [(r["node_id"], r["type"]) for r in got] == [("oven", "high_consumption")]
+
+
+def test_overlapping_runs_count_once(spark):
+    runs = [("oven", NINE, 1100.0, 1), ("oven", NINE, 90.0, 2), ("pump", NINE, 60.0, 1)]
+    rows = spark.createDataFrame(runs, TABLES["forecasts"] + ", run_ts BIGINT")
+    got = recommend.recommendations(anomalies(spark), rows, NINE).collect()
+    assert "high_consumption" not in {r["type"] for r in got}
+    records = serving.forecast_records(rows).collect()
+    assert {(r["node_id"], r["predicted_consumption"]) for r in records} == {("oven", 90.0), ("pump", 60.0)}
 
 
 def test_nothing_in_nothing_out(spark):
-    assert recommend.recommendations(anomalies(spark), forecasts(spark), NOON).count() == 0
+    assert recommend.recommendations(anomalies(spark), forecasts(spark), NINE).count() == 0
 
 
 def test_time_windows_of_the_rules(spark):
     recent = recommend.recent_anomalies(
-        anomalies(spark, ("in", NOON - 6 * HOUR, "t", -1.0, "high"), ("out", NOON - 6 * HOUR - 1, "t", -1.0, "high")), NOON
+        anomalies(spark, ("in", NINE - 6 * HOUR, "t", -1.0, "high"), ("out", NINE - 6 * HOUR - 1, "t", -1.0, "high")), NINE
     )
     assert [r["node_id"] for r in recent.collect()] == ["in"]
     ahead = recommend.upcoming_forecasts(
-        forecasts(spark, ("in", NOON, 1.0), ("out", NOON + 24 * HOUR, 1.0), ("old", NOON - 1, 1.0)), NOON
+        forecasts(spark, ("in", NINE, 1.0), ("out", NINE + 24 * HOUR, 1.0), ("old", NINE - 1, 1.0)), NINE
     )
     assert [r["node_id"] for r in ahead.collect()] == ["in"]
 
@@ -430,14 +451,14 @@ def test_node_id_pattern():
 
 
 def test_history_fills_missing_values_and_excludes_the_end(spark):
-    rows = readings(spark, ("a", NOON, None, 1.0, None, 2.0), ("a", NOON + 1000, 1.0, 1.0, 1.0, 1.0))
-    got = serving.telemetry_history(rows, NOON, "a", NOON, NOON + 1000).collect()
-    assert [tuple(r) for r in got] == [("a", NOON, 0.0, 1.0, 0.0, 2.0)]
+    rows = readings(spark, ("a", NINE, None, 1.0, None, 2.0), ("a", NINE + 1000, 1.0, 1.0, 1.0, 1.0))
+    got = serving.telemetry_history(rows, NINE, "a", NINE, NINE + 1000).collect()
+    assert [tuple(r) for r in got] == [("a", NINE, 0.0, 1.0, 0.0, 2.0)]
 
 
 def test_latest_forecast_run_wins(spark):
     rows = spark.createDataFrame(
-        [("a", NOON, 1.0, 1), ("a", NOON, 2.0, 5), ("b", NOON, 3.0, 1)],
+        [("a", NINE, 1.0, 1), ("a", NINE, 2.0, 5), ("b", NINE, 3.0, 1)],
         "node_id STRING, timestamp BIGINT, predicted_consumption DOUBLE, run_ts BIGINT",
     )
     got = {r[0]: r[2] for r in serving.latest_forecasts(rows).collect()}
@@ -499,11 +520,11 @@ def test_daily_average_is_not_an_average_of_averages(spark):
 
 def test_window_summary_arithmetic(spark):
     rows = readings(
-        spark, ("a", NOON, 220.0, 1.0, 400.0, 10.0), ("a", NOON + 1000, 240.0, 3.0, 600.0, 20.0),
-        ("a", NOON + 5000, 230.0, 1.0, 1.0, 1.0),
+        spark, ("a", NINE, 220.0, 1.0, 400.0, 10.0), ("a", NINE + 1000, 240.0, 3.0, 600.0, 20.0),
+        ("a", NINE + 5000, 230.0, 1.0, 1.0, 1.0),
     )
     first = summarise(rows).orderBy("window_start").first()
-    assert (first["window_start"], first["window_end"]) == (NOON, NOON + 2000)
+    assert (first["window_start"], first["window_end"]) == (NINE, NINE + 2000)
     assert (first["avg_power"], first["max_power"], first["avg_voltage"]) == (500.0, 600.0, 230.0)
     assert (first["avg_current"], first["avg_energy_wh"], first["record_count"]) == (2.0, 15.0, 2)
 

@@ -208,6 +208,6 @@ def load(spark: SparkSession, path: str, table: str = "cells") -> DataFrame:
         stored = spark.read.parquet(f"{path}/cells").select("model_ts")
         tables = spark.read.parquet(f"{path}/{table}")
     except AnalysisException as error:
-        raise RuntimeError("Model is not fitted. Call fit_and_save() first.") from error
+        raise RuntimeError(f"no model is stored under {path}") from error
     newest = stored.agg(F.max("model_ts")).scalar()
     return tables.where(F.col("model_ts") == newest).drop("model_ts")

@@ -24,6 +24,11 @@ MINUTE_COLUMNS = [
     "Sub_metering_1", "Sub_metering_2", "Sub_metering_3",
 ]
 MINUTE_NODE = "uci-household-main"
+# Assumed power factor, its bounds, plausible volts, bounds of current.
+POWER_FACTOR = 0.85
+POWER_FACTOR_RANGE = (0.1, 1.0)
+VOLTS = (200, 260)
+AMPS = (0, 150)
 
 
 def normalise_quarter_hour(raw: DataFrame) -> DataFrame:
@@ -37,9 +42,11 @@ def normalise_quarter_hour(raw: DataFrame) -> DataFrame:
         to_double("avg_import_kw").alias("kw"),
         to_double("voltage").alias("voltage"),
         to_double("current").alias("measured"),
-        clip(F.coalesce(to_double("power_factor"), F.lit(0.85)), 0.1, 1.0).alias("power_factor"),
+        clip(F.coalesce(to_double("power_factor"), F.lit(POWER_FACTOR)), *POWER_FACTOR_RANGE).alias(
+            "power_factor"
+        ),
     ).dropna(subset=["timestamp_ms", "kw"])
-    in_band = typed.where(F.col("voltage").between(200, 260))
+    in_band = typed.where(F.col("voltage").between(*VOLTS))
     power = in_band.withColumn("power_w", kw_to_w("kw"))
     amps = measured_or_derived_current("measured", "power_w", "voltage", "power_factor")
     return power.select(
@@ -48,7 +55,7 @@ def normalise_quarter_hour(raw: DataFrame) -> DataFrame:
         F.timestamp_millis("timestamp_ms").alias("datetime"),
         "power_w",
         "voltage",
-        clip(amps, 0, 150).alias("current"),
+        clip(amps, *AMPS).alias("current"),
         quarter_hour_kw_to_wh("kw").alias("energy_wh"),
         "power_factor",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecols import hour_ms
+from ..functions.timecols import HOUR_MS
 
 MAX_LIMIT = 1000
 SLOTS = 10_000
@@ -29,18 +29,21 @@ def check_limit(limit: int, low: int = 1, high: int = MAX_LIMIT) -> int:
 def oldest_rows(frame: DataFrame, n: int, time: str = "timestamp", tie: str = "node_id") -> DataFrame:
     """The ``n`` oldest rows, for limits too large for a plain top-k.
 
-    A top-k sends ``n`` rows per task to one task. Counts per hour, then per
-    millisecond of the hour that completes ``n`` rows, give the exact cutoff time, so
-    only about ``n`` rows are left to order.
+    A top-k sends ``n`` rows per task to one task. Counts per hour, then per second of the hour that
+    completes ``n`` rows, then per millisecond of that second give the exact cutoff time, so only
+    about ``n`` rows are left to order. Each count has a row per hour of history, 3,600 or 1,000 rows.
     """
-    up_to = lambda c: Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-    count = F.count(F.lit(1)).alias("c")
-    hours = frame.groupBy(hour_ms(time).alias("t")).agg(count)
-    full = hours.withColumn("cum", F.sum("c").over(up_to("t"))).where(F.col("cum") >= n)
-    last = full.agg(F.min(F.struct("t", (F.col("cum") - F.col("c")).alias("before")))).scalar()
-    within = frame.where(hour_ms(time) == last["t"]).groupBy(F.col(time).alias("t")).agg(count)
-    reached = within.withColumn("cum", F.sum("c").over(up_to("t")) + last["before"])
-    cutoff = reached.agg(F.min(F.when(F.col("cum") >= n, F.col("t")))).scalar()
+    up_to = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    part, before, cutoff = frame, F.lit(0), None
+    for step in (HOUR_MS, 1000, 1):
+        start = F.col(time) - F.pmod(F.col(time), F.lit(step))
+        if cutoff is not None:
+            part = part.where(F.col(time).between(cutoff, cutoff + (wider - 1)))
+        counts = part.groupBy(start.alias("t")).agg(F.count(F.lit(1)).alias("c"))
+        reached = counts.withColumn("cum", F.sum("c").over(up_to) + before)
+        first = F.min(F.struct("t", (F.col("cum") - F.col("c")).alias("before")))
+        last = reached.where(F.col("cum") >= n).agg(first).scalar()
+        cutoff, before, wider = last["t"], last["before"], step
     kept = frame.where(F.col(time) <= F.coalesce(cutoff, F.col(time)))
     return kept.orderBy(time, tie).limit(n)
 
@@ -81,7 +84,10 @@ def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 50_0
     )
     # The subquery is attached once, as a column: copies of it make planning slow.
     low, high = F.col("k.low"), F.col("k.high")
-    slot = F.when(high > low, F.floor((F.col("v") - low) / (high - low) * SLOTS)).otherwise(0)
+    # Equal slots of a logarithm, so that a heavy tail does not leave all values in one slot.
+    scaled = lambda x: F.signum(x) * F.log1p(F.abs(x))
+    span = scaled(high) - scaled(low)
+    slot = F.when(span > 0, F.floor((scaled(F.col("v")) - scaled(low)) / span * SLOTS)).otherwise(0)
     histogram = (
         values.withColumn("k", bracket)
         .where(F.col("v") <= high)

@@ -22,7 +22,7 @@ NODE_ID = re.compile(r"^[\w\-]+$")  # fixed value
 
 def check_node_id(node_id: str | None) -> None:
     if node_id and not NODE_ID.match(node_id):
-        raise ValueError("Invalid node_id format")
+        raise ValueError("node_id may hold letters, digits, _ and - only")
 
 
 def equals(frame: DataFrame, **filters: str | None) -> DataFrame:

@@ -175,8 +175,7 @@ def train_forecaster(hourly: DataFrame, stride: int = sequences.TRAIN_STRIDE):
     windows = materialise(sequences.sliding_windows(hourly, stride=stride))
     if windows.isEmpty():
         raise ValueError(
-            "No node has enough hourly rows to build sequences "
-            f"(need at least {sequences.WINDOW})"
+            f"training needs {sequences.WINDOW} hourly values in a row of at least one node"
         )
     scaler = materialise(scaling.fit_min_max(windows))
     return materialise(forecasting.fit_linear(windows, scaler)), scaler

@@ -363,7 +363,7 @@ class Views:
     def steady(self) -> DataFrame:
         """The same hours without gaps, up to the end of January 30."""
         back = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("timestamp")))
-        return self.hourly.withColumn("timestamp", F.lit(JAN_31) - back * 3_600_000)
+        return self.hourly.withColumn("timestamp", F.lit(JAN_31) - back.cast("bigint") * 3_600_000)
 
     @cached_property
     def gappy(self) -> DataFrame:
