@@ -116,7 +116,7 @@ def train(
     pairs: list[tuple[list[int], list[int]]],
     columns: int,
     swap_penalty: float = 1.0,
-    l2: float = 1e-5,
+    l2: float = 3e-5,
     rounds: int = 200,
     memory: int = 10,
 ) -> tuple[np.ndarray, float]:
@@ -186,14 +186,15 @@ def fit(
     label: str = "toxic",
     most_rows: int = 20_000,
     most_features: int = 4_096,
+    least_clear: float = 3.0,
     most_pairs: int = 20_000,
     groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
     swap_penalty: float = 1.0,
 ) -> Model:
     """Fit on at most ``most_rows`` labelled texts, those whose key has the smallest hash.
 
-    Spark extracts the features and counts them by label; the ``most_features`` with the clearest
-    log odds are kept. What reaches the driver is bounded by the three limits. A key with several
+    Spark extracts the features and counts them by label; kept are those whose log odds differ by at
+    least ``least_clear`` standard errors, the ``most_features`` clearest of them. What reaches the driver is bounded by the three limits. A key with several
     labels counts as 1 if any is 1; null labels and keys are left out. Without labelled texts all
     weights are 0. Null texts count as empty.
     """
@@ -243,8 +244,9 @@ def fit(
     error = F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("zeros") + 0.5))
     kept = [
         r["feature"]
-        for r in counted.where("feature >= 0 and ones + zeros >= 3")
+        for r in counted.where("feature >= 0")
         .select("feature", F.abs(odds / error).alias("clear"))
+        .where(F.col("clear") >= least_clear)
         .orderBy(F.desc("clear"), "feature")
         .limit(most_features)
         .collect()
