@@ -138,6 +138,13 @@ def _(v: Views):
     return quality.expectation_results(v.telemetry.select(*READING_FIELDS))
 
 
+@query("h4_record_verdicts", f"""
+SELECT event_id, {_suite_sql()} AS reason FROM ({PARSED}) WHERE j IS NOT NULL""")
+def _(v: Views):
+    judged = msg.envelope(v.messages)
+    return judged.where(~F.col("reason").isin(msg.EMPTY, msg.BAD_JSON)).select("event_id", "reason")
+
+
 @query("h5_row_verdicts", f"SELECT node_id, timestamp, {REASON_SQL} AS reason FROM telemetry")
 def _(v: Views):
     verdicts = quality.with_verdict(v.telemetry.select(*READING_FIELDS))
@@ -300,6 +307,18 @@ def _(v: Views):
     return forest.detect(v.telemetry, forest.score_cells(forest.grow_trees(counts), counts))
 
 
+@query("j6_training_metrics", f"""{_scored_sql(forest.CONTAMINATION)}
+SELECT round_even(count(*) FILTER (severity <> 'normal') / count(*)::DOUBLE, 4) AS anomaly_rate,
+       count(*)::DOUBLE AS n_readings FROM readings""")
+def _(v: Views):
+    counts = materialise(forest.cell_counts(v.telemetry))
+    cells = forest.score_cells(forest.grow_trees(counts), counts)
+    metrics = runs.scoring_metrics(forest.detect(v.telemetry, cells))
+    return metrics.select(
+        "anomaly_rate", F.col("n_readings").cast("double").alias("n_readings")
+    )
+
+
 @query("i8_gated_anomalies", f"""{_scored_sql(forest.JOB_CONTAMINATION)}
 SELECT node_id, timestamp, '{ANOMALY_TYPE}' AS anomaly_type, round_even(score, 6) AS score, severity
 FROM readings WHERE severity <> 'normal' AND node_id IN (
@@ -569,6 +588,21 @@ def _(v: Views):
     )
 
 
+@query("b34_metadata_objects", f"""
+SELECT node_id, type, anomaly_score, max_consumption_watts, peak_hours IS NOT NULL AS has_hours
+FROM ({K4})""")
+def _(v: Views):
+    out = recommend.recommendations(v.anomalies, v.forecasts, JAN_30)
+    of = lambda key: F.get_json_object("metadata_json", f"$.{key}")
+    return out.select(
+        "node_id",
+        "type",
+        of("anomaly_score").cast("double").alias("anomaly_score"),
+        of("max_consumption_watts").cast("double").alias("max_consumption_watts"),
+        of("peak_hours").isNotNull().alias("has_hours"),
+    )
+
+
 @query("k5_recommendations", f"SELECT *, {JAN_30} AS generated_ms FROM ({K4})")
 def _(v: Views):
     out = recommend.recommendations(v.anomalies, v.forecast_runs, JAN_30)
