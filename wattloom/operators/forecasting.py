@@ -1,8 +1,8 @@
 """24-step load forecaster: one linear regression per horizon over the last 10 hours.
 
 All horizons share their inputs, so ordinary least squares needs one pass: each task
-adds up its part of the normal equations, Spark sums the parts, and an 11 x 11 system
-is solved once. The model is a table of 24 rows.
+adds up its part of the normal equations and of the range of values, Spark sums the parts,
+and an 11 x 11 system is solved once. The model is a table of 24 rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecols import HOUR_MS, last_hours
-from .scaling import apply_min_max, invert_min_max, with_range
+from ..session import materialise
+from .scaling import apply_min_max, invert_min_max
 from .sequences import PRED_LEN, SEQ_LEN, latest_inputs
 
 MODEL_SCHEMA = "horizon INT, intercept DOUBLE, weights ARRAY<DOUBLE>"
@@ -27,48 +28,63 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
 
 
 def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's share of the normal equations, on normalised values."""
+    """One task's share of the normal equations in watts, and of the range of all values."""
     total = np.zeros((SEQ_LEN + 1, SEQ_LEN + 1 + PRED_LEN))
-    rows = 0
+    low, high = np.inf, -np.inf
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        low, span = batch["low"][0].as_py(), batch["span"][0].as_py()
-        x = (_matrix(batch["x"], SEQ_LEN) - low) / span
-        y = (_matrix(batch["y"], PRED_LEN) - low) / span
+        x, y = _matrix(batch["x"], SEQ_LEN), _matrix(batch["y"], PRED_LEN)
         design = np.hstack([np.ones((len(x), 1)), x])
         total += design.T @ np.hstack([design, y])
-        rows += len(x)
-    if rows:
+        low, high = min(low, x.min(), y.min()), max(high, x.max(), y.max())
+    if low <= high:
         i, j = np.indices(total.shape, dtype=np.int32)
         columns = {"i": i.ravel(), "j": j.ravel(), "v": total.ravel()}
-        yield pa.RecordBatch.from_pydict(columns)
+        n = total.size
+        yield pa.RecordBatch.from_pydict(
+            {**columns, "low": np.full(n, low), "high": np.full(n, high)}
+        )
 
 
 def _solve(products: pd.DataFrame) -> pd.DataFrame:
     table = products.pivot(index="i", columns="j", values="v").to_numpy()
+    low, high = float(products["low"].min()), float(products["high"].max())
+    span = high - low if high > low else 1.0
+    # (1, x, y) in watts to (1, x, y) normalised is a linear map, so the sums go by it too.
+    scale = np.eye(SEQ_LEN + 1 + PRED_LEN) / span
+    scale[0, 0], scale[1:, 0] = 1.0, -low / span
     split = SEQ_LEN + 1
+    table = scale[:split, :split] @ table @ scale.T
     solution = np.linalg.lstsq(table[:, :split], table[:, split:], rcond=None)[0]
     return pd.DataFrame(
         {
             "horizon": np.arange(PRED_LEN),
             "intercept": solution[0],
             "weights": [list(w) for w in solution[1:].T],
+            "low": low,
+            "high": high,
         }
     )
 
 
-def fit_linear(windows: DataFrame, scaler: DataFrame) -> DataFrame:
-    """Least-squares model over normalised windows; no windows give an empty model.
+def fit_linear(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Least-squares model over normalised windows, and the range they are normalised by.
 
-    Windows are given in watts and normalised inside the task.
+    One pass over windows in watts: the range is not known before its end, but the sums can be
+    rescaled. No windows give an empty model and an empty range.
     """
-    fitted = with_range(windows.select("x", "y"), scaler)
-    flat = fitted.select("x", "y", "_fit.low", "_fit.span")
-    parts = flat.mapInArrow(_partial_products, "i INT, j INT, v DOUBLE")
-    products = parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    parts = windows.select("x", "y").mapInArrow(
+        _partial_products, "i INT, j INT, v DOUBLE, low DOUBLE, high DOUBLE"
+    )
+    products = parts.groupBy("i", "j").agg(
+        F.sum("v").alias("v"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
     # 385 sums in all: one group holds them.
-    return products.groupBy().applyInPandas(_solve, MODEL_SCHEMA)
+    fitted = materialise(
+        products.groupBy().applyInPandas(_solve, MODEL_SCHEMA + ", low DOUBLE, high DOUBLE")
+    )
+    return fitted.drop("low", "high"), fitted.select("low", "high").limit(1)
 
 
 def _with_predictions(frame: DataFrame, model: DataFrame) -> DataFrame:

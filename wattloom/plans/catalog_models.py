@@ -424,9 +424,9 @@ WHERE len(w) = 34"""
 
 
 def _fitted(hourly):
-    windows = sequences.sliding_windows(hourly, stride=sequences.TRAIN_STRIDE)
-    scaler = scaling.fit_min_max(windows)
-    return forecasting.fit_linear(windows, scaler), scaler
+    return forecasting.fit_linear(
+        sequences.sliding_windows(hourly, stride=sequences.TRAIN_STRIDE)
+    )
 
 
 @query("j11_forecaster_model", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecols import DAY_MS, last_days
 from ..operators import features as feat
-from ..operators import forecasting, nodes, quality, rollups, runs, scaling, sequences
+from ..operators import forecasting, nodes, quality, rollups, runs, sequences
 from ..operators import isolation_forest as forest
 from ..operators.retention import RETENTION_DAYS
 from ..operators.serving import before_ms, between_ms
@@ -172,13 +172,12 @@ def retrain_detector(telemetry: DataFrame, model_path: str, run_id: str, as_of_m
 
 def train_forecaster(hourly: DataFrame, stride: int = sequences.TRAIN_STRIDE):
     """Model and scaler tables from hourly rows ``(node_id, timestamp, avg_power)``."""
-    windows = materialise(sequences.sliding_windows(hourly, stride=stride))
-    if windows.isEmpty():
+    model, scaler = forecasting.fit_linear(sequences.sliding_windows(hourly, stride=stride))
+    if model.isEmpty():
         raise ValueError(
             f"training needs {sequences.WINDOW} hourly values in a row of at least one node"
         )
-    scaler = materialise(scaling.fit_min_max(windows))
-    return materialise(forecasting.fit_linear(windows, scaler)), scaler
+    return model, scaler
 
 
 def retrain_forecaster(features: DataFrame, run_id: str, as_of_ms: int):
