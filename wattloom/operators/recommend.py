@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fixed, hour_list
 from ..functions.timecols import last_hours, next_hours, utc_hour
+from ..session import materialise
 from .ranked import best_per_group, exact_quantile
 from .serving import latest_forecasts
 
@@ -128,7 +129,8 @@ def recommendations(
 ) -> DataFrame:
     """Recommendations at ``as_of_ms`` from stored anomalies and forecasts."""
     recent = recent_anomalies(anomalies, as_of_ms, lookback_hours)
-    ahead = latest_forecasts(upcoming_forecasts(forecasts, as_of_ms))
+    # A day of forecasts, read several times by the rules.
+    ahead = materialise(latest_forecasts(upcoming_forecasts(forecasts, as_of_ms)))
     rules = combine(
         anomaly_rule(recent), consumption_rule(ahead, high_watts), load_shift_rule(ahead, quantile)
     )
