@@ -46,6 +46,21 @@ def test_exact_quantile_with_a_dominant_value(spark):
         assert got == pytest.approx(float(np.quantile(data, q)), rel=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["tail", "negative tail", "far ends", "neighbours"])
+def test_exact_quantile_of_odd_spreads(spark, kind):
+    rng = np.random.default_rng(5)
+    data = {
+        "tail": np.exp(8 * rng.normal(size=4000)),
+        "negative tail": -np.exp(5 * rng.normal(size=2000)),
+        "far ends": np.array([0.0] * 50 + [1e300, -1e300, 1.0]),
+        "neighbours": 1 + np.arange(300) * 2.3e-16,
+    }[kind]
+    frame = spark.createDataFrame([(float(x),) for x in data], "v DOUBLE").repartition(3)
+    for q in (0.5, 0.9, 0.999):
+        got = ranked.exact_quantile(frame, "v", q, accuracy=1000).first()[0]
+        assert got == pytest.approx(float(np.quantile(data, q)), rel=1e-12)
+
+
 def test_exact_quantile_of_nothing(spark):
     empty = spark.createDataFrame([], "v DOUBLE")
     assert ranked.exact_quantile(empty, "v", 0.9).first()[0] is None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import HOUR_MS
@@ -49,87 +51,64 @@ def oldest_rows(frame: DataFrame, n: int, time: str = "timestamp", tie: str = "n
 
 
 def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 50_000) -> DataFrame:
-    """One row ``quantile``: the linearly interpolated ``q`` quantile, exact.
-
-    The built-in exact percentile gathers every distinct value in one task. Here a
-    fixed-size sketch brackets the wanted rank to within ``4 / accuracy`` of the rows,
-    which exceeds the sketch's own error. A hash aggregate then counts the rows below
-    the bracket and each distinct value inside it. Equal slots of the bracket find the
-    values around the rank, and only those are ordered. A rank outside the bracket raises
-    instead of returning a wrong value.
+    """One row ``quantile``: the linearly interpolated ``q`` quantile, exact; NULL without values.
+
+    The built-in exact percentile gathers every distinct value in one task. Here a fixed-size
+    sketch brackets the wanted rank to within ``4 / accuracy`` of the rows, which exceeds the
+    sketch's own error. Then rows are counted in equal slots of the bracket, and the slots around
+    the rank become the next bracket, until few values are left. Each step is one aggregate with
+    at most ``SLOTS`` rows. A rank outside the bracket raises instead of returning a wrong value.
     """
+    spark = frame.sparkSession
     values = frame.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    low, high = max(0.0, q - 4.0 / accuracy), min(1.0, q + 4.0 / accuracy)
-    sketch = F.percentile_approx("v", [low, high], accuracy)
-    ends = values.agg(F.count("v").alias("n"), sketch.alias("s"))
-    ends = ends.select(F.struct("n", F.get("s", F.lit(0)).alias("low"), F.get("s", F.lit(1)).alias("high")))
-    # The sketch's rank rounds up and the wanted one is interpolated: one more value on either side.
-    bracket = (
-        values.withColumn("k", ends.scalar())
-        .agg(
-            F.first("k.n").alias("n"),
-            F.max(F.when(F.col("v") < F.col("k.low"), F.col("v"))).alias("below"),
-            F.min(F.when(F.col("v") > F.col("k.high"), F.col("v"))).alias("above"),
-            F.first("k.low").alias("low"),
-            F.first("k.high").alias("high"),
-        )
-        .select(
-            F.struct(
-                F.coalesce("n", F.lit(0)).alias("n"),
-                F.coalesce("below", "low").alias("low"),
-                F.coalesce("above", "high").alias("high"),
-            )
+    ends = [max(0.0, q - 4.0 / accuracy), min(1.0, q + 4.0 / accuracy)]
+    n, sketch = values.agg(F.count("v"), F.percentile_approx("v", ends, accuracy)).first()
+    if not n:
+        return spark.createDataFrame([(None,)], "quantile DOUBLE")
+    low, high = sketch
+    # The sketch's rank rounds up and the wanted one is interpolated: one more value either side.
+    v = F.col("v")
+    before, below, above = values.agg(
+        F.count_if(v < low), F.max(F.when(v < low, v)), F.min(F.when(v > high, v))
+    ).first()
+    if below is not None:
+        before -= values.where(v == below).count()
+        low = below
+    high = high if above is None else above
+    position = (n - 1) * q
+    first, last = math.floor(position), math.ceil(position)
+    while True:
+        slot = _slot(low, high)
+        inside = values.where(v.between(low, high))
+        counts = inside.groupBy(slot.alias("slot")).agg(
+            F.count(v).alias("c"), F.min(v).alias("low"), F.max(v).alias("high")
         )
-        .scalar()
-    )
-    # The subquery is attached once, as a column: copies of it make planning slow.
-    low, high = F.col("k.low"), F.col("k.high")
-    # Equal slots of a logarithm, so that a heavy tail does not leave all values in one slot.
-    scaled = lambda x: F.signum(x) * F.log1p(F.abs(x))
-    span = scaled(high) - scaled(low)
-    slot = F.when(span > 0, F.floor((scaled(F.col("v")) - scaled(low)) / span * SLOTS)).otherwise(0)
-    histogram = (
-        values.withColumn("k", bracket)
-        .where(F.col("v") <= high)
-        # NULL stands for everything below the bracket.
-        .select(F.when(F.col("v") >= low, F.struct("v", slot.alias("slot"))).alias("b"))
-        .groupBy("b.v", "b.slot")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    # Rank the slots (at most SLOTS + 2 rows), then only the values of the slots hit.
-    first = lambda rank, what: F.min(F.when(F.col("cum") > rank, what))
-    slots = _running(histogram.groupBy("slot").agg(F.sum("c").alias("c")), "slot")
-    ranks = slots.withColumn("pos", (bracket["n"] - 1) * F.lit(q)).withColumns(
-        {"lo": F.floor("pos"), "hi": F.ceil("pos")}
-    )
-    hit = ranks.agg(
-        F.struct(
-            first(F.col("lo"), F.col("slot")).alias("a"),
-            first(F.col("hi"), F.col("slot")).alias("b"),
-            first(F.col("lo"), F.col("cum") - F.col("c")).alias("before"),
-            F.max((F.col("cum") > F.col("lo")) & F.col("slot").isNull()).alias("missed"),
-            F.max("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-            F.max(F.col("pos") - F.col("lo")).alias("share"),
-        )
-    ).scalar()
-    near = histogram.withColumn("h", hit).where(F.col("slot").between(F.col("h.a"), F.col("h.b")))
-    ranked = _running(near, "v").withColumn("cum", F.col("cum") + F.col("h.before"))
-    at_low, at_high = first(F.col("h.lo"), F.col("v")), first(F.col("h.hi"), F.col("v"))
-    outside = F.raise_error(F.lit("quantile rank fell outside its bracket"))
-    return ranked.agg(
-        F.when(F.count(F.lit(1)) == 0, F.when(F.max(hit["lo"]).isNotNull(), outside))
-        .when(F.max("h.missed") | at_high.isNull(), outside)
-        .otherwise(at_low + (at_high - at_low) * F.max("h.share"))
-        .cast("double")
-        .alias("quantile")
-    )
-
-
-def _running(counts: DataFrame, order: str) -> DataFrame:
-    """Add ``cum``, the running total of ``c`` (small inputs: one task)."""
-    up_to = Window.orderBy(F.asc_nulls_first(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("cum", F.sum("c").over(up_to))
+        slots = counts.orderBy("slot").collect()
+        hit, cum = [], before
+        for s in slots:
+            if cum + s["c"] > first and cum <= last:
+                hit.append((cum, s))
+            cum += s["c"]
+        if not hit or hit[0][0] > first or cum <= last:
+            raise ValueError("the quantile's rank fell outside its bracket")
+        before, low, high = hit[0][0], hit[0][1]["low"], hit[-1][1]["high"]
+        if all(s["low"] == s["high"] for _, s in hit):
+            break  # each slot that matters holds a single value
+    at = lambda rank: next(s["low"] for c, s in hit if c <= rank < c + s["c"])
+    value = at(first) + (at(last) - at(first)) * (position - first)
+    return spark.createDataFrame([(float(value),)], "quantile DOUBLE")
+
+
+def _slot(low: float, high: float) -> Column:
+    """Slot of ``v`` between two values, of equal width in the logarithm where the values span
+    orders of magnitude: a heavy tail then does not leave everything in one slot. Values next to
+    each other are told apart by whether they are the ends."""
+    v = F.col("v")
+    wide = abs(high - low) > 1000 * max(1.0, min(abs(low), abs(high)))
+    scaled = (lambda x: F.signum(x) * F.log1p(F.abs(x))) if wide else (lambda x: x)
+    start, end = scaled(F.lit(low)), scaled(F.lit(high))
+    within = F.floor((scaled(v) - start) / (end - start) * (SLOTS - 2)) + 1
+    return F.when(v == low, 0).when(v == high, SLOTS).otherwise(within).cast("int")
 
 
 def reproducible_sample(frame: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
