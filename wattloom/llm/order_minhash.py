@@ -151,7 +151,7 @@ def _edited(frame: DataFrame, next_text: str, next_fingerprint: str) -> DataFram
 
 
 def edit_sensitivity(
-    documents: DataFrame, text: str = "text", key: str = "doc_id", bucket_rows: int = 1000
+    documents: DataFrame, text: str = "text", key: str = "doc_id", bucket_rows: int = 250
 ) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with likenesses.
 
