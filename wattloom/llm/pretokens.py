@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 1_400_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -96,6 +96,7 @@ class Cache:
     def __init__(self, name: str, value: Callable, first: dict | None = None):
         self.name, self.value, self.first = name, value, first or {}
         self.known = dict(self.first)
+        self.again: set[bytes] = set()  # met in more than one call
 
     def of(self, texts: Iterable[list[bytes]]) -> Callable:
         """Make every run of ``texts`` known and return the lookup."""
@@ -109,11 +110,14 @@ class Cache:
 
     def _of(self, texts: Iterable[list[bytes]]) -> Callable:
         wanted = set().union(*texts)
-        misses = list(wanted.difference(self.known))
+        hits = wanted.intersection(self.known)
+        misses = list(wanted.difference(hits))
+        self.again |= hits
         if len(self.known) + len(misses) > CACHE_ENTRIES + len(self.first):
-            # What the texts at hand use is what later texts use most.
-            held = wanted.intersection(self.known)
-            self.known = self.first | {run: self.known[run] for run in held}
+            # What was met twice stays, half of the cache at most; the rest was met once so far.
+            if len(self.again) > CACHE_ENTRIES // 2:
+                self.again = hits
+            self.known = self.first | {run: self.known[run] for run in self.again}
         if misses:
             known = self.known
             bodies = list(map(unmarked, misses))
