@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -97,3 +98,18 @@ def slices(
             held += size or 0
         if began < len(sizes):
             yield batch.slice(began)
+
+
+_STATE: dict[tuple, Any] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one thing at a time, of one operator's run.
+
+    A reused worker finds it again for the same ``key``; for another key it is made anew and the old
+    one is given up, so the caches of operators that run one after the other do not add up.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]

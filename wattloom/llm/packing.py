@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import query, slices, stored, table, utf8
-from .pretokens import Cache, runs, worker_cache
+from .common import query, slices, stored, table, utf8, worker_state
+from .pretokens import Cache, runs
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -35,7 +35,7 @@ def pieces(
     end, name = np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache((name, tokenizer), lambda: Cache(tokenizer, bytes))
+        cache = worker_state((name, tokenizer), lambda: Cache(tokenizer, bytes))
         for batch in slices(batches, "text", 8 << 20):
             keys, split = batch.column("key").to_pylist(), []
             for t in batch.column("text").to_pylist():

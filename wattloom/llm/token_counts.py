@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, slices, table, utf8
-from .pretokens import Cache, runs, worker_cache
+from .common import query, slices, table, utf8, worker_state
+from .pretokens import Cache, runs
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -75,7 +75,7 @@ def token_counts(
     frequent, name = spark.sparkContext.broadcast(lengths), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache((name, tokenizer), lambda: Cache(tokenizer, n_ids, frequent.value))
+        cache = worker_state((name, tokenizer), lambda: Cache(tokenizer, n_ids, frequent.value))
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             split = [runs(t) for t in texts]

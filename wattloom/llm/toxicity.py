@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, slices, table, utf8
+from .common import query, slices, table, utf8, worker_state
 
 #: Groups of identity terms that may replace one another.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -211,9 +211,11 @@ def fit(
         F.broadcast(chosen), "key"
     )
 
+    name = uuid.uuid4().hex
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, DIMENSIONS), np.int64)
-        rows, features = np.zeros(2, np.int64), Features()
+        rows, features = np.zeros(2, np.int64), worker_state((name,), Features)
         for batch in slices(batches, "text"):
             for t, y in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
                 found = features.of(t.decode("utf-8", "replace"))
@@ -323,7 +325,7 @@ def with_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = sent.value.weights
         weight_of = list(kept.values()).__getitem__
-        features = Features({f: i for i, f in enumerate(kept)})
+        features = worker_state((spare,), lambda: Features({f: i for i, f in enumerate(kept)}))
         for batch in slices(batches, spare):
             total = [
                 sum(map(weight_of, sorted(features.of(t.decode("utf-8", "replace")))))
