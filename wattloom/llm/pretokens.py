@@ -114,8 +114,8 @@ class Cache:
         misses = list(wanted.difference(hits))
         self.again |= hits
         if len(self.known) + len(misses) > CACHE_ENTRIES + len(self.first):
-            # What was met twice stays, half of the cache at most; the rest was met once so far.
-            if len(self.again) > CACHE_ENTRIES // 2:
+            # What was met twice stays, a third of the cache at most; the rest was met once so far.
+            if len(self.again) > CACHE_ENTRIES // 3:
                 self.again = hits
             self.known = self.first | {run: self.known[run] for run in self.again}
         if misses:
