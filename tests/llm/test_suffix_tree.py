@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import awkward, documents
 from pyspark.sql import functions as F
@@ -95,3 +96,15 @@ def test_without_training_and_empty(spark):
     got = suffix_tree.suffix_tree_scores(frame, F.lit(True)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert suffix_tree.suffix_tree_scores(frame.where("doc_id = 7"), F.lit(False)).count() == 0
+
+
+def test_what_precedes_one_word_is_spread_over_ranges(spark):
+    rows = [(i, f"w{i} the") for i in range(2000)]
+    table = suffix_tree.encoded(documents(spark, rows).coalesce(1), "text", "doc_id", F.lit(False)).toArrow()
+    chunk = suffix_tree.Chunk(table.to_batches()[0], 0)
+    at = chunk.starts + 1  # every "the", each behind another word
+    context, item = suffix_tree._contexts(chunk, at, 1)
+    assert len(set(chunk.tokens[at])) == 1 and len(np.unique(item)) == len(np.unique(context)) == 2000
+    for keys in (context, item):
+        sizes = np.bincount(suffix_tree._range(keys, 8), minlength=8)
+        assert sizes.min() > 200 and sizes.max() < 300

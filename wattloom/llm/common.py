@@ -40,6 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def stored_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    if not _KEPT:
+        atexit.register(_delete_kept, spark)
+    _KEPT.append(path)
+    return path
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """Write once as Parquet into the shared folder and read that back.
 
@@ -48,10 +57,7 @@ def stored(frame: DataFrame) -> DataFrame:
     the driver's Python ends.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    if not _KEPT:
-        atexit.register(_delete_kept, spark)
-    _KEPT.append(path)
+    path = stored_folder(spark)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -1,10 +1,11 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 The corpus is encoded once into chunks: the distinct words of a chunk as sorted 64-bit hashes, and its
-tokens as positions among them. Every later step works on whole arrays. Counts meet by ranges of the
-next word's hash: a chunk sends each range its distinct words and (context, next word) pairs once, and
-gets the corpus totals back in the same order. So no table of words is broadcast or held in one place;
-only the contexts are, and a context must make up a given share of all tokens, which bounds their number.
+tokens as positions among them. Every later step works on whole arrays. The tree grows level by level.
+Counts meet by ranges of a hash: a chunk sends each range its distinct contexts and (context, next word)
+pairs once, and gets the corpus totals back in the same order; sums of gains meet the same way. A pair's
+hash covers both parts, so what follows or precedes one frequent word is spread over all ranges, and a
+key comes at most once from a chunk. No table of words or contexts is broadcast or held in one place.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, slices, stored, table, utf8
+from .common import discard, query, slices, stored, stored_folder, table, utf8
 
 CHUNK_TOKENS = 1 << 19
 TOKENS_PER_RANGE = 2 << 20
-END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
 
 
 def squeezed(array: np.ndarray) -> bytes:
@@ -133,280 +133,278 @@ class Chunk:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
 
-    def ranges(self, n: int) -> np.ndarray:
-        """Range of every word: hashes cut evenly, so a range is a run of the sorted words."""
-        return ((self.words >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
+def _range(keys: np.ndarray, n: int) -> np.ndarray:
+    """Range of every hash: hashes cut evenly, so a range is a run of sorted keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
-class Contexts:
-    """Candidate states: single words and pairs of words, with their numbers of training tokens.
 
-    Contexts 0..len(words)-1 are single words, by hash; the others are pairs, by code.
-    """
+def _stored_by_chunk(chunks: DataFrame) -> DataFrame:
+    """Like :func:`stored`, dealt into buckets by chunk, so that joins move the other side only."""
+    spark = chunks.sparkSession
+    path = stored_folder(spark)
+    name = f"stored_{path.rsplit('-', 1)[1]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = chunks.repartition(n, "chunk").write.format("parquet").bucketBy(n, "chunk")
+    written.option("compression", "zstd").option("path", path).saveAsTable(name)
+    frame = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, as the table is external
+    return frame
 
-    def __init__(self, words: np.ndarray, word_n: np.ndarray, codes=(), code_n=()):
-        order = np.argsort(words)
-        self.words, word_n = words[order], word_n[order]
-        codes, code_n = np.array(codes, np.int64), np.array(code_n, np.int64)
-        order = np.argsort(codes)
-        self.codes = codes[order]
-        self.n = np.concatenate((word_n, code_n[order])).astype(float)
-        self.parent = self.codes % max(1, len(self.words))  # the pair's second word
-        self.size = len(self.n)
-
-    def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """For every token its one-word and its two-word context, -1 for none."""
-        one = _find(self.words, chunk.words)[chunk.tokens]
-        place = np.arange(len(one)) - np.repeat(chunk.starts, chunk.lengths)
-        first = np.where(place >= 1, np.roll(one, 1), -1)
-        before = np.where(place >= 2, np.roll(one, 2), -1)
-        code = np.where((first >= 0) & (before >= 0), before * len(self.words) + first, -1)
-        second = _find(self.codes, code)
-        return first, np.where(second >= 0, second + len(self.words), -1)
-
-
-def _find(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Position of each asked value in the sorted known ones, or -1."""
-    if not len(known):
-        return np.full(len(asked), -1)
-    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    return np.where(known[at] == asked, at, -1)
-
-
-class Items:
-    """The distinct (next word, context) pairs of a chunk, by word and context."""
-
-    def __init__(self, chunk: Chunk, contexts: Contexts):
-        self.first, self.second = contexts.of(chunk)
-        size = max(1, contexts.size)
-        self.has_first, self.has_second = self.first >= 0, self.second >= 0
-        keys = np.concatenate(
-            (
-                chunk.tokens[self.has_first] * size + self.first[self.has_first],
-                chunk.tokens[self.has_second] * size + self.second[self.has_second],
-            )
-        )
-        train = np.concatenate((chunk.train[self.has_first], chunk.train[self.has_second]))
-        self.keys, self.of_token = np.unique(keys, return_inverse=True)
-        self.n = np.bincount(self.of_token, weights=train, minlength=len(self.keys))
-        self.word, self.context = np.divmod(self.keys, size)
 
+def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ word
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def _word_counts(n_ranges: int):
-    """Training counts of a task's distinct words, by range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch, i)
-                n = np.bincount(chunk.tokens[chunk.train], minlength=len(chunk.words))
-                seen = np.flatnonzero(n)
-                of = chunk.ranges(n_ranges)[seen]
-                cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
-                bounds = [*cuts, len(of)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(of[a]) for a in cuts], pa.int64()),
-                        pa.array([squeezed(chunk.words[seen[a:b]]) for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                        pa.array([squeezed(n[seen[a:b]].astype("<u4")) for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                    ],
-                    ["range", "words", "n"],
-                )
+def _contexts(chunk: Chunk, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``level`` words before each token, and of these words with the token."""
+    words = chunk.words[chunk.tokens]
+    h = np.full(len(at), level, np.uint64)
+    for back in range(1, level + 1):
+        h = _mixed(h, words[at - back])
+    return h, _mixed(~h, words[at])
 
-    return run
+
+def _inside(chunk: Chunk, at: np.ndarray, level: int) -> np.ndarray:
+    """Tokens with ``level`` words before them in their text."""
+    return at - np.repeat(chunk.starts, chunk.lengths)[at] >= level
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch, i
 
 
-def _frequent(least: float):
-    """Of a range: the number of different words, and the words with ``least`` tokens or more."""
+_ASK = pa.schema(
+    [("range", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())]
+)
+_ASK_SQL = "range bigint, chunk bigint, keys binary, values binary"
+_REPLY_SQL = "range bigint, chunk bigint, values binary, different bigint"
+
+
+def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, n_ranges: int) -> pa.RecordBatch:
+    """Sorted keys and their values, by range of the key."""
+    of = _range(keys, n_ranges)
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+    bounds = [*cuts.tolist(), len(of)]
+    parts = list(zip(bounds, bounds[1:]))
+    row = (
+        of[cuts],
+        [chunk] * len(cuts),
+        [squeezed(keys[a:b]) for a, b in parts],
+        [squeezed(values[a:b]) for a, b in parts],
+    )
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _ASK.types)], schema=_ASK)
+
+
+def _meet(kind: str, answer):
+    """Add up a range's values by key and answer each chunk in the order of its keys."""
 
     def run(group: pa.Table) -> pa.Table:
-        words = np.concatenate([loosened(b, "<u8") for b in group["words"].to_pylist()])
-        n = np.concatenate([loosened(b, "<u4") for b in group["n"].to_pylist()])
-        known, of = np.unique(words, return_inverse=True)
-        total = np.bincount(of, weights=n).astype(np.int64)
-        top = np.flatnonzero((total >= least) & (known != END))
+        keys = [loosened(b, "<u8") for b in group["keys"].to_pylist()]
+        values = [loosened(b, kind) for b in group["values"].to_pylist()]
+        known, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, weights=np.concatenate(values), minlength=len(known))
+        reply = answer(total)
+        ends = np.cumsum([0, *map(len, keys)])
+        r = group["range"][0].as_py()
         return pa.table(
             {
-                "word": pa.array(np.append(known[top].view(np.int64), 0)),
-                "n": pa.array(np.append(total[top], 0)),
-                "different": pa.array(np.append(np.zeros(len(top), np.int64), len(known))),
+                "range": pa.array([r] * (len(keys) + 1), pa.int64()),
+                "chunk": pa.array([*group["chunk"].to_pylist(), None], pa.int64()),
+                "values": pa.array([*(squeezed(reply[of[a:b]]) for a, b in zip(ends, ends[1:])), None], pa.binary()),
+                "different": pa.array([*[None] * len(keys), int((total > 0).sum())], pa.int64()),
             }
         )
 
     return run
 
 
-def _pairs(sent):
-    """Training counts of pairs of frequent words that something follows."""
+def _by_chunk(replies: DataFrame) -> DataFrame:
+    return (
+        replies.where("chunk is not null")
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("range", "values")).alias("replies"))
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = sent.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch, i)
-                one = _find(contexts.words, chunk.words)[chunk.tokens]
-                place = np.arange(len(one)) - np.repeat(chunk.starts, chunk.lengths)
-                before = np.where(place >= 1, np.roll(one, 1), -1)
-                both = (one >= 0) & (before >= 0) & chunk.train
-                code, n = np.unique(before[both] * len(contexts.words) + one[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-    return run
+def _answered(batch: pa.RecordBatch, i: int, kind: str) -> np.ndarray:
+    replies = sorted(batch.column("replies")[i].as_py() or [], key=lambda r: r["range"])
+    return np.concatenate([np.zeros(0, kind), *(loosened(r["values"], kind) for r in replies)])
 
 
-def _requests(sent, n_ranges: int):
-    """A chunk's distinct words and items with their training counts, by range."""
+def _ask_words(n_ranges: int):
+    """A chunk's distinct words with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch, i)
-                items = Items(chunk, sent.value)
-                n = np.bincount(chunk.tokens[chunk.train], minlength=len(chunk.words))
-                of = chunk.ranges(n_ranges)
-                cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                bounds = [*cuts.tolist(), len(of)]
-                item_bounds = np.searchsorted(items.word, bounds).tolist()
-                rows = []
-                for a, b, c, d in zip(bounds, bounds[1:], item_bounds, item_bounds[1:]):
-                    rows.append(
-                        (
-                            int(of[a]),
-                            chunk.id,
-                            squeezed(chunk.words[a:b]),
-                            squeezed(n[a:b].astype("<u4")),
-                            squeezed((items.word[c:d] - a).astype("<u4")),
-                            squeezed(items.context[c:d].astype("<u4")),
-                            squeezed(items.n[c:d].astype("<u4")),
-                        )
-                    )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(zip(*rows), _REQUEST.types)], schema=_REQUEST
-                )
+        for batch, i in _rows(batches):
+            chunk = Chunk(batch, i)
+            n = np.bincount(chunk.tokens[chunk.train], minlength=len(chunk.words))
+            yield _ask(chunk.id, chunk.words, n.astype("<u4"), n_ranges)
 
     return run
 
 
-_REQUEST = pa.schema(
+_STATE = pa.schema(
     [
-        ("range", pa.int64()),
         ("chunk", pa.int64()),
-        ("words", pa.binary()),
-        ("n", pa.binary()),
-        ("item_word", pa.binary()),
-        ("item_context", pa.binary()),
-        ("item_n", pa.binary()),
+        ("at", pa.binary()),
+        ("p", pa.binary()),
+        ("longer", pa.binary()),
+        ("gain", pa.binary()),
+        ("known", pa.binary()),
+        ("base", pa.binary()),
+        ("score", pa.binary()),
+        ("alive", pa.int64()),
     ]
 )
-_REPLY = pa.schema(
-    [
-        ("range", pa.int64()),
-        ("chunk", pa.int64()),
-        ("n", pa.binary()),
-        ("item_n", pa.binary()),
-        ("context", pa.int64()),
-        ("gain", pa.float64()),
-    ]
+_STATE_SQL = (
+    "chunk bigint, at binary, p binary, longer binary, gain binary, known binary, base binary, "
+    "score binary, alive bigint"
 )
 
 
+class State:
+    """Where a chunk stands: its tokens still open, their probability so far, and the finished sums.
+
+    While a level is open, ``longer`` has the probabilities of its states and ``gain`` the chunk's
+    part of the gain of its contexts, by hash.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        value = lambda name, kind: loosened(batch.column(name)[i].as_py(), kind)
+        self.at = value("at", "<u4").astype(np.int64)
+        self.p, self.longer, self.gain = value("p", "<f8"), value("longer", "<f8"), value("gain", "<f8")
+        self.known, self.base, self.score = value("known", "<i8"), value("base", "<f8"), value("score", "<f8")
+
+
+def _state(chunk: Chunk, at, p, longer, gain, known, base, score) -> pa.RecordBatch:
+    blobs = [squeezed(at.astype("<u4"))] + [squeezed(v) for v in (p, longer, gain, known, base, score)]
+    row = [chunk.id, *blobs, len(at)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], t) for v, t in zip(row, _STATE.types)], schema=_STATE
+    )
+
+
+def _finish(chunk: Chunk, score: np.ndarray, at: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The texts' sums with tokens whose probability is final."""
+    text = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)[at]
+    return score + np.bincount(text, weights=np.log10(p), minlength=len(chunk.lengths))
+
+
+def _begin(tokens: int, different: int):
+    """Unigram probabilities; open are all tokens with a word before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _rows(batches):
+            chunk = Chunk(batch, i)
+            seen = _answered(batch, i, "<i8")[chunk.tokens]
+            p = (seen + 1) / (tokens + different + 1)
+            add = lambda v: np.add.reduceat(v, chunk.starts)
+            every = np.arange(len(p))
+            use = _inside(chunk, every, 1) & (tokens > 0)
+            score = _finish(chunk, np.zeros(len(chunk.lengths)), every[~use], p[~use])
+            none = np.zeros(0)
+            yield _state(
+                chunk, every[use], p[use], none, none,
+                add((seen > 0).astype(np.int64)), add(np.log10(p)), score,
+            )
+
+    return run
+
+
 def smoothed(n: np.ndarray, of: np.ndarray, parent: np.ndarray, prior: float) -> np.ndarray:
     """Next-symbol probability of a state: its counts, and its suffix's distribution as a prior."""
     return (n + prior * parent) / (of + prior)
 
 
-def _totals(sent, tokens: int, different: int, prior: float):
-    """Corpus totals for a range: replies to its chunks, and each context's divergence there."""
+def _ask_counts(level: int, n_ranges: int):
+    """Training counts of the open tokens' contexts, and of (context, next word)."""
 
-    def run(group: pa.Table) -> pa.Table:
-        contexts: Contexts = sent.value
-        size, singles = max(1, contexts.size), len(contexts.words)
-        column = lambda name, kind: [loosened(b, kind) for b in group[name].to_pylist()]
-        words, n = column("words", "<u8"), column("n", "<u4")
-        item_word, item_context = column("item_word", "<u4"), column("item_context", "<u4")
-        item_n = column("item_n", "<u4")
-        known, of = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(of, weights=np.concatenate(n)).astype(np.int64)
-        offsets = np.cumsum([0, *map(len, words)])
-        keys = np.concatenate(
-            [of[o:][w] * size + c for o, w, c in zip(offsets, item_word, item_context)]
-        ).astype(np.int64)
-        pairs, pair_of = np.unique(keys, return_inverse=True)
-        pair_n = np.bincount(pair_of, weights=np.concatenate(item_n), minlength=len(pairs))
-        pair_n = pair_n.astype(np.int64)
-
-        # Leave-one-out log likelihood of each state's own tokens against its suffix's distribution:
-        # the divergence between the two, without credit for having seen the token itself.
-        word, context = np.divmod(pairs, size)
-        parent = (total[word] + 1) / (tokens + different + 1)
-        own = contexts.n[context] if contexts.size else np.zeros(0)
-        single = smoothed(pair_n, own, parent, prior)
-        deep = context >= singles
-        if deep.any():
-            suffix = word[deep] * size + contexts.parent[context[deep] - singles]
-            parent = parent.copy()
-            parent[deep] = single[np.searchsorted(pairs, suffix)]
-        seen = pair_n > 0
-        without = smoothed(pair_n[seen] - 1, own[seen] - 1, parent[seen], prior)
-        gain = np.bincount(
-            context[seen], weights=pair_n[seen] * np.log(without / parent[seen]), minlength=size
-        )
-        touched = np.flatnonzero(gain)
-
-        rows: list[list] = [[], [], [], [], [], []]
-        where, item_where = offsets, np.cumsum([0, *map(len, item_n)])
-        replies = zip(group["range"].to_pylist(), group["chunk"].to_pylist(), where, where[1:], item_where, item_where[1:])
-        for r, chunk, a, b, c, d in replies:
-            values = (r, chunk, squeezed(total[of[a:b]]), squeezed(pair_n[pair_of[c:d]]), None, None)
-            for row, v in zip(rows, values):
-                row.append(v)
-        rows[0] += [group["range"][0].as_py()] * len(touched)
-        for i in (1, 2, 3):
-            rows[i] += [None] * len(touched)
-        rows[4] += touched.tolist()
-        rows[5] += gain[touched].tolist()
-        return pa.Table.from_arrays(
-            [pa.array(v, t) for v, t in zip(rows, _REPLY.types)], schema=_REPLY
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _rows(batches):
+            chunk, state = Chunk(batch, i), State(batch, i)
+            keys, of = np.unique(np.concatenate(_contexts(chunk, state.at, level)), return_inverse=True)
+            n = np.bincount(of, weights=np.tile(chunk.train[state.at], 2), minlength=len(keys))
+            yield _ask(chunk.id, keys, n.astype("<u4"), n_ranges)
+
+    return run
+
+
+def _count(level: int, least: float, prior: float):
+    """Open stay the tokens behind contexts with ``least`` training tokens. A context's gain is the
+    leave-one-out log likelihood of its own tokens against its suffix's distribution: the divergence
+    between the two, without credit for having seen the token itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _rows(batches):
+            chunk, state = Chunk(batch, i), State(batch, i)
+            context, item = _contexts(chunk, state.at, level)
+            of = np.unique(np.concatenate((context, item)), return_inverse=True)[1]
+            total = _answered(batch, i, "<i8")[of]
+            own, n = total[: len(context)], total[len(context) :]
+            use = own >= least
+            score = _finish(chunk, state.score, state.at[~use], state.p[~use])
+            at, p, own, n = state.at[use], state.p[use], own[use], n[use]
+            seen = chunk.train[at]
+            without = smoothed(n[seen] - 1, own[seen] - 1, p[seen], prior)
+            keys, of = np.unique(context[use], return_inverse=True)
+            gain = np.bincount(of[seen], weights=np.log(without / p[seen]), minlength=len(keys))
+            yield _state(
+                chunk, at, p, smoothed(n, own, p, prior), gain, state.known, state.base, score
+            )
 
     return run
 
 
-def _score(sent, kept, tokens: int, different: int, prior: float):
+def _ask_gains(level: int, n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, retained = sent.value, kept.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch, i)
-                items = Items(chunk, contexts)
-                replies = sorted(batch.column("replies")[i].as_py(), key=lambda r: r["range"])
-                total = np.concatenate([loosened(r["n"], "<i8") for r in replies])
-                item_n = np.concatenate([loosened(r["item_n"], "<i8") for r in replies])
-                seen = total[chunk.tokens]
-                root = (seen + 1) / (tokens + different + 1)
-                p = root.copy()
-                split = int(items.has_first.sum())
-                for has, state, of in (
-                    (items.has_first, items.first, items.of_token[:split]),
-                    (items.has_second, items.second, items.of_token[split:]),
-                ):
-                    at, state = np.flatnonzero(has), state[has]
-                    use = retained[state]
-                    at, state, of = at[use], state[use], of[use]
-                    p[at] = smoothed(item_n[of], contexts.n[state], p[at], prior)
-                add = lambda v: np.add.reduceat(v, chunk.starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("keys")[i].values,
-                        pa.array(chunk.held),
-                        pa.array(chunk.lengths),
-                        pa.array(add((seen > 0).astype(np.int64))),
-                        pa.array(np.full(len(chunk.lengths), tokens, np.int64)),
-                        pa.array(add(np.log10(root))),
-                        pa.array(add(np.log10(p))),
-                    ],
-                    ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for batch, i in _rows(batches):
+            chunk, state = Chunk(batch, i), State(batch, i)
+            keys = np.unique(_contexts(chunk, state.at, level)[0])
+            yield _ask(chunk.id, keys, state.gain, n_ranges)
+
+    return run
+
+
+def _retain(level: int, last: bool):
+    """Tokens behind retained contexts take the longer context's probability and stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0)
+        for batch, i in _rows(batches):
+            chunk, state = Chunk(batch, i), State(batch, i)
+            of = np.unique(_contexts(chunk, state.at, level)[0], return_inverse=True)[1]
+            kept = _answered(batch, i, "<u1")[of] > 0
+            p = np.where(kept, state.longer, state.p)
+            use = kept & _inside(chunk, state.at, level + 1) & (not last)
+            score = _finish(chunk, state.score, state.at[~use], p[~use])
+            yield _state(chunk, state.at[use], p[use], none, none, state.known, state.base, score)
+
+    return run
+
+
+def _emit(tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _rows(batches):
+            value = lambda name, kind: pa.array(loosened(batch.column(name)[i].as_py(), kind))
+            lengths = batch.column("lengths")[i].values
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("keys")[i].values,
+                    batch.column("held")[i].values,
+                    lengths.cast(pa.int64()),
+                    value("known", "<i8"),
+                    pa.array(np.full(len(lengths), tokens, np.int64)),
+                    value("base", "<f8"),
+                    value("score", "<f8"),
+                ],
+                ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
@@ -434,57 +432,46 @@ def suffix_tree_scores(
     training; repeated rows count and are scored each; without training rows all words are unknown; an
     empty table gives no rows. Other columns are not read.
     """
-    spark = documents.sparkSession
-    chunks = stored(encoded(documents, text, key, held_out))
+    longest = 2
+    chunks = _stored_by_chunk(encoded(documents, text, key, held_out))
     n, tokens = chunks.agg(F.sum("n"), F.sum("n_train")).first()
     n, tokens = int(n or 0), int(tokens or 0)
     n_ranges = max(1, n // TOKENS_PER_RANGE)
 
-    sums = chunks.mapInArrow(_word_counts(n_ranges), "range bigint, words binary, n binary")
-    words = sums.groupBy("range").applyInArrow(
-        _frequent(max(1.0, share * tokens)), "word bigint, n bigint, different bigint"
-    )
-    words = stored(words)
-    different = int(words.agg(F.sum("different")).first()[0] or 0)
-    top = words.where("n > 0").select("word", "n").collect()  # at most 1 / share rows
-    singles = Contexts(
-        np.array([r["word"] for r in top], np.int64).view(np.uint64),
-        np.array([r["n"] for r in top], np.int64),
-    )
-    sent = spark.sparkContext.broadcast(singles)
-    pairs = chunks.mapInArrow(_pairs(sent), "code bigint, n bigint")
-    pairs = pairs.groupBy("code").agg(F.sum("n").alias("n"))
-    deep = pairs.where(F.col("n") >= max(2.0, share * tokens)).collect()  # at most 1 / share rows
-    contexts = Contexts(
-        singles.words, singles.n, [r["code"] for r in deep], [r["n"] for r in deep]
-    )
-    sent = spark.sparkContext.broadcast(contexts)
+    def met(asks: DataFrame, kind: str, answer) -> DataFrame:
+        return asks.groupBy("range").applyInArrow(_meet(kind, answer), _REPLY_SQL)
 
-    requests = chunks.mapInArrow(
-        _requests(sent, n_ranges),
-        "range bigint, chunk bigint, words binary, n binary, item_word binary, "
-        "item_context binary, item_n binary",
-    )
-    replies = requests.groupBy("range").applyInArrow(
-        _totals(sent, tokens, different, prior),
-        "range bigint, chunk bigint, n binary, item_n binary, context bigint, gain double",
+    whole = lambda total: total.astype("<i8")
+    replies = stored(met(chunks.mapInArrow(_ask_words(n_ranges), _ASK_SQL), "<u4", whole))
+    different = int(replies.agg(F.sum("different")).first()[0] or 0)
+    state = stored(
+        chunks.join(_by_chunk(replies), "chunk").mapInArrow(_begin(tokens, different), _STATE_SQL)
     )
-    replies = stored(replies)
-    gains = replies.where("context is not null").groupBy("context").agg(F.sum("gain").alias("gain"))
-    retained = np.zeros(contexts.size, bool)
-    for r in gains.where(F.col("gain") >= least_gain).collect():  # at most 2 / share rows
-        retained[r["context"]] = True
-    n_single = len(contexts.words)
-    retained[n_single:] &= retained[contexts.parent]
-    kept = spark.sparkContext.broadcast(retained)
-
-    answers = (
-        replies.where("chunk is not null")
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("range", "n", "item_n")).alias("replies"))
-    )
-    scored = chunks.join(answers, "chunk").mapInArrow(
-        _score(sent, kept, tokens, different, prior),
+    discard(replies)
+    level = 1
+    while longest is None or level <= longest:
+        alive = int(state.agg(F.sum("alive")).first()[0] or 0)
+        if not alive:
+            break
+        n_ranges = max(1, 2 * alive // TOKENS_PER_RANGE)
+        least = max(1.0 if level == 1 else 2.0, share * tokens)
+        for ask, kind, answer, update in (
+            (_ask_counts(level, n_ranges), "<u4", whole, _count(level, least, prior)),
+            (
+                _ask_gains(level, n_ranges),
+                "<f8",
+                lambda total: (total >= least_gain).astype("<u1"),
+                _retain(level, level == longest),
+            ),
+        ):
+            both = chunks.join(state, "chunk")
+            replies = _by_chunk(met(both.where("alive > 0").mapInArrow(ask, _ASK_SQL), kind, answer))
+            after = stored(both.join(replies, "chunk", "left").mapInArrow(update, _STATE_SQL))
+            discard(state)
+            state = after
+        level += 1
+    scored = chunks.join(state, "chunk").mapInArrow(
+        _emit(tokens),
         "key bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double",
     )
