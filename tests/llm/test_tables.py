@@ -62,6 +62,95 @@ def test_licences(spark, folder):
     assert licenses.scan_licenses(frame.where("doc_id < 0")).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """BSD 2-Clause License
+
+Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2.replace("2-Clause", "3-Clause") + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Copyright 2020 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+"""
+GPL3 = """Copyright (C) 2020 Some One
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_standard_texts(spark):
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "ISC": ISC, "Apache-2.0": APACHE,
+             "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2}
+    ways = [
+        lambda t: t,
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines()),
+        lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint main",
+        lambda t: t.replace("Some One\n\n", "Some One\n(c) 2021 Another\n"),  # no blank line below
+        lambda t: t[t.index("Some One") + 9 :].replace("\n", "", 1),
+        lambda t: "<some@one>\n" + t[t.index("Some One") + 9 :].lstrip(),
+    ]
+    rows = [(100 * i + j, way(t)) for i, t in enumerate(texts.values()) for j, way in enumerate(ways)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    for i, name in enumerate(texts):
+        assert [got[100 * i + j].licenses for j in range(len(ways))] == [name] * len(ways)
+        assert all(got[100 * i + j].unmatched == "" for j in range(len(ways)))
+    assert got[400].identifiers == "Apache2Ref;ApacheComply;ApacheCopy;ApacheURL"
+    assert got[500].identifiers == "GPLFree;GPLTerms;Version3Later"
+
+
 def mixture_rows():
     rows = []
     for i in range(400):

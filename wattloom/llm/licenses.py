@@ -97,11 +97,26 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-NC-SA-4.0", ("CCBYNCSARef",)),
     ("CC-BY-NC-ND-4.0", ("CCBYNCNDRef",)),
 )
+# Other standard wordings; one may stand for several identifiers.
+WORDINGS = {
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version": "GPLTerms;Version2Later",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "GPLTerms;Version3Later",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version": "LGPLTerms;Version21Later",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "ISCGrant",
+    "https://www.apache.org/licenses/LICENSE-2.0": "ApacheURL",
+}
 SENTENCE_END = r"[.;:!?](?:[ \t\n\r]+|\z)"
 REFERENCE = (
     r"^(?:this (?:work|project|software|program|file|document|code|library) is )?"
     r"(?:licensed|released|distributed|published|provided|made available) under (?:the )?(.+)$"
 )
+# Where a sentence without a full stop ends: lines without letters and digits, such as blank lines or
+# bare comment marks, and copyright lines (not a wrapped line that starts with "copyright notice").
+PIECE_END = (
+    r"\n(?:[^\p{L}\p{N}\n]*\n)+|"
+    r"(?i:(?:^|\n)[^\p{L}\p{N}\n©(]*(?:copyright(?:[ \t]*(?:\(c\)|©)|[ \t:,]+(?!(?:(?:notice|holder|owner|law|"
+    r"interest|statement)s?|licen[sc]es?|and|or|in|of)\b))|\(c\)[ \t]|©)[^\n]*(?=\n|\z))"
+)
 
 
 def normal(sentence: str) -> str:
@@ -111,6 +126,7 @@ def normal(sentence: str) -> str:
 
 KNOWN = {normal(s): i for s, i in SENTENCES.items()}
 KNOWN_NAMES = {normal(s): i for s, i in NAMES.items()}
+KNOWN_WORDINGS = KNOWN | {normal(s): i for s, i in WORDINGS.items()}
 
 
 def _lookup(known: dict[str, str]) -> Column:
@@ -118,27 +134,49 @@ def _lookup(known: dict[str, str]) -> Column:
 
 
 def _identifier(sentence: Column) -> Column:
-    """The identifier of a sentence, or null."""
+    """The identifier of a sentence, or several joined by ``;``, or null."""
     text = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    name = F.regexp_extract(text, REFERENCE, 1)
+    name = F.regexp_replace(F.regexp_extract(text, REFERENCE, 1), " the licen[sc]e$", "")
     return F.coalesce(
-        F.try_element_at(_lookup(KNOWN), text), F.try_element_at(_lookup(KNOWN_NAMES), name)
+        F.try_element_at(_lookup(KNOWN_WORDINGS), text),
+        F.try_element_at(_lookup(KNOWN_NAMES), name),
     )
 
 
+def _or_parts(piece: Column, parts) -> Column:
+    """The identifier of a piece known as a whole, else what its parts give."""
+    return F.transform(
+        F.array(_identifier(piece)),
+        lambda whole: F.when(
+            whole.isNotNull() | ~F.contains(piece, F.lit("\n")), F.array(whole)
+        ).otherwise(parts(piece)),
+    )[0]
+
+
+def _lines(piece: Column) -> Column:
+    """A known sentence may stand right below another line, such as a title; else each line counts."""
+    lines = F.split(piece, "\n")
+    below = F.array_join(F.slice(lines, 2, F.size(lines)), "\n")
+    return F.transform(
+        F.array(_identifier(below)),
+        lambda known: F.when(known.isNotNull(), F.array(_identifier(lines[0]), known)).otherwise(
+            F.transform(lines, _identifier)
+        ),
+    )[0]
+
+
+def _pieces(sentence: Column) -> Column:
+    return F.flatten(F.transform(F.split(sentence, PIECE_END), lambda p: _or_parts(p, _lines)))
+
+
 def identifiers(text: Column) -> Column:
-    """Known identifiers of a text in order. A sentence that is not known as a whole is looked at
-    line by line, so a licence line without a full stop is found too."""
-    sentences = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
-    found = F.transform(
-        sentences,
-        lambda s: F.transform(
-            F.array(_identifier(s)),
-            lambda whole: F.when(whole.isNotNull() | ~F.contains(s, F.lit("\n")), F.array(whole))
-            .otherwise(F.transform(F.split(s, "\n"), _identifier)),
-        )[0],
-    )
-    return F.filter(F.flatten(found), lambda i: i.isNotNull())
+    """Known identifiers of a text in order. A sentence that is not known as a whole is cut at blank
+    lines and copyright lines, and pieces that are not known are looked at line by line, so wrapped
+    sentences below a copyright line and licence lines without a full stop are found too."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    found = F.transform(F.split(text, SENTENCE_END), lambda s: _or_parts(s, _pieces))
+    known = F.filter(F.flatten(found), lambda i: i.isNotNull())
+    return F.flatten(F.transform(known, lambda i: F.split(i, ";")))
 
 
 def scan_licenses(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -186,7 +224,8 @@ def wrapped(ids: tuple[str, ...]) -> str:
 
 
 def _sql() -> str:
-    """The same scan for an independent engine."""
+    """The scan for an independent engine, without ``WORDINGS`` and ``PIECE_END``: the same on texts
+    whose licence sentences end in a stop or fill a line."""
     text = lambda v: "'" + v.replace("'", "''") + "'"
     mapping = lambda known: (
         "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in known.items()) + "}"
