@@ -108,3 +108,69 @@ def test_what_precedes_one_word_is_spread_over_ranges(spark):
     for keys in (context, item):
         sizes = np.bincount(suffix_tree._range(keys, 8), minlength=8)
         assert sizes.min() > 200 and sizes.max() < 300
+
+
+def slow_tree(rows, held, least, prior, least_gain):
+    """Scores by a tree of any depth, and the retained contexts."""
+    texts = [(t or "").encode().lower().split() + [END] for _, t in rows]
+    train = [t for t, h in zip(texts, held) if not h]
+    one = Counter(w for t in train for w in t)
+    n, different = sum(one.values()), len(one)
+    root = lambda w: (one[w] + 1) / (n + different + 1)
+    seen, after, kept = Counter(), Counter(), set()
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        return (after[context, w] + prior * p(context[1:], w)) / (seen[context] + prior)
+
+    for k in range(1, max(map(len, texts))):
+        gain, new = Counter(), Counter()
+        for t in train:
+            for i in range(k, len(t)):
+                context = tuple(t[i - k : i])
+                if k == 1 or context[1:] in kept:
+                    seen[context] += 1
+                    new[context, t[i]] += 1
+        after.update(new)
+        for (context, w), c in new.items():
+            q = p(context[1:], w)
+            gain[context] += c * math.log((c - 1 + prior * q) / (seen[context] - 1 + prior) / q)
+        more = {c for c, g in gain.items() if seen[c] >= least and g >= least_gain}
+        if not more:
+            break
+        kept |= more
+    out = []
+    for t in texts:
+        score = 0
+        for i, w in enumerate(t):
+            k = 0
+            while k < i and tuple(t[i - k - 1 : i]) in kept:
+                k += 1
+            score += math.log10(p(tuple(t[i - k : i]), w))
+        out.append(score)
+    return out, kept
+
+
+@pytest.mark.parametrize("tokens", [1 << 19, 400])
+def test_tree_grows_beyond_pairs_by_absolute_counts(spark, monkeypatch, tokens):
+    rng = random.Random(5)
+    rows = awkward(n=20)
+    # What follows "three" depends on up to four words; copies; and much else, so these are a small share.
+    phrases = ["p one two three pp", "q one two three qq", "s two three ss", "t three tt"]
+    rows += [(300 + i, f"{rng.choice(phrases)} {rng.choice('xyz')}") for i in range(160)]
+    rows += [(500 + i, " ".join(f"u{rng.randrange(3000)}" for _ in range(200))) for i in range(40)]
+    rows += [(600 + i, "the very same line again and again until it ends") for i in range(14)]
+    rows = [r for r in rows if r[0] is not None]
+    held = [i % 7 == 2 for i, _ in rows]
+    monkeypatch.setattr(suffix_tree, "TOKENS_PER_RANGE", 700)
+    monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", tokens)
+    want, kept = slow_tree(rows, held, 10, 20.0, 2.0)
+    assert max(map(len, kept)) >= 4 and (b"p", b"one", b"two", b"three") in kept
+    got = suffix_tree.suffix_tree_scores(
+        documents(spark, rows, True), F.col("doc_id") % 7 == 2, prior=20.0, least_gain=2.0
+    ).collect()
+    digest = lambda i, v: (i, round(v, 6))
+    assert sorted(digest(r.doc_id, r.score) for r in got) == sorted(
+        digest(i, v) for (i, _), v in zip(rows, want)
+    )

@@ -72,6 +72,18 @@ def _delete_kept(spark: SparkSession) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each action made inside as soon as it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(frame: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that no later plan reads."""
     spark = frame.sparkSession

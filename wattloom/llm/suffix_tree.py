@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, query, slices, stored, stored_folder, table, utf8
+from .common import discard, query, shuffles_removed, slices, stored, stored_folder, table, utf8
 
 CHUNK_TOKENS = 1 << 19
 TOKENS_PER_RANGE = 2 << 20
@@ -36,6 +36,17 @@ def loosened(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
+def squeezed_rising(array: np.ndarray) -> bytes:
+    """Rising 64-bit numbers: the steps between them, byte by byte, of which the high ones are zero."""
+    steps = np.diff(array.astype("<u8"), prepend=np.uint64(0))
+    return squeezed(steps.view("u1").reshape(-1, 8).T)
+
+
+def loosened_rising(blob: bytes) -> np.ndarray:
+    steps = loosened(blob, "u1").reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype=np.uint64)
+
+
 def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> DataFrame:
     """The corpus as chunks of documents, see above. Every text ends with one end token."""
 
@@ -195,7 +206,7 @@ def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, n_ranges: int) -> pa.
     row = (
         of[cuts],
         [chunk] * len(cuts),
-        [squeezed(keys[a:b]) for a, b in parts],
+        [squeezed_rising(keys[a:b]) for a, b in parts],
         [squeezed(values[a:b]) for a, b in parts],
     )
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _ASK.types)], schema=_ASK)
@@ -205,7 +216,7 @@ def _meet(kind: str, answer):
     """Add up a range's values by key and answer each chunk in the order of its keys."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys = [loosened(b, "<u8") for b in group["keys"].to_pylist()]
+        keys = [loosened_rising(b) for b in group["keys"].to_pylist()]
         values = [loosened(b, kind) for b in group["values"].to_pylist()]
         known, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, weights=np.concatenate(values), minlength=len(known))
@@ -216,7 +227,9 @@ def _meet(kind: str, answer):
             {
                 "range": pa.array([r] * (len(keys) + 1), pa.int64()),
                 "chunk": pa.array([*group["chunk"].to_pylist(), None], pa.int64()),
-                "values": pa.array([*(squeezed(reply[of[a:b]]) for a, b in zip(ends, ends[1:])), None], pa.binary()),
+                "values": pa.array(
+                    [*(squeezed(reply[of[a:b]]) for a, b in zip(ends, ends[1:])), None], pa.binary()
+                ),
                 "different": pa.array([*[None] * len(keys), int((total > 0).sum())], pa.int64()),
             }
         )
@@ -277,13 +290,13 @@ class State:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         value = lambda name, kind: loosened(batch.column(name)[i].as_py(), kind)
-        self.at = value("at", "<u4").astype(np.int64)
+        self.at = loosened_rising(batch.column("at")[i].as_py()).astype(np.int64)
         self.p, self.longer, self.gain = value("p", "<f8"), value("longer", "<f8"), value("gain", "<f8")
         self.known, self.base, self.score = value("known", "<i8"), value("base", "<f8"), value("score", "<f8")
 
 
 def _state(chunk: Chunk, at, p, longer, gain, known, base, score) -> pa.RecordBatch:
-    blobs = [squeezed(at.astype("<u4"))] + [squeezed(v) for v in (p, longer, gain, known, base, score)]
+    blobs = [squeezed_rising(at)] + [squeezed(v) for v in (p, longer, gain, known, base, score)]
     row = [chunk.id, *blobs, len(at)]
     return pa.RecordBatch.from_arrays(
         [pa.array([v], t) for v, t in zip(row, _STATE.types)], schema=_STATE
@@ -409,31 +422,12 @@ def _emit(tokens: int):
     return run
 
 
-def suffix_tree_scores(
-    documents: DataFrame,
-    held_out: Column,
-    text: str = "text",
-    key: str = "doc_id",
-    share: float = 1e-5,
-    prior: float = 3000.0,
-    least_gain: float = 10.0,
-) -> DataFrame:
-    """Score every whole text by a suffix tree learnt from the rows that are not ``held_out``.
-
-    Candidate states are words, and pairs of such words, that make up at least ``share`` of the
-    training tokens, so there are at most 1 / ``share`` of either. A state is retained if its next-word
-    distribution diverges from that of its suffix: left-one-out, its own training tokens must gain at
-    least ``least_gain`` nats over the suffix. A pair is retained only with its suffix. Each token is
-    scored by the longest retained state before it within its text, smoothed by the suffix's
-    distribution with the weight of ``prior`` tokens, down to the add-one unigram distribution.
-
-    Returns key, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (unigrams)
-    and score, both in log10. A null or empty text is its end token alone; a null ``held_out`` counts as
-    training; repeated rows count and are scored each; without training rows all words are unknown; an
-    empty table gives no rows. Other columns are not read.
-    """
-    longest = 2
-    chunks = _stored_by_chunk(encoded(documents, text, key, held_out))
+def _grown(
+    chunks: DataFrame, share: float | None, prior: float, least_gain: float, least: float
+) -> tuple[DataFrame, DataFrame, int]:
+    """The stored chunks, their state after the last level, and the number of training tokens."""
+    longest = None if share is None else 2
+    chunks = _stored_by_chunk(chunks)
     n, tokens = chunks.agg(F.sum("n"), F.sum("n_train")).first()
     n, tokens = int(n or 0), int(tokens or 0)
     n_ranges = max(1, n // TOKENS_PER_RANGE)
@@ -454,7 +448,8 @@ def suffix_tree_scores(
         if not alive:
             break
         n_ranges = max(1, 2 * alive // TOKENS_PER_RANGE)
-        least = max(1.0 if level == 1 else 2.0, share * tokens)
+        if share is not None:
+            least = max(1.0 if level == 1 else 2.0, share * tokens)
         for ask, kind, answer, update in (
             (_ask_counts(level, n_ranges), "<u4", whole, _count(level, least, prior)),
             (
@@ -465,11 +460,47 @@ def suffix_tree_scores(
             ),
         ):
             both = chunks.join(state, "chunk")
-            replies = _by_chunk(met(both.where("alive > 0").mapInArrow(ask, _ASK_SQL), kind, answer))
-            after = stored(both.join(replies, "chunk", "left").mapInArrow(update, _STATE_SQL))
+            replies = stored(met(both.where("alive > 0").mapInArrow(ask, _ASK_SQL), kind, answer))
+            answers = both.join(_by_chunk(replies), "chunk", "left")
+            after = stored(answers.mapInArrow(update, _STATE_SQL))
             discard(state)
+            discard(replies)
             state = after
         level += 1
+    return chunks, state, tokens
+
+
+def suffix_tree_scores(
+    documents: DataFrame,
+    held_out: Column,
+    text: str = "text",
+    key: str = "doc_id",
+    share: float | None = None,
+    prior: float = 3000.0,
+    least_gain: float = 10.0,
+    least: int = 10,
+) -> DataFrame:
+    """Score every whole text by a suffix tree learnt from the rows that are not ``held_out``.
+
+    Candidate states are words, and runs of words of any length, with at least ``least`` training
+    tokens behind them. A state is retained if its suffix is and its next-word distribution diverges
+    from that of its suffix: left-one-out, its own training tokens must gain at least ``least_gain``
+    nats over the suffix. The tree grows by one word a level until nothing more is retained. Each token
+    is scored by the longest retained state before it within its text, smoothed by the suffix's
+    distribution with the weight of ``prior`` tokens, down to the add-one unigram distribution.
+
+    With ``share`` the tree is a small one instead: words and pairs of words that make up at least this
+    share of the training tokens.
+
+    Returns key, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (unigrams)
+    and score, both in log10. A null or empty text is its end token alone; a null ``held_out`` counts as
+    training; repeated rows count and are scored each; without training rows all words are unknown; an
+    empty table gives no rows. Other columns are not read.
+    """
+    with shuffles_removed(documents.sparkSession):
+        chunks, state, tokens = _grown(
+            encoded(documents, text, key, held_out), share, prior, least_gain, least
+        )
     scored = chunks.join(state, "chunk").mapInArrow(
         _emit(tokens),
         "key bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
