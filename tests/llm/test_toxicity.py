@@ -62,6 +62,34 @@ def test_swapping_terms_lowers_false_positives(spark):
     assert free[5.0][1] < free[0.0][1] and free[5.0][3] > 0.7
 
 
+def test_every_group_of_a_text_is_swapped(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        who = "muslim women" if toxic else rng.choice(("christian person", "muslim person", "christian person"))
+        bad = rng.choice(BAD) if toxic and rng.random() < 0.8 else "here"
+        rows.append((i, f"{prose(rng, 6)}. The {who} {bad} said so."))
+        labels.append((i, int(toxic)))
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    asked = documents(spark, [(1, "The muslim said so."), (2, "The christian said so.")])
+    gap = {}
+    for penalty in (0.0, 5.0):
+        model = toxicity.fit(documents(spark, rows), known, swap_penalty=penalty)
+        got = {r.doc_id: r.s for r in toxicity.with_scores(asked, model, out="s").collect()}
+        gap[penalty] = got[1] - got[2]
+    assert abs(gap[5.0]) < 0.2 * abs(gap[0.0])
+
+
+def test_every_term_of_a_group_is_met():
+    text = "Muslim women. A sikh."
+    got = [(p, g, words ^ after) for p, g, _, words, after in toxicity.counterfactuals(text, (("women", "men"), ("muslim", "hindu", "sikh")))]
+    assert got == [
+        (0, 0, {"women", "men"}), (0, 1, {"muslim", "hindu"}), (0, 1, {"muslim", "sikh"}),
+        (1, 1, {"sikh", "muslim"}), (1, 1, {"sikh", "hindu"}),
+    ]
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     frame = documents(spark, rows, True)

@@ -10,8 +10,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from .common import query, slices, table, utf8, worker_state
 
@@ -83,18 +85,24 @@ class Features:
         return self.of_words(set(WORD.findall(text.lower())))
 
 
-def counterfactuals(text: str, groups: tuple[tuple[str, ...], ...]) -> Iterator[tuple[set, set]]:
-    """(words of a sentence, words after swapping its identity terms) for each group mentioned;
-    every term is replaced by the next of its group."""
-    swaps = [{t: g[(i + 1) % len(g)] for i, t in enumerate(g)} for g in groups]
+def counterfactuals(
+    text: str, groups: tuple[tuple[str, ...], ...]
+) -> Iterator[tuple[int, int, int, set, set]]:
+    """(sentence, group, step, words, words after the swap) for each group a sentence mentions and each
+    other term of it: every term is replaced by the one so many steps further in its group."""
+    swaps = [
+        (n, step, {t: g[(i + step) % len(g)] for i, t in enumerate(g)})
+        for n, g in enumerate(groups)
+        for step in range(1, len(g))
+    ]
     terms = {t for g in groups for t in g}
-    for sentence in SENTENCE.findall(text.lower()):
+    for place, sentence in enumerate(SENTENCE.findall(text.lower())):
         words = set(WORD.findall(sentence))
         if words.isdisjoint(terms):
             continue
-        for swap in swaps:
+        for n, step, swap in swaps:
             if not words.isdisjoint(swap):
-                yield words, {swap.get(w, w) for w in words}
+                yield place, n, step, words, {swap.get(w, w) for w in words}
 
 
 @dataclass
@@ -194,7 +202,9 @@ def fit(
     """Fit on at most ``most_rows`` labelled texts, those whose key has the smallest hash.
 
     Spark extracts the features and counts them by label; kept are those whose log odds differ by at
-    least ``least_clear`` standard errors, the ``most_features`` clearest of them. What reaches the driver is bounded by the three limits. A key with several
+    least ``least_clear`` standard errors, the ``most_features`` clearest of them. Of all swaps of a sentence's terms by others of their group that change a feature, those
+    with the smallest hash are kept, in turn for each group and distance, ``most_pairs`` in all. What
+    reaches the driver is bounded by the three limits. A key with several
     labels counts as 1 if any is 1; null labels and keys are left out. Without labelled texts all
     weights are 0. Null texts count as empty.
     """
@@ -255,51 +265,52 @@ def fit(
     ]
     columns = {f: i for i, f in enumerate(kept)}
     column_of = documents.sparkSession.sparkContext.broadcast(columns)
-    share = max(1, most_pairs // most_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(column_of.value)
         for batch in slices(batches, "text"):
-            out = []
-            for t, y in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
-                decoded = t.decode("utf-8", "replace")
-                swaps = []
-                for before, after in counterfactuals(decoded, groups):
-                    a, b = features.of_words(before), features.of_words(after)
-                    if a != b:
-                        swaps.append({"before": sorted(a - b), "after": sorted(b - a)})
-                    if len(swaps) >= share:
-                        break
-                out.append((sorted(features.of(decoded)), int(y > 0), swaps))
+            found = [sorted(features.of(t.decode("utf-8", "replace"))) for t in batch["text"].to_pylist()]
+            ones = [int(y > 0) for y in batch["label"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([o[0] for o in out], pa.list_(pa.int32())),
-                    pa.array([o[1] for o in out], pa.int32()),
-                    pa.array(
-                        [o[2] for o in out],
-                        pa.list_(
-                            pa.struct(
-                                [
-                                    ("before", pa.list_(pa.int32())),
-                                    ("after", pa.list_(pa.int32())),
-                                ]
-                            )
-                        ),
-                    ),
-                ],
-                ["found", "label", "swaps"],
+                [pa.array(found, pa.list_(pa.int32())), pa.array(ones, pa.int32())],
+                ["found", "label"],
             )
 
-    rows = (
-        sample.select("text", "label")
-        .mapInArrow(
-            extract,
-            "found array<int>, label int, swaps array<struct<before:array<int>,after:array<int>>>",
-        )
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(column_of.value)
+        for batch in slices(batches, "text"):
+            for k, t in zip(batch["key"], batch["text"].to_pylist()):
+                out = []
+                for place, group, step, before, after in counterfactuals(
+                    t.decode("utf-8", "replace"), groups
+                ):
+                    a, b = features.of_words(before), features.of_words(after)
+                    if a != b:
+                        out.append((k.as_py(), place, group, step, sorted(a - b), sorted(b - a)))
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v, f.type) for v, f in zip(zip(*out), swap_schema)],
+                        schema=swap_schema,
+                    )
+
+    rows = sample.select("text", "label").mapInArrow(extract, "found array<int>, label int").collect()
+    rows.sort(key=lambda r: (r["label"], r["found"]))  # the order of tasks must not matter
+    kind = sample.schema["key"].dataType
+    rest = StructType.fromDDL("place int, `group` int, step int, before array<int>, after array<int>")
+    swap_type = StructType([StructField("key", kind), *rest])
+    swap_schema = to_arrow_schema(swap_type)
+    swaps = sample.select("key", "text").mapInArrow(swap, swap_type)
+    order = [F.xxhash64("key", "place", "group", "step"), "before", "after"]
+    turn = F.row_number().over(Window.partitionBy("group", "step").orderBy(*order))
+    chosen_swaps = (
+        swaps.withColumn("turn", turn)
+        .where(F.col("turn") <= most_pairs)
+        .orderBy("turn", "group", "step")
+        .limit(most_pairs)
+        .select("before", "after")
         .collect()
     )
-    rows.sort(key=lambda r: (r["label"], r["found"]))  # the order of tasks must not matter
-    pairs = [(s["before"], s["after"]) for r in rows for s in r["swaps"]]
+    pairs = [(r["before"], r["after"]) for r in chosen_swaps]
     weights, intercept = train(
         [r["found"] for r in rows],
         np.array([r["label"] for r in rows], float),
