@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, order_minhash, packing, simhash, suffix_tree, token_counts, topk_search, toxicity  # noqa: F401
+from . import (  # noqa: F401
+    chat, licenses, mixing, order_minhash, packing, repetition, simhash, suffix_tree, token_counts,
+    topk_search, toxicity,
+)
 from .common import QUERIES, SQL  # noqa: F401
