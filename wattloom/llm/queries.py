@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    chat, licenses, mixing, order_minhash, packing, repetition, simhash, suffix_tree, token_counts,
+    chat, lexical, licenses, mixing, order_minhash, packing, repetition, simhash, suffix_tree, token_counts,
     topk_search, toxicity,
 )
 from .common import QUERIES, SQL  # noqa: F401
