@@ -22,7 +22,7 @@ LOWER[65:91] += 32
 
 SCALE, SATURATION, FLAT, SLOPE = 1_000_000_000, 20, 50, 50  # the score's fixed whole numbers
 TREE_DOCS, TREE_CELLS, LEAF = 1024, 1 << 22, 16
-GROUP = 16  # terms that share a radius
+GROUP = 4  # terms that share a radius
 LARGEST = (1 << 63) - 1
 
 
