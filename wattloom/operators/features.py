@@ -2,8 +2,8 @@
 
 Windows run over hourly rows. One node has at most one row per hour of history
 (8,760 a year), so a window partition is bounded by time, not by the number of raw
-readings, however hot the node. All window specs share one partitioning and order,
-which gives one shuffle and one sort.
+readings, however hot the node. Lags are windows per node; rolling statistics work on
+chunks of days and cost the same for any length, see :mod:`rolling`.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecols import (
-    DAY_MS, day_of_month, day_of_week_sunday1, hour_ms, utc_hour,
-)
+from ..functions.timecols import day_of_month, day_of_week_sunday1, hour_ms, utc_hour
+from . import rolling
+from .rolling import Rolling
 
 # Row offsets of the lags, days of the rolling averages, lineage marks.
 LAG_ROWS = {"lag_1h": 1, "lag_24h": 24, "lag_168h": 168}
@@ -51,11 +51,6 @@ def _by_node() -> Window:
     return Window.partitionBy("node_id").orderBy("timestamp")
 
 
-def _last_days(days: int) -> Window:
-    """Both ends inclusive, so a day frame can hold 25 hourly rows."""
-    return _by_node().rangeBetween(-days * DAY_MS, 0)
-
-
 def with_lags(hourly: DataFrame) -> DataFrame:
     """Lags count rows, so a gap in the hours shifts them."""
     return hourly.withColumns(
@@ -63,19 +58,17 @@ def with_lags(hourly: DataFrame) -> DataFrame:
     )
 
 
+ROLLING = [
+    *(Rolling(name, "avg", "avg_power", days) for name, days in ROLLING_DAYS.items()),
+    Rolling("rolling_min_24h", "min", "min_power", 1),
+    Rolling("rolling_max_24h", "max", "max_power", 1),
+    Rolling("rolling_std_24h", "stddev", "avg_power", 1),
+]
+
+
 def with_rolling(hourly: DataFrame) -> DataFrame:
-    rolling = {
-        name: F.avg("avg_power").over(_last_days(days)) for name, days in ROLLING_DAYS.items()
-    }
-    day = _last_days(1)
-    return hourly.withColumns(
-        {
-            **rolling,
-            "rolling_min_24h": F.min("min_power").over(day),
-            "rolling_max_24h": F.max("max_power").over(day),
-            "rolling_std_24h": F.stddev("avg_power").over(day),
-        }
-    )
+    """Both ends of a range count, so a day can hold 25 hourly rows."""
+    return rolling.with_rolling(hourly, ROLLING, ["node_id"])
 
 
 def with_lineage(features: DataFrame) -> DataFrame:
