@@ -124,7 +124,7 @@ def test_roots(roots):
     positive = sorted((r for r in roots if r), reverse=True)
     for at in {0, 1, 2, 4, 5, 1 << 70, *roots}:
         assert whitening.roots_above(poly, at, 0) == sum(r > at for r in roots)
-        assert whitening.roots_above(poly, 2 * at + 1, -1) == sum(r > at + 0.5 for r in roots)
+        assert whitening.roots_above(poly, 2 * at + 1, -1) == sum(2 * r > 2 * at + 1 for r in roots)
         sign = math.prod((at > r) - (at < r) for r in roots)
         assert whitening.value_sign(poly, at, 0) == sign
     got = whitening.largest_roots(poly, 4)

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, stored, table
+from .common import query, table
 
 SCALE, SHIFT = 64, 1_000_000
 LONG = (1 << 63) - 1
@@ -70,7 +69,6 @@ def unlimbed(row) -> int:
     return sum(int(row[f"l{k}"]) << (LIMB * k) for k in range(LIMBS))
 
 
-_LIMB_SUMS = [F.sum(f"l{k}").alias(f"l{k}") for k in range(LIMBS)]
 _LIMB_SCHEMA = ", ".join(f"l{k} bigint" for k in range(LIMBS))
 
 
@@ -122,7 +120,7 @@ def _limb_rows(entries: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def _summed(rows: DataFrame, function) -> dict[tuple[int, int], int]:
     """Sums over all tasks by (i, j); as many rows as the matrix has entries."""
     parts = rows.mapInArrow(function, f"i int, j int, {_LIMB_SCHEMA}")
-    merged = parts.groupBy("i", "j").agg(*_LIMB_SUMS).collect()
+    merged = parts.groupBy("i", "j").agg(*(F.sum(f"l{k}").alias(f"l{k}") for k in range(LIMBS))).collect()
     return {(r["i"], r["j"]): unlimbed(r) for r in merged}
 
 
