@@ -74,10 +74,21 @@ class Doubling:
         return before[self.begin + self.length] - before[self.begin]
 
     def avg(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums carry what rounding took from them, and a mean has 15 significant digits: it depends
+        neither on the order of adding nor on the last bits of values that were rounded before."""
+
+        def merge(a, b):
+            total = a[0] + b[0]
+            part = total - a[0]
+            lost = (a[0] - (total - part)) + (b[0] - part)
+            # Beyond the finite numbers there is nothing to carry.
+            return total, np.where(np.isfinite(total), a[1] + b[1] + lost, 0.0)
+
         values = np.where(self.known, self.values, 0.0)
-        (total,) = self._walk((values,), lambda a, b: (a[0] + b[0],))
+        with np.errstate(invalid="ignore", over="ignore"):
+            total, lost = self._walk((values, np.zeros(len(values))), merge)
         n = self.counts()
-        return total / np.maximum(n, 1), n > 0
+        return _digits((total + lost) / np.maximum(n, 1)), n > 0
 
     def stddev(self) -> tuple[np.ndarray, np.ndarray]:
         """Of a sample; unknown for fewer than two values."""
@@ -117,6 +128,15 @@ class Doubling:
         return self._extreme(np.where(self.known, self.values, -np.inf), np.maximum), self.counts() > 0
 
 
+def _digits(values: np.ndarray, digits: int = 15) -> np.ndarray:
+    """Rounded to significant digits, where these are within the range of powers of ten."""
+    size = np.abs(values)
+    plain = (size > 1e-200) & (size < 1e200)
+    places = digits - 1 - np.floor(np.log10(np.where(plain, size, 1.0)))
+    up, down = 10.0 ** np.maximum(places, 0), 10.0 ** np.maximum(-places, 0)
+    return np.where(plain, np.rint(np.where(plain, values, 0.0) * up / down) / up * down, values)
+
+
 def _group_starts(columns: list[pa.Array]) -> np.ndarray:
     """Whether each row differs from the one before in any of the columns; nulls are equal."""
     n = len(columns[0])
