@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -42,6 +43,33 @@ def test_top_k(spark, block, k):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == slow(rows, k)
 
 
+def test_components_beyond_a_scaled_double(spark):
+    big = 2.0**1020
+    rows = [(0, [big, 1.0]), (1, [-big, 3.0]), (2, [big, big]), (3, [0.0, 1.0]), (20, [-1e307, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk_search.top_k(frame, frame.where("vec_id % 20 = 0")).collect()
+    want = []
+    for q, a in rows:
+        if q % 20 == 0:
+            dot = lambda v: sum(math.floor(Fraction(x) * 64) * math.floor(Fraction(y) * 64) for x, y in zip(a, v))
+            found = sorted((-max(-(1 << 63), min((1 << 63) - 1, dot(v))), i) for i, v in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_bounds_rule_out_far_clusters():
+    rng = np.random.default_rng(1)
+    centres = np.repeat(rng.normal(0, 30, (20, 8)), 8, axis=1)
+    vectors = np.repeat(centres, 100, axis=0) + rng.normal(0, 1, (2000, 64))
+    ids = np.arange(len(vectors))
+    search = topk_search.Searcher(ids[::20], vectors[::20], 20, 64)
+    search.see(ids, vectors)
+    assert search.left < 0.4 * search.asked
+    x = np.floor(64 * vectors).astype(np.int64)
+    want = {(q, i) for q in ids[::20] for _, i in sorted((-(x[q] @ x[i]), i) for i in ids if i != q)[:20]}
+    assert set(zip(*(a.tolist() for a in search.rows()[:2]))) == want
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert topk_search.top_k(empty, empty).count() == 0

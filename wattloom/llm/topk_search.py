@@ -33,16 +33,29 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row integer inner products. Beyond 2**53 in exact whole numbers, and beyond 64 bits
-    held at the limits of a long."""
+def scaled(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), infinite where that is beyond a double."""
     with np.errstate(over="ignore"):
-        size = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+        return np.floor(scale * vectors)
+
+
+def whole(x: float, scale: int) -> int:
+    """floor(scale * x) in full; from 2**53 on a double is a whole number itself."""
+    product = scale * float(x)
+    return int(np.floor(product)) if abs(product) < float("inf") else scale * int(x)
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray, scale: int = 1) -> np.ndarray:
+    """Row by row inner products of whole numbers, or of floor(scale * x). Beyond 2**53 in exact whole
+    numbers, and beyond 64 bits held at the limits of a long."""
+    x, y = scaled(a, scale), scaled(b, scale)
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
     out = np.zeros(len(a), np.int64)
     small = size < EXACT
-    out[small] = np.einsum("ij,ij->i", a[small], b[small]).astype(np.int64)
+    out[small] = np.einsum("ij,ij->i", x[small], y[small]).astype(np.int64)
     for i in np.flatnonzero(~small):
-        total = sum(int(x) * int(y) for x, y in zip(a[i], b[i]))
+        total = sum(whole(v, scale) * whole(w, scale) for v, w in zip(a[i], b[i]))
         out[i] = max(-(1 << 63), min((1 << 63) - 1, total))
     return out
 
@@ -75,17 +88,43 @@ class Best:
 
 
 class Searcher:
-    """Finds the best of some queries among candidates that come in batches."""
+    """Finds the best of some queries among candidates that come in batches.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors = ids, vectors
-        self.statistics = [segment_statistics(vectors, n) for n in LEVELS]
+    For every batch the candidates with the greatest coarse bounds are scored first, which gives each
+    query a k-th score; the bounds, coarse to fine, then meet that score. ``asked`` and ``left``
+    count pairs, and those that no bound ruled out.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int = 1):
+        self.ids, self.raw, self.scale = ids, vectors, scale
+        self.vectors = scaled(vectors, scale)
+        self.asked = self.left = 0
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.statistics = [segment_statistics(self.vectors, n) for n in LEVELS]
         self.blocks = [
             (at, Best(min(QUERIES_AT_ONCE, len(ids) - at), k))
             for at in range(0, len(ids), QUERIES_AT_ONCE)
         ]
 
-    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def _score(self, best: Best, at: int, q, c, ids, vectors, raw) -> None:
+        """Exact scores of pairs (query, candidate), a bounded number at a time."""
+        finite = np.isfinite(vectors).all() and np.isfinite(self.vectors).all()
+        for begin in range(0, len(q), 1 << 16):
+            qs, cs = q[begin : begin + (1 << 16)], c[begin : begin + (1 << 16)]
+            if finite:
+                scores = exact_scores(self.vectors[at + qs], vectors[cs])
+            else:
+                scores = exact_scores(self.raw[at + qs], raw[cs], self.scale)
+            good = scores >= best.least[qs]
+            if good.any():
+                best.add(qs[good], ids[cs[good]], scores[good])
+
+    def see(self, ids: np.ndarray, raw: np.ndarray) -> None:
+        # Sums beyond a double become infinite or undefined, and such a bound rules nothing out.
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._see(ids, raw, scaled(raw, self.scale))
+
+    def _see(self, ids: np.ndarray, raw: np.ndarray, vectors: np.ndarray) -> None:
         statistics = [segment_statistics(vectors, n) for n in LEVELS]
         sizes = np.sqrt((vectors * vectors).sum(1))
         for at, best in self.blocks:
@@ -94,8 +133,17 @@ class Searcher:
             own_sizes = np.sqrt((own * own).sum(1))
             # Room for rounding in the bounds; the scores themselves are exact.
             slack = 1e-9 * own_sizes.max(initial=0) * sizes.max(initial=0) + 1e-6
-            floor = best.least - slack
             alive = self.ids[at:to, None] != ids[None, :]
+            self.asked += np.count_nonzero(alive)
+            if alive.shape[1] > k:
+                coarse = np.where(alive, self.statistics[0][at:to] @ statistics[0].T, -np.inf)
+                c = np.argpartition(coarse, -k, axis=1)[:, -k:].ravel()
+                q = np.repeat(np.arange(len(own)), k)
+                q, c = q[alive[q, c]], c[alive[q, c]]
+                self._score(best, at, q, c, ids, vectors, raw)
+                alive[q, c] = False
+                self.left += len(q)
+            floor = best.least - slack
             for mine, theirs in zip(self.statistics, statistics):
                 if np.count_nonzero(alive) * DENSE < alive.size:
                     # Few pairs are left: bound each of them on its own.
@@ -105,6 +153,7 @@ class Searcher:
                 else:
                     alive &= ~(mine[at:to] @ theirs.T < floor[:, None])
             left = np.count_nonzero(alive)
+            self.left += left
             if left * DENSE >= alive.size and own_sizes.max() * sizes.max() < EXACT:
                 # Whole numbers below 2**53: the product of the matrices is exact.
                 scores = own @ vectors.T
@@ -115,13 +164,7 @@ class Searcher:
                 q, c = np.nonzero((scores >= least[:, None]) & alive)
                 best.add(q, ids[c], scores[q, c].astype(np.int64))
                 continue
-            q, c = np.nonzero(alive)
-            for begin in range(0, len(q), 1 << 16):
-                qs, cs = q[begin : begin + (1 << 16)], c[begin : begin + (1 << 16)]
-                scores = exact_scores(own[qs], vectors[cs])
-                good = scores >= best.least[qs]
-                if good.any():
-                    best.add(qs[good], ids[cs[good]], scores[good])
+            self._score(best, at, *np.nonzero(alive), ids, vectors, raw)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (
@@ -146,7 +189,8 @@ def top_k(
     the smaller key. Vectors that are null or hold null or non-finite components, and rows without a
     key, take no part. Only vectors of equal length are compared. A row is never its own result, nor
     are others with its key; repeated candidates count each, repeated queries once (with the smaller
-    vector). Empty tables give no rows. Scores beyond a long are held at its limits.
+    vector). Empty tables give no rows. Scores beyond a long are held at its limits;
+    components whose product with ``scale`` is beyond a double count in full, as whole numbers.
 
     Queries go in blocks of about ``block`` rows, each broadcast to one pass over all candidates;
     every task keeps k results per query and those are merged. Pruning only skips candidates whose
@@ -176,14 +220,14 @@ def top_k(
             {
                 n: (
                     np.array([i for i, _ in group], np.int64),
-                    np.floor(scale * np.array([v for _, v in group], float)).reshape(-1, n),
+                    np.array([v for _, v in group], float).reshape(-1, n),
                 )
                 for n, group in by_length.items()
             }
         )
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searchers = {n: Searcher(*group, k) for n, group in sent.value.items() if n}
+            searchers = {n: Searcher(*group, k, scale) for n, group in sent.value.items() if n}
             for batch in batches:
                 lists, ids = batch.column("vector"), batch.column("id").to_numpy()
                 lengths = pa.compute.list_value_length(lists).to_numpy()
@@ -192,7 +236,7 @@ def top_k(
                     for begin in range(0, len(at), 2048):
                         chosen = at[begin : begin + 2048]
                         flat = lists.take(pa.array(chosen)).flatten().to_numpy()
-                        searcher.see(ids[chosen], np.floor(scale * flat).reshape(-1, n))
+                        searcher.see(ids[chosen], flat.reshape(-1, n))
             for searcher in searchers.values():
                 for column in [searcher.rows()]:
                     yield pa.RecordBatch.from_arrays(
