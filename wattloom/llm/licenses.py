@@ -32,6 +32,15 @@ SENTENCES = {
     "either version 3 of the License, or (at your option) any later version": "Version3Later",
     "This is free and unencumbered software released into the public domain": "UnlicenseDomain",
     "All rights reserved": "AllRights",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v": "MPLTerms",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/": "MPL2Copy",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/": "MPL2Copy",
+}
+# Normalised sentences with a slot for names. A name that ends in a stop cuts its
+# sentence, so the part before the last name may be missing.
+SLOTS = {
+    "^(?:neither the names? of .+ )?nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission$": "BSDEndorse",
+    "^the names? of .+ may not be used to endorse or promote products derived from this software without specific prior written permission$": "BSDEndorse",
 }
 # Licence names in references such as "Licensed under the ...", and identifiers.
 NAMES = {
@@ -74,6 +83,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-or-later", ("GPLFree", "GPLTerms", "Version3Later")),
     ("LGPL-2.1-or-later", ("LGPLFree", "LGPLTerms", "Version21Later")),
     ("Unlicense", ("UnlicenseDomain",)),
+    ("MPL-2.0", ("MPLTerms", "MPL2Copy")),
     ("MIT", ("MITRef",)),
     ("Apache-2.0", ("Apache2Ref",)),
     ("GPL-2.0-or-later", ("GPL2LaterRef",)),
@@ -139,6 +149,7 @@ def _identifier(sentence: Column) -> Column:
     name = F.regexp_replace(F.regexp_extract(text, REFERENCE, 1), " the licen[sc]e$", "")
     return F.coalesce(
         F.try_element_at(_lookup(KNOWN_WORDINGS), text),
+        *(F.when(text.rlike(pattern), F.lit(i)) for pattern, i in SLOTS.items()),
         F.try_element_at(_lookup(KNOWN_NAMES), name),
     )
 
@@ -233,7 +244,11 @@ def _sql() -> str:
     norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
     known = lambda v: (
         f"coalesce({mapping(KNOWN)}[{norm.format(v)}], "
-        f"{mapping(KNOWN_NAMES)}[regexp_extract({norm.format(v)}, {text(REFERENCE)}, 1)])"
+        + "".join(
+            f"CASE WHEN regexp_matches({norm.format(v)}, {text(p)}) THEN {text(i)} END, "
+            for p, i in SLOTS.items()
+        )
+        + f"{mapping(KNOWN_NAMES)}[regexp_extract({norm.format(v)}, {text(REFERENCE)}, 1)])"
     )
     steps, hits = ["array_to_string(['<' || i || '>' FOR i IN ids], '') AS s0"], []
     for n, (name, ids) in enumerate(RULES):
