@@ -39,10 +39,11 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
     What a full child cannot take goes to its siblings in proportion to their weights; only when all
     siblings are full is a budget left over. Children are visited by capacity per weight: the full
-    ones come first, so running sums find them without iteration. Shares are rounded down.
+    ones come first, so running sums find them without iteration. Shares are rounded down. A child of
+    weight 0 gets nothing; its capacity must be 0.
     """
     siblings = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    ratio = F.col("capacity") / F.col("weight")
+    ratio = F.try_divide("capacity", "weight")
     before = siblings.orderBy(ratio, name).rowsBetween(Window.unboundedPreceding, -1)
     seen = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     nodes = nodes.select(
@@ -95,8 +96,11 @@ def plan(
     """
     leaves = rows.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"))
     w = dict(zip(TREE, weights(*(F.col(c) for c in TREE))))
-    leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs).withColumns(
-        {f"w_{c}": w[c] for c in TREE}
+    leaves = leaves.withColumns({f"w_{c}": w[c] for c in TREE})
+    least = F.least(*(F.col(f"w_{c}") for c in TREE))
+    negative = F.raise_error(F.lit("weights must not be negative")).cast("bigint")
+    leaves = leaves.withColumn(
+        "capacity", F.when(least > 0, F.col("tokens") * max_epochs).when(least < 0, negative).otherwise(0)
     )
     leaves = stored(leaves)
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -147,7 +151,8 @@ def mix(
 
     The budget is ``budget_share`` of all tokens, divided by :func:`budgets`. A leaf may be repeated up
     to ``max_epochs`` times: whole epochs first, then the longest prefix of the next epoch's seeded
-    order that its budget holds. Rows with equal keys in a leaf go together. Null language, source and
+    order that its budget holds. A weight of 0 leaves a node out, and its siblings take its share;
+    negative weights raise an error. Rows with equal keys in a leaf go together. Null language, source and
     text count as empty, and a null key as a key of its own that comes first among equal order keys.
     Rows without tokens come with whole epochs and with a prefix that reaches them; a leaf without any
     tokens is never taken. An empty table gives no rows. A column already called ``mixed`` is replaced.
