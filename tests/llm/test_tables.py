@@ -4,6 +4,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import awkward, documents
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -103,6 +104,15 @@ BSD3 = BSD2.replace("2-Clause", "3-Clause") + """
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
 """
+BSD3_NAMED = BSD3.replace("the copyright holder nor", "Some Company Ltd. nor")
+BSD3_AUTHOR = BSD2 + """
+3. The name of the author may not be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
 ISC = """Copyright 2020 Some One
 
 Permission to use, copy, modify, and/or distribute this software for any
@@ -151,6 +161,19 @@ def test_standard_texts(spark):
     assert got[500].identifiers == "GPLFree;GPLTerms;Version3Later"
 
 
+def test_sentences_with_names(spark, folder):
+    texts = [BSD3_NAMED, BSD3_NAMED.replace("Ltd.", "and Others"), BSD3_AUTHOR, MPL, MPL.replace("https", "http")]
+    frame = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame).collect()}
+    assert [got[i].licenses for i in range(5)] == ["BSD-3-Clause"] * 3 + ["MPL-2.0"] * 2
+    # The SQL knows sentences that end in a stop or fill a line.
+    lines = [" ".join(t[t.index("Redis") if "Redis" in t else 0 :].split()) for t in texts]
+    flat = documents(spark, list(enumerate(lines)))
+    assert of(licenses.scan_licenses(flat)) == by_sql(folder, licenses.LICENSE_SQL, flat)
+    assert [r.licenses for r in licenses.scan_licenses(flat).orderBy("doc_id").collect()] == (
+        ["BSD-3-Clause"] * 3 + ["MPL-2.0"] * 2)
+
+
 def mixture_rows():
     rows = []
     for i in range(400):
@@ -171,6 +194,22 @@ def test_mixture_equals_sql(spark, folder, ranges_shift):
     assert mixing.mix(frame.where("doc_id < 0")).count() == 0
 
 
+def test_weight_zero_leaves_a_source_out(spark):
+    rows = [(i, "a b c d", "en", s, 0) for i, s in enumerate(["x"] * 20 + ["y"] * 20 + ["z"] * 20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+
+    def weights(unwanted):
+        return lambda d, lang, s: (F.lit(1), F.lit(1), F.when(s == "y", unwanted).otherwise(1))
+
+    flat = {"domain": lambda s: F.lit("all"), "budget_share": 0.5}
+    got = mixing.mix(frame, weights=weights(0), **flat).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"x": 15, "z": 15}
+    none = mixing.mix(frame, weights=lambda d, lang, s: (F.lit(0),) * 3, **flat)
+    assert none.count() == 0
+    with pytest.raises(Exception, match="weights must not be negative"):
+        mixing.mix(frame, weights=weights(-1), **flat).count()
+
+
 def slow_shares(children, budget):
     """Fill siblings at equal rates, one token of weight at a time as fractions."""
     given = {}
@@ -213,6 +252,15 @@ def write_tables(spark, folder, rows, labels):
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
 
 
+def test_rows_that_share_an_id_only_both_stay(spark):
+    words = [f"w{i}" for i in range(400)]
+    one, other = " ".join(words[:200]), " ".join(words[200:])
+    rows = [(5, one, "en"), (5, other, "de"), (5, one, "en"), (6, one, "en"), (None, other, "fr"), (7, "c", "en")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.without_near_copies(spark, frame, "").collect()
+    assert sorted(map(tuple, got)) == sorted([(5, one, "en"), (5, other, "de"), (7, "c", "en")])
+
+
 def test_pipeline(spark, folder):
     import random
 

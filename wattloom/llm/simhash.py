@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, query, slices, stored, table, utf8
 
@@ -40,7 +41,10 @@ def simhash(text: bytes, words: int = 3) -> int:
 def fingerprints(
     documents: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3
 ) -> DataFrame:
-    """Key and signed 64-bit ``fp`` of every whole text; null texts count as empty."""
+    """Key and signed 64-bit ``fp`` of every whole text; null texts count as empty. A key is a whole
+    number, or a struct."""
+    kind = documents.schema[key].dataType
+    kind = kind.simpleString() if isinstance(kind, T.StructType) else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -48,8 +52,8 @@ def fingerprints(
             signed = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(signed)], ["key", "fp"])
 
-    source = documents.select(F.col(key).cast("bigint").alias("key"), utf8(text).alias("text"))
-    return source.mapInArrow(run, "key bigint, fp bigint").withColumnRenamed("key", key)
+    source = documents.select(F.col(key).cast(kind).alias("key"), utf8(text).alias("text"))
+    return source.mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
 
 
 class BKTree:
