@@ -30,19 +30,22 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group of near copies: the one with the smallest id, then text hash.
 
-    A row without an id gets one above all others, made from its text. Rows that repeat an id are
-    copies of each other, and one of them stays.
+    A row without an id gets one above all others, made from its text. Rows that repeat an id but not
+    their text are documents of their own; of rows that repeat both one stays.
     """
     made = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1) + F.lit(1 << 61)
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), made))
+    named = docs.withColumn("__id", F.struct(
+        F.coalesce(F.col("doc_id").cast("bigint"), made).alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+    ))
     groups = simhash.near_duplicates(named, key="__id", words=SHINGLE, radius=RADIUS)
     chosen = groups.where("component_id = __id").groupBy("__id").agg(
         F.count(F.lit(1)).alias("__rows")
     )
     kept = named.join(chosen, "__id")
-    # An id that a table repeats is rare; only then are its rows compared.
+    # A row that a table repeats is rare; only then are its rows compared.
     return (
         kept.where("__rows = 1")
         .unionByName(kept.where("__rows > 1").dropDuplicates(["__id"]))
