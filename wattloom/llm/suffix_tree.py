@@ -2,10 +2,14 @@
 
 The corpus is encoded once into chunks: the distinct words of a chunk as sorted 64-bit hashes, and its
 tokens as positions among them. Every later step works on whole arrays. The tree grows level by level.
-Counts meet by ranges of a hash: a chunk sends each range its distinct contexts and (context, next word)
-pairs once, and gets the corpus totals back in the same order; sums of gains meet the same way. A pair's
-hash covers both parts, so what follows or precedes one frequent word is spread over all ranges, and a
-key comes at most once from a chunk. No table of words or contexts is broadcast or held in one place.
+Counts meet by ranges of a hash: a chunk sends each range its distinct (context, next word) pairs once,
+and gets the corpus totals back in the same order; sums of gains meet the same way. A pair's hash
+covers both parts, so what follows or precedes one frequent word is spread over all ranges, and a key
+comes at most once from a chunk. No table of words or contexts is broadcast or held in one place.
+
+A context one word longer is a pair of the level before it, so its count is known where the token before
+was open then; others are asked for with the pairs. Tokens behind rare contexts close before anything is
+sent. Chunks and their states lie in the same buckets, so only questions and replies are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -29,22 +34,44 @@ TOKENS_PER_RANGE = 2 << 20
 
 
 def squeezed(array: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
+    """Compressed byte by byte: all first bytes, all second bytes and so on, of which high ones repeat."""
+    array = np.ascontiguousarray(array)
+    return zstandard.compress(array.view("u1").reshape(-1, array.itemsize).T.tobytes(), 1)
 
 
 def loosened(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
+    planes = np.frombuffer(zstandard.decompress(blob), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def squeezed_rising(array: np.ndarray) -> bytes:
-    """Rising 64-bit numbers: the steps between them, byte by byte, of which the high ones are zero."""
-    steps = np.diff(array.astype("<u8"), prepend=np.uint64(0))
-    return squeezed(steps.view("u1").reshape(-1, 8).T)
+    """Rising 64-bit numbers as the steps between them."""
+    return squeezed(np.diff(array.astype("<u8"), prepend=np.uint64(0)))
 
 
 def loosened_rising(blob: bytes) -> np.ndarray:
-    steps = loosened(blob, "u1").reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(loosened(blob, "<u8"), dtype=np.uint64)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of every key among them."""
+    of, known = pd.factorize(keys)
+    order = np.argsort(known)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return known[order], place[of]
+
+
+def squeezed_shares(p: np.ndarray) -> bytes:
+    """Numbers above 0, many of them equal: the distinct ones, whose bits rise as they do, and places."""
+    known, of = grouped(np.ascontiguousarray(p, "<f8").view("<u8"))
+    values = squeezed_rising(known)
+    return len(values).to_bytes(8, "little") + values + squeezed(of.astype("<u4"))
+
+
+def loosened_shares(blob: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(blob[:8], "little")
+    return loosened_rising(blob[8:end]).view("<f8")[loosened(blob[end:], "<u4")]
 
 
 def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> DataFrame:
@@ -150,13 +177,12 @@ def _range(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _stored_by_chunk(chunks: DataFrame) -> DataFrame:
-    """Like :func:`stored`, dealt into buckets by chunk, so that joins move the other side only."""
-    spark = chunks.sparkSession
+def _stored_by_chunk(rows: DataFrame, n: int) -> DataFrame:
+    """Like :func:`stored`, in ``n`` buckets by chunk, so that joins of such tables move nothing."""
+    spark = rows.sparkSession
     path = stored_folder(spark)
     name = f"stored_{path.rsplit('-', 1)[1]}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    written = chunks.repartition(n, "chunk").write.format("parquet").bucketBy(n, "chunk")
+    written = rows.write.format("parquet").bucketBy(n, "chunk")
     written.option("compression", "zstd").option("path", path).saveAsTable(name)
     frame = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, as the table is external
@@ -173,10 +199,19 @@ def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _contexts(chunk: Chunk, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``level`` words before each token, and of these words with the token."""
     words = chunk.words[chunk.tokens]
+    h = _behind(words, at, level)
+    return h, _mixed(~h, words[at])
+
+
+def _behind(words: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
     h = np.full(len(at), level, np.uint64)
     for back in range(1, level + 1):
         h = _mixed(h, words[at - back])
-    return h, _mixed(~h, words[at])
+    return h
+
+
+def _context_groups(chunk: Chunk, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    return grouped(_behind(chunk.words[chunk.tokens], at, level))
 
 
 def _inside(chunk: Chunk, at: np.ndarray, level: int) -> np.ndarray:
@@ -218,7 +253,7 @@ def _meet(kind: str, answer):
     def run(group: pa.Table) -> pa.Table:
         keys = [loosened_rising(b) for b in group["keys"].to_pylist()]
         values = [loosened(b, kind) for b in group["values"].to_pylist()]
-        known, of = np.unique(np.concatenate(keys), return_inverse=True)
+        of, known = pd.factorize(np.concatenate(keys))
         total = np.bincount(of, weights=np.concatenate(values), minlength=len(known))
         reply = answer(total)
         ends = np.cumsum([0, *map(len, keys)])
@@ -267,6 +302,7 @@ _STATE = pa.schema(
         ("chunk", pa.int64()),
         ("at", pa.binary()),
         ("p", pa.binary()),
+        ("own", pa.binary()),
         ("longer", pa.binary()),
         ("gain", pa.binary()),
         ("known", pa.binary()),
@@ -276,27 +312,35 @@ _STATE = pa.schema(
     ]
 )
 _STATE_SQL = (
-    "chunk bigint, at binary, p binary, longer binary, gain binary, known binary, base binary, "
-    "score binary, alive bigint"
+    "chunk bigint, at binary, p binary, own binary, longer binary, gain binary, known binary, "
+    "base binary, score binary, alive bigint"
 )
 
 
 class State:
-    """Where a chunk stands: its tokens still open, their probability so far, and the finished sums.
+    """Where a chunk stands: its tokens still open, their probability so far, the training count of the
+    context of the level to come (-1: not known), and the finished sums.
 
-    While a level is open, ``longer`` has the probabilities of its states and ``gain`` the chunk's
-    part of the gain of its contexts, by hash.
+    Before level 1 probability and count are functions of one word and kept by word. While a level is
+    open, ``longer`` has the probabilities of its states and ``gain`` the chunk's part of the gain of
+    its contexts, by hash.
     """
 
-    def __init__(self, batch: pa.RecordBatch, i: int):
-        value = lambda name, kind: loosened(batch.column(name)[i].as_py(), kind)
-        self.at = loosened_rising(batch.column("at")[i].as_py()).astype(np.int64)
-        self.p, self.longer, self.gain = value("p", "<f8"), value("longer", "<f8"), value("gain", "<f8")
-        self.known, self.base, self.score = value("known", "<i8"), value("base", "<f8"), value("score", "<f8")
-
-
-def _state(chunk: Chunk, at, p, longer, gain, known, base, score) -> pa.RecordBatch:
-    blobs = [squeezed_rising(at)] + [squeezed(v) for v in (p, longer, gain, known, base, score)]
+    def __init__(self, batch: pa.RecordBatch, i: int, words_of: Chunk | None = None):
+        blob = lambda name: batch.column(name)[i].as_py()
+        self.at = loosened_rising(blob("at")).astype(np.int64)
+        self.p, self.longer = loosened_shares(blob("p")), loosened_shares(blob("longer"))
+        self.own, self.gain = loosened(blob("own"), "<i8"), loosened(blob("gain"), "<f8")
+        self.known, self.base = loosened(blob("known"), "<i8"), loosened(blob("base"), "<f8")
+        self.score = loosened(blob("score"), "<f8")
+        if words_of is not None:
+            self.p = self.p[words_of.tokens[self.at]]
+            self.own = self.own[words_of.tokens[self.at - 1]]
+
+
+def _state(chunk: Chunk, at, p, own, longer, gain, known, base, score) -> pa.RecordBatch:
+    blobs = [squeezed_rising(at), squeezed_shares(p), squeezed(own.astype("<i8"))]
+    blobs += [squeezed_shares(longer), *map(squeezed, (gain, known, base, score))]
     row = [chunk.id, *blobs, len(at)]
     return pa.RecordBatch.from_arrays(
         [pa.array([v], t) for v, t in zip(row, _STATE.types)], schema=_STATE
@@ -309,22 +353,24 @@ def _finish(chunk: Chunk, score: np.ndarray, at: np.ndarray, p: np.ndarray) -> n
     return score + np.bincount(text, weights=np.log10(p), minlength=len(chunk.lengths))
 
 
-def _begin(tokens: int, different: int):
-    """Unigram probabilities; open are all tokens with a word before them."""
+def _begin(tokens: int, different: int, least: float):
+    """Unigram probabilities; open are all tokens with a word before them that is no rare one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
             chunk = Chunk(batch, i)
-            seen = _answered(batch, i, "<i8")[chunk.tokens]
-            p = (seen + 1) / (tokens + different + 1)
+            own = _answered(batch, i, "<i8")
+            by_word = (own + 1) / (tokens + different + 1)
+            p = by_word[chunk.tokens]
             add = lambda v: np.add.reduceat(v, chunk.starts)
             every = np.arange(len(p))
             use = _inside(chunk, every, 1) & (tokens > 0)
+            use &= own[chunk.tokens[every - 1]] >= least
             score = _finish(chunk, np.zeros(len(chunk.lengths)), every[~use], p[~use])
             none = np.zeros(0)
             yield _state(
-                chunk, every[use], p[use], none, none,
-                add((seen > 0).astype(np.int64)), add(np.log10(p)), score,
+                chunk, every[use], by_word, own, none, none,
+                add((own > 0).astype(np.int64)[chunk.tokens]), add(np.log10(p)), score,
             )
 
     return run
@@ -335,14 +381,24 @@ def smoothed(n: np.ndarray, of: np.ndarray, parent: np.ndarray, prior: float) ->
     return (n + prior * parent) / (of + prior)
 
 
+def _questions(chunk: Chunk, state: State, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts whose count is not known, then (context, next word) of all open tokens; and which
+    tokens the former are."""
+    context, item = _contexts(chunk, state.at, level)
+    unknown = np.flatnonzero(state.own < 0)
+    return *grouped(np.concatenate((context[unknown], item))), unknown
+
+
 def _ask_counts(level: int, n_ranges: int):
-    """Training counts of the open tokens' contexts, and of (context, next word)."""
+    """Training counts of the open tokens' (context, next word), and of contexts not known yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
-            chunk, state = Chunk(batch, i), State(batch, i)
-            keys, of = np.unique(np.concatenate(_contexts(chunk, state.at, level)), return_inverse=True)
-            n = np.bincount(of, weights=np.tile(chunk.train[state.at], 2), minlength=len(keys))
+            chunk = Chunk(batch, i)
+            state = State(batch, i, chunk if level == 1 else None)
+            keys, of, unknown = _questions(chunk, state, level)
+            train = chunk.train[state.at]
+            n = np.bincount(of[np.r_[train[unknown], train]], minlength=len(keys))
             yield _ask(chunk.id, keys, n.astype("<u4"), n_ranges)
 
     return run
@@ -351,25 +407,31 @@ def _ask_counts(level: int, n_ranges: int):
 def _count(level: int, least: float, prior: float):
     """Open stay the tokens behind contexts with ``least`` training tokens. A context's gain is the
     leave-one-out log likelihood of its own tokens against its suffix's distribution: the divergence
-    between the two, without credit for having seen the token itself."""
+    between the two, without credit for having seen the token itself.
+
+    The count of a token's next longer context is that of the token before it with its own context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
-            chunk, state = Chunk(batch, i), State(batch, i)
-            context, item = _contexts(chunk, state.at, level)
-            of = np.unique(np.concatenate((context, item)), return_inverse=True)[1]
+            chunk = Chunk(batch, i)
+            state = State(batch, i, chunk if level == 1 else None)
+            _, of, unknown = _questions(chunk, state, level)
             total = _answered(batch, i, "<i8")[of]
-            own, n = total[: len(context)], total[len(context) :]
+            own, n = state.own.copy(), total[len(unknown) :]
+            own[unknown] = total[: len(unknown)]
+            after = np.full(len(chunk.tokens), -1, np.int64)
+            after[state.at] = n
             use = own >= least
             score = _finish(chunk, state.score, state.at[~use], state.p[~use])
             at, p, own, n = state.at[use], state.p[use], own[use], n[use]
             seen = chunk.train[at]
             without = smoothed(n[seen] - 1, own[seen] - 1, p[seen], prior)
-            keys, of = np.unique(context[use], return_inverse=True)
+            keys, of = _context_groups(chunk, at, level)
             gain = np.bincount(of[seen], weights=np.log(without / p[seen]), minlength=len(keys))
             yield _state(
-                chunk, at, p, smoothed(n, own, p, prior), gain, state.known, state.base, score
-            )
+                chunk, at, p, after[at - 1], smoothed(n, own, p, prior), gain,
+                state.known, state.base, score,
+            )
 
     return run
 
@@ -378,25 +440,30 @@ def _ask_gains(level: int, n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
             chunk, state = Chunk(batch, i), State(batch, i)
-            keys = np.unique(_contexts(chunk, state.at, level)[0])
+            keys = _context_groups(chunk, state.at, level)[0]
             yield _ask(chunk.id, keys, state.gain, n_ranges)
 
     return run
 
 
-def _retain(level: int, last: bool):
-    """Tokens behind retained contexts take the longer context's probability and stay open."""
+def _retain(level: int, last: bool, least: float):
+    """Tokens behind retained contexts take the longer context's probability. They stay open unless
+    the context of the next level is known to have less than ``least`` training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0)
         for batch, i in _rows(batches):
             chunk, state = Chunk(batch, i), State(batch, i)
-            of = np.unique(_contexts(chunk, state.at, level)[0], return_inverse=True)[1]
+            of = _context_groups(chunk, state.at, level)[1]
             kept = _answered(batch, i, "<u1")[of] > 0
             p = np.where(kept, state.longer, state.p)
             use = kept & _inside(chunk, state.at, level + 1) & (not last)
+            use &= (state.own < 0) | (state.own >= least)
             score = _finish(chunk, state.score, state.at[~use], p[~use])
-            yield _state(chunk, state.at[use], p[use], none, none, state.known, state.base, score)
+            yield _state(
+                chunk, state.at[use], p[use], state.own[use], none, none,
+                state.known, state.base, score,
+            )
 
     return run
 
@@ -426,21 +493,26 @@ def _grown(
     chunks: DataFrame, share: float | None, prior: float, least_gain: float, least: float
 ) -> tuple[DataFrame, DataFrame, int]:
     """The stored chunks, their state after the last level, and the number of training tokens."""
+    spark = chunks.sparkSession
     longest = None if share is None else 2
-    chunks = _stored_by_chunk(chunks)
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _stored_by_chunk(chunks.repartition(n_buckets, "chunk"), n_buckets)
     n, tokens = chunks.agg(F.sum("n"), F.sum("n_train")).first()
     n, tokens = int(n or 0), int(tokens or 0)
     n_ranges = max(1, n // TOKENS_PER_RANGE)
 
+    def least_at(level: int) -> float:
+        return least if share is None else max(1.0 if level == 1 else 2.0, share * tokens)
+
     def met(asks: DataFrame, kind: str, answer) -> DataFrame:
         return asks.groupBy("range").applyInArrow(_meet(kind, answer), _REPLY_SQL)
 
     whole = lambda total: total.astype("<i8")
     replies = stored(met(chunks.mapInArrow(_ask_words(n_ranges), _ASK_SQL), "<u4", whole))
     different = int(replies.agg(F.sum("different")).first()[0] or 0)
-    state = stored(
-        chunks.join(_by_chunk(replies), "chunk").mapInArrow(_begin(tokens, different), _STATE_SQL)
-    )
+    begun = chunks.join(_by_chunk(replies).hint("merge"), "chunk")
+    begun = begun.mapInArrow(_begin(tokens, different, least_at(1)), _STATE_SQL)
+    state = _stored_by_chunk(begun, n_buckets)
     discard(replies)
     level = 1
     while longest is None or level <= longest:
@@ -448,23 +520,20 @@ def _grown(
         if not alive:
             break
         n_ranges = max(1, 2 * alive // TOKENS_PER_RANGE)
-        if share is not None:
-            least = max(1.0 if level == 1 else 2.0, share * tokens)
         for ask, kind, answer, update in (
-            (_ask_counts(level, n_ranges), "<u4", whole, _count(level, least, prior)),
+            (_ask_counts(level, n_ranges), "<u4", whole, _count(level, least_at(level), prior)),
             (
                 _ask_gains(level, n_ranges),
                 "<f8",
                 lambda total: (total >= least_gain).astype("<u1"),
-                _retain(level, level == longest),
+                _retain(level, level == longest, least_at(level + 1)),
             ),
         ):
-            both = chunks.join(state, "chunk")
-            replies = stored(met(both.where("alive > 0").mapInArrow(ask, _ASK_SQL), kind, answer))
-            answers = both.join(_by_chunk(replies), "chunk", "left")
-            after = stored(answers.mapInArrow(update, _STATE_SQL))
+            both = chunks.join(state.hint("merge"), "chunk")
+            replies = met(both.where("alive > 0").mapInArrow(ask, _ASK_SQL), kind, answer)
+            answers = both.join(_by_chunk(replies).hint("merge"), "chunk", "left")
+            after = _stored_by_chunk(answers.mapInArrow(update, _STATE_SQL), n_buckets)
             discard(state)
-            discard(replies)
             state = after
         level += 1
     return chunks, state, tokens
