@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -53,25 +53,36 @@ def loosened_rising(blob: bytes) -> np.ndarray:
     return np.cumsum(loosened(blob, "<u8"), dtype=np.uint64)
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and the place of every key among them."""
-    of, known = pd.factorize(keys)
-    order = np.argsort(known)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return known[order], place[of]
-
-
 def squeezed_shares(p: np.ndarray) -> bytes:
-    """Numbers above 0, many of them equal: the distinct ones, whose bits rise as they do, and places."""
-    known, of = grouped(np.ascontiguousarray(p, "<f8").view("<u8"))
-    values = squeezed_rising(known)
-    return len(values).to_bytes(8, "little") + values + squeezed(of.astype("<u4"))
+    """Numbers above 0 to 11 digits: the 48 high bits of each."""
+    planes = np.ascontiguousarray(p, "<f8").view("u1").reshape(-1, 8).T[2:]
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def loosened_shares(blob: bytes) -> np.ndarray:
-    end = 8 + int.from_bytes(blob[:8], "little")
-    return loosened_rising(blob[8:end]).view("<f8")[loosened(blob[end:], "<u4")]
+    planes = np.frombuffer(zstandard.decompress(blob), "u1").reshape(6, -1)
+    p = np.zeros((planes.shape[1], 8), "u1")
+    p[:, 2:] = planes.T
+    return p.view("<f8").ravel()
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of every key among them."""
+    return np.unique(keys, return_inverse=True)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of the texts, A-Z lower-cased, one after the other, and how many each text has."""
+    _, offsets, data = texts.buffers()
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    texts = pa.Array.from_buffers(
+        kind, len(texts), [None, offsets, data], offset=texts.offset
+    )  # the ASCII functions used below do not look at other bytes
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    words, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)
+    n = np.bincount(of[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return words.filter(some), n
 
 
 def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> DataFrame:
@@ -118,15 +129,26 @@ def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> Data
 
         reset()
         for batch in slices(batches, "text"):
-            columns = (batch.column(c).to_pylist() for c in ("key", "held", "text"))
-            for k, h, t in zip(*columns):
-                words = t.lower().split()
-                part = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
-                parts.append(np.append(part, np.uint32(end)))
+            words, n = _words(batch.column("text"))
+            words = words.dictionary_encode()
+            spelt = words.dictionary.cast(pa.binary()).to_pylist()
+            words, ends = words.indices.to_numpy(), np.cumsum(n)
+            first = 0
+            for i, k in enumerate(batch.column("key").to_pylist()):
                 keys.append(k)
-                held.append(h)
-                lengths.append(len(words) + 1)
-                size += len(words) + 1
+                lengths.append(int(n[i]) + 1)
+                size += int(n[i]) + 1
+                if size <= CHUNK_TOKENS and i + 1 < len(n):
+                    continue
+                held += batch.column("held")[first : i + 1].to_pylist()
+                begun = ends[first] - n[first]
+                part = words[begun : ends[i]]
+                place = np.zeros(len(spelt), np.uint32)
+                place[part] = 1
+                used = np.flatnonzero(place)
+                place[used] = [numbers[spelt[w]] for w in used.tolist()]
+                parts.append(np.insert(place[part], ends[first : i + 1] - begun, np.uint32(end)))
+                first = i + 1
                 if size > CHUNK_TOKENS:
                     yield emit()
         if keys:
@@ -182,8 +204,12 @@ def _stored_by_chunk(rows: DataFrame, n: int) -> DataFrame:
     spark = rows.sparkSession
     path = stored_folder(spark)
     name = f"stored_{path.rsplit('-', 1)[1]}"
-    written = rows.write.format("parquet").bucketBy(n, "chunk")
-    written.option("compression", "zstd").option("path", path).saveAsTable(name)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd') "
+        f"CLUSTERED BY (chunk) INTO {n} BUCKETS LOCATION '{path}'"
+    )
+    rows.write.insertInto(name)  # an insert's shuffle files can be removed when it ends
     frame = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, as the table is external
     return frame
@@ -253,7 +279,7 @@ def _meet(kind: str, answer):
     def run(group: pa.Table) -> pa.Table:
         keys = [loosened_rising(b) for b in group["keys"].to_pylist()]
         values = [loosened(b, kind) for b in group["values"].to_pylist()]
-        of, known = pd.factorize(np.concatenate(keys))
+        known, of = grouped(np.concatenate(keys))
         total = np.bincount(of, weights=np.concatenate(values), minlength=len(known))
         reply = answer(total)
         ends = np.cumsum([0, *map(len, keys)])
@@ -303,7 +329,8 @@ _STATE = pa.schema(
         ("at", pa.binary()),
         ("p", pa.binary()),
         ("own", pa.binary()),
-        ("longer", pa.binary()),
+        ("seen", pa.binary()),
+        ("rare", pa.binary()),
         ("gain", pa.binary()),
         ("known", pa.binary()),
         ("base", pa.binary()),
@@ -312,35 +339,38 @@ _STATE = pa.schema(
     ]
 )
 _STATE_SQL = (
-    "chunk bigint, at binary, p binary, own binary, longer binary, gain binary, known binary, "
-    "base binary, score binary, alive bigint"
+    "chunk bigint, at binary, p binary, own binary, seen binary, rare binary, gain binary, "
+    "known binary, base binary, score binary, alive bigint"
 )
 
 
 class State:
     """Where a chunk stands: its tokens still open, their probability so far, the training count of the
-    context of the level to come (-1: not known), and the finished sums.
+    level's context before each (``own``, -1: not known), and the texts' finished sums. In level 1
+    probability and count are functions of one word and kept by word.
 
-    Before level 1 probability and count are functions of one word and kept by word. While a level is
-    open, ``longer`` has the probabilities of its states and ``gain`` the chunk's part of the gain of
-    its contexts, by hash.
+    ``rare`` marks tokens behind a context with too few training tokens. While a level is open,
+    ``seen`` has the training counts of the tokens behind their contexts and ``gain`` the chunk's part
+    of the gain of its contexts, by hash.
     """
 
-    def __init__(self, batch: pa.RecordBatch, i: int, words_of: Chunk | None = None):
+    def __init__(self, batch: pa.RecordBatch, i: int, chunk: Chunk, level: int):
         blob = lambda name: batch.column(name)[i].as_py()
         self.at = loosened_rising(blob("at")).astype(np.int64)
-        self.p, self.longer = loosened_shares(blob("p")), loosened_shares(blob("longer"))
-        self.own, self.gain = loosened(blob("own"), "<i8"), loosened(blob("gain"), "<f8")
+        self.kept_p, self.kept_own = loosened_shares(blob("p")), loosened(blob("own"), "<i8")
+        self.p, self.own = self.kept_p, self.kept_own
+        if level == 1:
+            self.p, self.own = self.p[chunk.tokens[self.at]], self.own[chunk.tokens[self.at - 1]]
+        self.seen, self.gain = loosened(blob("seen"), "<i8"), loosened(blob("gain"), "<f8")
+        bits = loosened(blob("rare"), "u1")
+        self.rare = np.unpackbits(bits, count=len(chunk.tokens)).astype(bool)
         self.known, self.base = loosened(blob("known"), "<i8"), loosened(blob("base"), "<f8")
         self.score = loosened(blob("score"), "<f8")
-        if words_of is not None:
-            self.p = self.p[words_of.tokens[self.at]]
-            self.own = self.own[words_of.tokens[self.at - 1]]
 
 
-def _state(chunk: Chunk, at, p, own, longer, gain, known, base, score) -> pa.RecordBatch:
+def _state(chunk: Chunk, at, p, own, seen, rare, gain, known, base, score) -> pa.RecordBatch:
     blobs = [squeezed_rising(at), squeezed_shares(p), squeezed(own.astype("<i8"))]
-    blobs += [squeezed_shares(longer), *map(squeezed, (gain, known, base, score))]
+    blobs += map(squeezed, (seen.astype("<i8"), np.packbits(rare), gain, known, base, score))
     row = [chunk.id, *blobs, len(at)]
     return pa.RecordBatch.from_arrays(
         [pa.array([v], t) for v, t in zip(row, _STATE.types)], schema=_STATE
@@ -364,12 +394,12 @@ def _begin(tokens: int, different: int, least: float):
             p = by_word[chunk.tokens]
             add = lambda v: np.add.reduceat(v, chunk.starts)
             every = np.arange(len(p))
-            use = _inside(chunk, every, 1) & (tokens > 0)
-            use &= own[chunk.tokens[every - 1]] >= least
+            inside = _inside(chunk, every, 1) & (tokens > 0)
+            use = inside & (own[chunk.tokens[every - 1]] >= least)
             score = _finish(chunk, np.zeros(len(chunk.lengths)), every[~use], p[~use])
             none = np.zeros(0)
             yield _state(
-                chunk, every[use], by_word, own, none, none,
+                chunk, every[use], by_word, own, none, inside & ~use, none,
                 add((own > 0).astype(np.int64)[chunk.tokens]), add(np.log10(p)), score,
             )
 
@@ -395,7 +425,7 @@ def _ask_counts(level: int, n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
             chunk = Chunk(batch, i)
-            state = State(batch, i, chunk if level == 1 else None)
+            state = State(batch, i, chunk, level)
             keys, of, unknown = _questions(chunk, state, level)
             train = chunk.train[state.at]
             n = np.bincount(of[np.r_[train[unknown], train]], minlength=len(keys))
@@ -414,24 +444,22 @@ def _count(level: int, least: float, prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
             chunk = Chunk(batch, i)
-            state = State(batch, i, chunk if level == 1 else None)
+            state = State(batch, i, chunk, level)
             _, of, unknown = _questions(chunk, state, level)
             total = _answered(batch, i, "<i8")[of]
             own, n = state.own.copy(), total[len(unknown) :]
             own[unknown] = total[: len(unknown)]
-            after = np.full(len(chunk.tokens), -1, np.int64)
-            after[state.at] = n
             use = own >= least
+            rare = state.rare
+            rare[state.at[~use]] = True
             score = _finish(chunk, state.score, state.at[~use], state.p[~use])
             at, p, own, n = state.at[use], state.p[use], own[use], n[use]
             seen = chunk.train[at]
             without = smoothed(n[seen] - 1, own[seen] - 1, p[seen], prior)
             keys, of = _context_groups(chunk, at, level)
             gain = np.bincount(of[seen], weights=np.log(without / p[seen]), minlength=len(keys))
-            yield _state(
-                chunk, at, p, after[at - 1], smoothed(n, own, p, prior), gain,
-                state.known, state.base, score,
-            )
+            kept = (state.kept_p, state.kept_own) if level == 1 else (p, own)
+            yield _state(chunk, at, *kept, n, rare, gain, state.known, state.base, score)
 
     return run
 
@@ -439,29 +467,38 @@ def _count(level: int, least: float, prior: float):
 def _ask_gains(level: int, n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
-            chunk, state = Chunk(batch, i), State(batch, i)
+            chunk = Chunk(batch, i)
+            state = State(batch, i, chunk, level)
             keys = _context_groups(chunk, state.at, level)[0]
             yield _ask(chunk.id, keys, state.gain, n_ranges)
 
     return run
 
 
-def _retain(level: int, last: bool, least: float):
-    """Tokens behind retained contexts take the longer context's probability. They stay open unless
-    the context of the next level is known to have less than ``least`` training tokens."""
+def _retain(level: int, last: bool, least: float, prior: float):
+    """Tokens behind retained contexts take the longer context's probability and stay open, but for
+    those whose next longer context is known to have less than ``least`` training tokens.
+
+    That context's count is the count of the token before behind its own context of this level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0)
         for batch, i in _rows(batches):
-            chunk, state = Chunk(batch, i), State(batch, i)
+            chunk = Chunk(batch, i)
+            state = State(batch, i, chunk, level)
             of = _context_groups(chunk, state.at, level)[1]
             kept = _answered(batch, i, "<u1")[of] > 0
-            p = np.where(kept, state.longer, state.p)
-            use = kept & _inside(chunk, state.at, level + 1) & (not last)
-            use &= (state.own < 0) | (state.own >= least)
+            p = np.where(kept, smoothed(state.seen, state.own, state.p, prior), state.p)
+            after = np.where(state.rare, 0, -1)
+            after[state.at] = state.seen
+            own = after[state.at - 1]
+            inside = kept & _inside(chunk, state.at, level + 1) & (not last)
+            use = inside & ((own < 0) | (own >= least))
+            rare = state.rare
+            rare[state.at[inside & ~use]] = True
             score = _finish(chunk, state.score, state.at[~use], p[~use])
             yield _state(
-                chunk, state.at[use], p[use], state.own[use], none, none,
+                chunk, state.at[use], p[use], own[use], none, rare, none,
                 state.known, state.base, score,
             )
 
@@ -526,7 +563,7 @@ def _grown(
                 _ask_gains(level, n_ranges),
                 "<f8",
                 lambda total: (total >= least_gain).astype("<u1"),
-                _retain(level, level == longest, least_at(level + 1)),
+                _retain(level, level == longest, least_at(level + 1), prior),
             ),
         ):
             both = chunks.join(state.hint("merge"), "chunk")
