@@ -174,3 +174,37 @@ def test_tree_grows_beyond_pairs_by_absolute_counts(spark, monkeypatch, tokens):
     assert sorted(digest(r.doc_id, r.score) for r in got) == sorted(
         digest(i, v) for (i, _), v in zip(rows, want)
     )
+
+
+def test_late_levels_do_not_hold_the_corpus(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"u{rng.randrange(300)}" for _ in range(300))) for i in range(40)]
+    rows += [(100 + i, f"v{rng.randrange(300)} the very same line again and again until it ends") for i in range(14)]
+    tables = []
+
+    def recorded(frame, n, store=suffix_tree._stored_by_chunk):
+        tables.append(store(frame, n))
+        read = [r.tokens for r in tables[-1].select("tokens").collect()] if "tokens" in frame.columns else None
+        sizes.append(read and sum(len(suffix_tree.loosened(t, "<u4")) for t in read))
+        return tables[-1]
+
+    sizes = []
+    monkeypatch.setattr(suffix_tree, "_stored_by_chunk", recorded)
+    want, kept = slow_tree(rows, [False] * len(rows), 10, 20.0, 0.05)
+    assert max(map(len, kept)) >= 8
+    got = suffix_tree.suffix_tree_scores(documents(spark, rows), F.lit(False), prior=20.0, least_gain=0.05)
+    assert {r.doc_id: round(r.score, 6) for r in got.collect()} == {
+        i: round(v, 6) for (i, _), v in zip(rows, want)
+    }
+    chunks, *narrowed = [s for s in sizes if s is not None]
+    assert chunks == 40 * 301 + 14 * 12
+    assert len(narrowed) >= 2 and all(0 < s < chunks / 5 for s in narrowed)
+
+
+def test_grouped_keys_that_share_their_high_bits():
+    rng = np.random.default_rng(2)
+    high = rng.integers(0, 1 << 20, 50).astype(np.uint64) << np.uint64(44)
+    for keys in (rng.choice(high, 4000) + rng.integers(0, 9, 4000).astype(np.uint64), high[:0], high[[3, 3]]):
+        known, of = suffix_tree.grouped(keys)
+        want, place = np.unique(keys, return_inverse=True)
+        assert known.tolist() == want.tolist() and of.tolist() == place.tolist()

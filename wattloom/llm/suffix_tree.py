@@ -10,12 +10,15 @@ comes at most once from a chunk. No table of words or contexts is broadcast or h
 A context one word longer is a pair of the level before it, so its count is known where the token before
 was open then; others are asked for with the pairs. Tokens behind rare contexts close before anything is
 sent. Chunks and their states lie in the same buckets, so only questions and replies are shuffled.
+When few tokens are left open, chunks are narrowed to these and some words before each, so that the many
+late levels do not read the corpus again; when a context outgrows these words, wider ones are cut anew.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -31,6 +34,7 @@ from .common import discard, query, shuffles_removed, slices, stored, stored_fol
 
 CHUNK_TOKENS = 1 << 19
 TOKENS_PER_RANGE = 2 << 20
+NARROW_AT = 5
 
 
 def squeezed(array: np.ndarray) -> bytes:
@@ -67,8 +71,28 @@ def loosened_shares(blob: bytes) -> np.ndarray:
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and the place of every key among them."""
-    return np.unique(keys, return_inverse=True)
+    """The distinct keys, sorted, and the place of every key among them.
+
+    Numbers made of a key's high bits and its position sort several times faster than positions by key.
+    Where keys that differ have the same high bits and come out of order, positions are sorted after all.
+    """
+    if len(keys) == 0:
+        return keys, np.zeros(0, np.int64)
+    least = keys.min()
+    room = min(63, 64 - int(keys.max() - least).bit_length())
+    bits = np.uint64(len(keys).bit_length())
+    order = (keys - least) << np.uint64(room) >> bits << bits
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << bits) - np.uint64(1)
+    order = order.view(np.int64)
+    rising = keys[order]
+    if (rising[1:] < rising[:-1]).any():
+        return np.unique(keys, return_inverse=True)
+    first = np.r_[True, rising[1:] != rising[:-1]]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(first) - 1
+    return rising[first], of
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -181,17 +205,31 @@ _ENCODED = pa.schema(
 
 
 class Chunk:
-    """The arrays of one encoded row."""
+    """The arrays of one encoded row. A narrowed one has only some of the tokens, at ``place``."""
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         value = lambda name: batch.column(name)[i].as_py()
         self.id = value("chunk")
         self.words = loosened(value("words"), "<u8")
         self.tokens = loosened(value("tokens"), "<u4").astype(np.int64)
-        self.lengths = np.array(value("lengths"), np.int64)
-        self.held = np.array(value("held"), bool)
+        self.lengths = batch.column("lengths")[i].values.to_numpy().astype(np.int64)
+        self.held = batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.train = np.repeat(~self.held, self.lengths)
+        if "place" in batch.schema.names:
+            self.place = loosened_rising(value("place")).astype(np.int64)
+            self.text = np.searchsorted(self.starts, self.place, "right") - 1
+        else:
+            self.place = np.arange(len(self.tokens))
+            self.text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    @cached_property
+    def train(self) -> np.ndarray:
+        return ~self.held[self.text]
+
+    @cached_property
+    def spelt(self) -> np.ndarray:
+        """The hash of every token's word."""
+        return self.words[self.tokens]
 
 
 def _range(keys: np.ndarray, n: int) -> np.ndarray:
@@ -224,9 +262,8 @@ def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _contexts(chunk: Chunk, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``level`` words before each token, and of these words with the token."""
-    words = chunk.words[chunk.tokens]
-    h = _behind(words, at, level)
-    return h, _mixed(~h, words[at])
+    h = _behind(chunk.spelt, at, level)
+    return h, _mixed(~h, chunk.spelt[at])
 
 
 def _behind(words: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
@@ -237,12 +274,18 @@ def _behind(words: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
 
 
 def _context_groups(chunk: Chunk, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    return grouped(_behind(chunk.words[chunk.tokens], at, level))
+    if level > 1:
+        return grouped(_behind(chunk.spelt, at, level))
+    word = chunk.tokens[at - 1]
+    number = np.bincount(word, minlength=len(chunk.words))
+    used = np.flatnonzero(number)
+    keys, number[used] = grouped(_mixed(np.full(len(used), 1, np.uint64), chunk.words[used]))
+    return keys, number[word]
 
 
 def _inside(chunk: Chunk, at: np.ndarray, level: int) -> np.ndarray:
     """Tokens with ``level`` words before them in their text."""
-    return at - np.repeat(chunk.starts, chunk.lengths)[at] >= level
+    return (chunk.place - chunk.starts[chunk.text])[at] >= level
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
@@ -354,7 +397,7 @@ class State:
     of the gain of its contexts, by hash.
     """
 
-    def __init__(self, batch: pa.RecordBatch, i: int, chunk: Chunk, level: int):
+    def __init__(self, batch: pa.RecordBatch, i: int, chunk: Chunk, level: int, size: int | None = None):
         blob = lambda name: batch.column(name)[i].as_py()
         self.at = loosened_rising(blob("at")).astype(np.int64)
         self.kept_p, self.kept_own = loosened_shares(blob("p")), loosened(blob("own"), "<i8")
@@ -363,7 +406,7 @@ class State:
             self.p, self.own = self.p[chunk.tokens[self.at]], self.own[chunk.tokens[self.at - 1]]
         self.seen, self.gain = loosened(blob("seen"), "<i8"), loosened(blob("gain"), "<f8")
         bits = loosened(blob("rare"), "u1")
-        self.rare = np.unpackbits(bits, count=len(chunk.tokens)).astype(bool)
+        self.rare = np.unpackbits(bits, count=len(chunk.tokens) if size is None else size).astype(bool)
         self.known, self.base = loosened(blob("known"), "<i8"), loosened(blob("base"), "<f8")
         self.score = loosened(blob("score"), "<f8")
 
@@ -377,10 +420,14 @@ def _state(chunk: Chunk, at, p, own, seen, rare, gain, known, base, score) -> pa
     )
 
 
+def _unchanged(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+    """The state of a chunk without open tokens."""
+    return batch.slice(i, 1).select(_STATE.names)
+
+
 def _finish(chunk: Chunk, score: np.ndarray, at: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The texts' sums with tokens whose probability is final."""
-    text = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)[at]
-    return score + np.bincount(text, weights=np.log10(p), minlength=len(chunk.lengths))
+    return score + np.bincount(chunk.text[at], weights=np.log10(p), minlength=len(chunk.lengths))
 
 
 def _begin(tokens: int, different: int, least: float):
@@ -443,6 +490,9 @@ def _count(level: int, least: float, prior: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
+            if batch.column("alive")[i].as_py() == 0:
+                yield _unchanged(batch, i)
+                continue
             chunk = Chunk(batch, i)
             state = State(batch, i, chunk, level)
             _, of, unknown = _questions(chunk, state, level)
@@ -484,6 +534,9 @@ def _retain(level: int, last: bool, least: float, prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0)
         for batch, i in _rows(batches):
+            if batch.column("alive")[i].as_py() == 0:
+                yield _unchanged(batch, i)
+                continue
             chunk = Chunk(batch, i)
             state = State(batch, i, chunk, level)
             of = _context_groups(chunk, state.at, level)[1]
@@ -505,6 +558,51 @@ def _retain(level: int, last: bool, least: float, prior: float):
     return run
 
 
+_NARROWED = pa.schema(
+    [
+        *(_ENCODED.field(name) for name in ("chunk", "held", "lengths", "words", "tokens")),
+        ("place", pa.binary()),
+        *list(_STATE)[1:],
+    ]
+)
+_NARROWED_SQL = (
+    "chunk bigint, held array<boolean>, lengths array<int>, words binary, tokens binary, place binary, "
+    + _STATE_SQL.removeprefix("chunk bigint, ")
+)
+
+
+def _narrowed(level: int, reach: int):
+    """Of a whole chunk only the open tokens and ``reach`` words before each, with the state to match.
+
+    ``was`` is the place of the tokens that the state has been about so far, null: all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _rows(batches):
+            chunk = Chunk(batch, i)
+            was = batch.column("was")[i].as_py()
+            was = chunk.place if was is None else loosened_rising(was).astype(np.int64)
+            state = State(batch, i, chunk, level, len(was))
+            at, size = was[state.at], len(chunk.tokens)
+            begin = np.maximum(at - reach, chunk.starts[chunk.text[at]])
+            open_at = np.bincount(begin, minlength=size + 1) - np.bincount(at + 1, minlength=size + 1)
+            inside = np.cumsum(open_at)[:size] > 0
+            place, rare = np.flatnonzero(inside), np.zeros(size, bool)
+            rare[was[state.rare]] = True
+            used = np.zeros(len(chunk.words), bool)
+            used[chunk.tokens[place]] = True
+            tokens = (np.cumsum(used) - 1)[chunk.tokens[place]]
+            after = _state(
+                chunk, (np.cumsum(inside) - 1)[at], state.p, state.own, state.seen, rare[place],
+                state.gain, state.known, state.base, state.score,
+            )
+            blobs = squeezed(chunk.words[used]), squeezed(tokens.astype("<u4")), squeezed_rising(place)
+            columns = [batch.column(name).slice(i, 1) for name in ("chunk", "held", "lengths")]
+            columns += [pa.array([b], pa.binary()) for b in blobs]
+            yield pa.RecordBatch.from_arrays([*columns, *after.columns[1:]], names=_NARROWED.names)
+
+    return run
+
+
 def _emit(tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _rows(batches):
@@ -534,6 +632,7 @@ def _grown(
     longest = None if share is None else 2
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = _stored_by_chunk(chunks.repartition(n_buckets, "chunk"), n_buckets)
+    work = chunks.drop("keys", "n", "n_train")
     n, tokens = chunks.agg(F.sum("n"), F.sum("n_train")).first()
     n, tokens = int(n or 0), int(tokens or 0)
     n_ranges = max(1, n // TOKENS_PER_RANGE)
@@ -547,15 +646,28 @@ def _grown(
     whole = lambda total: total.astype("<i8")
     replies = stored(met(chunks.mapInArrow(_ask_words(n_ranges), _ASK_SQL), "<u4", whole))
     different = int(replies.agg(F.sum("different")).first()[0] or 0)
-    begun = chunks.join(_by_chunk(replies).hint("merge"), "chunk")
+    begun = work.join(_by_chunk(replies).hint("merge"), "chunk")
     begun = begun.mapInArrow(_begin(tokens, different, least_at(1)), _STATE_SQL)
     state = _stored_by_chunk(begun, n_buckets)
     discard(replies)
-    level = 1
+    level, open_before, reach = 1, n, None
     while longest is None or level <= longest:
         alive = int(state.agg(F.sum("alive")).first()[0] or 0)
         if not alive:
             break
+        if level > 1 and (NARROW_AT * alive < open_before or reach is not None and level > reach):
+            open_before, reach = alive, 2 * level
+            was = F.col("place") if "place" in work.columns else F.lit(None).cast("binary")
+            both = chunks.join(state, "chunk").join(work.select("chunk", was.alias("was")), "chunk")
+            both = stored(both.mapInArrow(_narrowed(level, reach), _NARROWED_SQL))
+            discard(state)
+            if "place" in work.columns:
+                discard(work)
+            state, work = (
+                _stored_by_chunk(both.select(*names).repartition(n_buckets, "chunk"), n_buckets)
+                for names in (_STATE.names, ("chunk", "held", "lengths", "words", "tokens", "place"))
+            )
+            discard(both)
         n_ranges = max(1, 2 * alive // TOKENS_PER_RANGE)
         for ask, kind, answer, update in (
             (_ask_counts(level, n_ranges), "<u4", whole, _count(level, least_at(level), prior)),
@@ -566,7 +678,7 @@ def _grown(
                 _retain(level, level == longest, least_at(level + 1), prior),
             ),
         ):
-            both = chunks.join(state.hint("merge"), "chunk")
+            both = work.join(state.hint("merge"), "chunk")
             replies = met(both.where("alive > 0").mapInArrow(ask, _ASK_SQL), kind, answer)
             answers = both.join(_by_chunk(replies).hint("merge"), "chunk", "left")
             after = _stored_by_chunk(answers.mapInArrow(update, _STATE_SQL), n_buckets)
