@@ -208,3 +208,35 @@ def test_grouped_keys_that_share_their_high_bits():
         known, of = suffix_tree.grouped(keys)
         want, place = np.unique(keys, return_inverse=True)
         assert known.tolist() == want.tolist() and of.tolist() == place.tolist()
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40, 0])
+def test_subtrees_grow_several_words_at_once(spark, monkeypatch, most):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"u{rng.randrange(300)}" for _ in range(300))) for i in range(40)]
+    line = "the very same line again and again until it ends or goes on for so long that many levels are open"
+    rows += [(100 + i, f"v{rng.randrange(300)} {line}") for i in range(14)]
+    rows += [(200 + i, f"{rng.choice(['p q', 'r q', 's'])} very same line again {rng.choice('xyz')}") for i in range(60)]
+    rows += [(300 + i, None) for i in range(3)]
+    held = [i % 9 == 2 for i, _ in rows]
+    states = []
+
+    def recorded(frame, n, store=suffix_tree._stored_by_chunk):
+        states.append("alive" in frame.columns)
+        return store(frame, n)
+
+    monkeypatch.setattr(suffix_tree, "_stored_by_chunk", recorded)
+    monkeypatch.setattr(suffix_tree, "CONTEXT_WORDS", most)
+    monkeypatch.setattr(suffix_tree, "SUBTREE_WORDS", 500)
+    monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 2000)
+    want, kept = slow_tree(rows, held, 10, 20.0, 0.05)
+    deepest = max(map(len, kept))
+    assert deepest >= 9
+    got = suffix_tree.suffix_tree_scores(
+        documents(spark, rows), F.col("doc_id") % 9 == 2, prior=20.0, least_gain=0.05
+    )
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got.collect()) == sorted(
+        (i, round(v, 6)) for (i, _), v in zip(rows, want)
+    )
+    if most == 1 << 20:
+        assert sum(states) < 1.5 * deepest  # a level at a time takes two for each

@@ -10,13 +10,15 @@ comes at most once from a chunk. No table of words or contexts is broadcast or h
 A context one word longer is a pair of the level before it, so its count is known where the token before
 was open then; others are asked for with the pairs. Tokens behind rare contexts close before anything is
 sent. Chunks and their states lie in the same buckets, so only questions and replies are shuffled.
-When few tokens are left open, chunks are narrowed to these and some words before each, so that the many
-late levels do not read the corpus again; when a context outgrows these words, wider ones are cut anew.
+When few tokens are left open, chunks are narrowed to these and some words before each, so that late
+levels do not read the corpus again. All that grows from one context needs only the tokens behind it, so
+these then meet by ranges of the context's hash, each with the words before it, and a range grows its
+contexts by several words at once. Contexts with too many tokens for that go on level by level. Tokens
+still open behind the last word sent wait until all are there; then wider chunks are cut anew.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import count
@@ -35,17 +37,32 @@ from .common import discard, query, shuffles_removed, slices, stored, stored_fol
 CHUNK_TOKENS = 1 << 19
 TOKENS_PER_RANGE = 2 << 20
 NARROW_AT = 5
+#: Words sent to one range of subtrees, and the most that one context may send there.
+SUBTREE_WORDS = 1 << 22
+CONTEXT_WORDS = 1 << 20
+MOST_WORDS_AHEAD = 64
 
 
 def squeezed(array: np.ndarray) -> bytes:
     """Compressed byte by byte: all first bytes, all second bytes and so on, of which high ones repeat."""
     array = np.ascontiguousarray(array)
-    return zstandard.compress(array.view("u1").reshape(-1, array.itemsize).T.tobytes(), 1)
+    size, numbers = array.itemsize, array.view("u1").reshape(-1, array.itemsize)
+    used = size
+    if array.dtype.kind in "iu" and len(array) and array.min() >= 0:
+        used = (int(array.max()).bit_length() + 7) // 8
+    planes = np.zeros((size, len(array)), "u1")
+    for k in range(used):
+        planes[k] = numbers[:, k]
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def loosened(blob: bytes, kind: str) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(blob), "u1").reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    numbers = np.zeros(planes.shape[::-1], "u1")
+    for k, plane in enumerate(planes):
+        if plane.any():
+            numbers[:, k] = plane
+    return numbers.view(kind).ravel()
 
 
 def squeezed_rising(array: np.ndarray) -> bytes:
@@ -58,15 +75,19 @@ def loosened_rising(blob: bytes) -> np.ndarray:
 
 
 def squeezed_shares(p: np.ndarray) -> bytes:
-    """Numbers above 0 to 11 digits: the 48 high bits of each."""
-    planes = np.ascontiguousarray(p, "<f8").view("u1").reshape(-1, 8).T[2:]
+    """Numbers to 10 digits: the 48 high bits of each."""
+    numbers = np.ascontiguousarray(p, "<f8").view("u1").reshape(-1, 8)
+    planes = np.empty((6, len(numbers)), "u1")
+    for k in range(6):
+        planes[k] = numbers[:, k + 2]
     return zstandard.compress(planes.tobytes(), 1)
 
 
 def loosened_shares(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(blob), "u1").reshape(6, -1)
     p = np.zeros((planes.shape[1], 8), "u1")
-    p[:, 2:] = planes.T
+    for k in range(6):
+        p[:, k + 2] = planes[k]
     return p.view("<f8").ravel()
 
 
@@ -114,48 +135,41 @@ def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = count(TaskContext.get().partitionId() << 32)
-        numbers: defaultdict = defaultdict()
         keys: list = []
         held: list[bool] = []
         lengths: list[int] = []
+        hashes: list[np.ndarray] = []
         parts: list[np.ndarray] = []
-        end = size = 0
-
-        def reset() -> None:
-            nonlocal end, size
-            size = 0
-            numbers.clear()
-            numbers.default_factory = count().__next__
-            end = numbers[b"\n"]
-            for part in (keys, held, lengths, parts):
-                part.clear()
+        size = 0
 
         def emit() -> pa.RecordBatch:
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-            order = np.argsort(hashes)
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
+            nonlocal size
+            known, place = grouped(np.concatenate(hashes))
+            cuts = np.cumsum([0, *map(len, hashes)])
+            tokens = [place[a:b][part] for a, b, part in zip(cuts, cuts[1:], parts)]
             sizes = np.array(lengths, np.int64)
             row = [
                 [next(serial)],
                 [list(keys)],
                 [list(held)],
                 [list(lengths)],
-                [squeezed(hashes[order])],
-                [squeezed(place[np.concatenate(parts)])],
+                [squeezed(known)],
+                [squeezed(np.concatenate(tokens).astype("<u4"))],
                 [int(sizes.sum())],
                 [int(sizes[~np.array(held, bool)].sum())],
             ]
-            reset()
+            size = 0
+            for part in (keys, held, lengths, hashes, parts):
+                part.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, _ENCODED.types)], schema=_ENCODED
             )
 
-        reset()
         for batch in slices(batches, "text"):
             words, n = _words(batch.column("text"))
             words = words.dictionary_encode()
             spelt = words.dictionary.cast(pa.binary()).to_pylist()
+            spelt = np.fromiter(map(xxhash.xxh64_intdigest, [*spelt, b"\n"]), np.uint64, len(spelt) + 1)
             words, ends = words.indices.to_numpy(), np.cumsum(n)
             first = 0
             for i, k in enumerate(batch.column("key").to_pylist()):
@@ -168,10 +182,11 @@ def encoded(documents: DataFrame, text: str, key: str, held_out: Column) -> Data
                 begun = ends[first] - n[first]
                 part = words[begun : ends[i]]
                 place = np.zeros(len(spelt), np.uint32)
-                place[part] = 1
+                place[part] = place[-1] = 1
                 used = np.flatnonzero(place)
-                place[used] = [numbers[spelt[w]] for w in used.tolist()]
-                parts.append(np.insert(place[part], ends[first : i + 1] - begun, np.uint32(end)))
+                place[used] = np.arange(len(used), dtype=np.uint32)
+                hashes.append(spelt[used])
+                parts.append(np.insert(place[part], ends[first : i + 1] - begun, place[-1]))
                 first = i + 1
                 if size > CHUNK_TOKENS:
                     yield emit()
@@ -301,7 +316,7 @@ _ASK_SQL = "range bigint, chunk bigint, keys binary, values binary"
 _REPLY_SQL = "range bigint, chunk bigint, values binary, different bigint"
 
 
-def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, n_ranges: int) -> pa.RecordBatch:
+def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, n_ranges: int, squeeze=squeezed) -> pa.RecordBatch:
     """Sorted keys and their values, by range of the key."""
     of = _range(keys, n_ranges)
     cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
@@ -311,17 +326,21 @@ def _ask(chunk: int, keys: np.ndarray, values: np.ndarray, n_ranges: int) -> pa.
         of[cuts],
         [chunk] * len(cuts),
         [squeezed_rising(keys[a:b]) for a, b in parts],
-        [squeezed(values[a:b]) for a, b in parts],
+        [squeeze(values[a:b]) for a, b in parts],
     )
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _ASK.types)], schema=_ASK)
 
 
-def _meet(kind: str, answer):
+def _counts(blob: bytes) -> np.ndarray:
+    return loosened(blob, "<u4")
+
+
+def _meet(loosen, answer):
     """Add up a range's values by key and answer each chunk in the order of its keys."""
 
     def run(group: pa.Table) -> pa.Table:
         keys = [loosened_rising(b) for b in group["keys"].to_pylist()]
-        values = [loosened(b, kind) for b in group["values"].to_pylist()]
+        values = [loosen(b) for b in group["values"].to_pylist()]
         known, of = grouped(np.concatenate(keys))
         total = np.bincount(of, weights=np.concatenate(values), minlength=len(known))
         reply = answer(total)
@@ -349,9 +368,13 @@ def _by_chunk(replies: DataFrame) -> DataFrame:
     )
 
 
+def _answers(batch: pa.RecordBatch, i: int) -> list[bytes]:
+    replies = batch.column("replies")[i].as_py() or []
+    return [r["values"] for r in sorted(replies, key=lambda r: r["range"])]
+
+
 def _answered(batch: pa.RecordBatch, i: int, kind: str) -> np.ndarray:
-    replies = sorted(batch.column("replies")[i].as_py() or [], key=lambda r: r["range"])
-    return np.concatenate([np.zeros(0, kind), *(loosened(r["values"], kind) for r in replies)])
+    return np.concatenate([np.zeros(0, kind), *(loosened(b, kind) for b in _answers(batch, i))])
 
 
 def _ask_words(n_ranges: int):
@@ -379,22 +402,27 @@ _STATE = pa.schema(
         ("base", pa.binary()),
         ("score", pa.binary()),
         ("alive", pa.int64()),
+        ("later_at", pa.binary()),
+        ("later_p", pa.binary()),
+        ("waiting", pa.int64()),
     ]
 )
 _STATE_SQL = (
     "chunk bigint, at binary, p binary, own binary, seen binary, rare binary, gain binary, "
-    "known binary, base binary, score binary, alive bigint"
+    "known binary, base binary, score binary, alive bigint, later_at binary, later_p binary, "
+    "waiting bigint"
 )
 
 
 class State:
     """Where a chunk stands: its tokens still open, their probability so far, the training count of the
-    level's context before each (``own``, -1: not known), and the texts' finished sums. In level 1
-    probability and count are functions of one word and kept by word.
+    level's context before each (``own``; below 0: not known, but at most -1 - own), and the texts' finished sums.
+    In level 1 probability and count are functions of one word and kept by word.
 
     ``rare`` marks tokens behind a context with too few training tokens. While a level is open,
     ``seen`` has the training counts of the tokens behind their contexts and ``gain`` the chunk's part
-    of the gain of its contexts, by hash.
+    of the gain of its contexts, by hash. ``later`` are tokens that wait for a level further on, and
+    their probability.
     """
 
     def __init__(self, batch: pa.RecordBatch, i: int, chunk: Chunk, level: int, size: int | None = None):
@@ -404,17 +432,22 @@ class State:
         self.p, self.own = self.kept_p, self.kept_own
         if level == 1:
             self.p, self.own = self.p[chunk.tokens[self.at]], self.own[chunk.tokens[self.at - 1]]
-        self.seen, self.gain = loosened(blob("seen"), "<i8"), loosened(blob("gain"), "<f8")
+        self.seen, self.gain = loosened(blob("seen"), "<i8"), loosened_shares(blob("gain"))
         bits = loosened(blob("rare"), "u1")
         self.rare = np.unpackbits(bits, count=len(chunk.tokens) if size is None else size).astype(bool)
         self.known, self.base = loosened(blob("known"), "<i8"), loosened(blob("base"), "<f8")
         self.score = loosened(blob("score"), "<f8")
+        self.later = loosened_rising(blob("later_at")).astype(np.int64), loosened_shares(blob("later_p"))
+
+
+_NOBODY = np.zeros(0, np.int64), np.zeros(0)
 
 
-def _state(chunk: Chunk, at, p, own, seen, rare, gain, known, base, score) -> pa.RecordBatch:
+def _state(chunk: Chunk, at, p, own, seen, rare, gain, known, base, score, later=_NOBODY) -> pa.RecordBatch:
     blobs = [squeezed_rising(at), squeezed_shares(p), squeezed(own.astype("<i8"))]
-    blobs += map(squeezed, (seen.astype("<i8"), np.packbits(rare), gain, known, base, score))
-    row = [chunk.id, *blobs, len(at)]
+    blobs += squeezed(seen.astype("<i8")), squeezed(np.packbits(rare)), squeezed_shares(gain)
+    blobs += map(squeezed, (known, base, score))
+    row = [chunk.id, *blobs, len(at), squeezed_rising(later[0]), squeezed_shares(later[1]), len(later[0])]
     return pa.RecordBatch.from_arrays(
         [pa.array([v], t) for v, t in zip(row, _STATE.types)], schema=_STATE
     )
@@ -509,7 +542,7 @@ def _count(level: int, least: float, prior: float):
             keys, of = _context_groups(chunk, at, level)
             gain = np.bincount(of[seen], weights=np.log(without / p[seen]), minlength=len(keys))
             kept = (state.kept_p, state.kept_own) if level == 1 else (p, own)
-            yield _state(chunk, at, *kept, n, rare, gain, state.known, state.base, score)
+            yield _state(chunk, at, *kept, n, rare, gain, state.known, state.base, score, state.later)
 
     return run
 
@@ -520,7 +553,7 @@ def _ask_gains(level: int, n_ranges: int):
             chunk = Chunk(batch, i)
             state = State(batch, i, chunk, level)
             keys = _context_groups(chunk, state.at, level)[0]
-            yield _ask(chunk.id, keys, state.gain, n_ranges)
+            yield _ask(chunk.id, keys, state.gain, n_ranges, squeezed_shares)
 
     return run
 
@@ -545,6 +578,7 @@ def _retain(level: int, last: bool, least: float, prior: float):
             after = np.where(state.rare, 0, -1)
             after[state.at] = state.seen
             own = after[state.at - 1]
+            own = np.where(own < 0, -1 - state.own, own)  # no more than those of its suffix
             inside = kept & _inside(chunk, state.at, level + 1) & (not last)
             use = inside & ((own < 0) | (own >= least))
             rare = state.rare
@@ -552,7 +586,162 @@ def _retain(level: int, last: bool, least: float, prior: float):
             score = _finish(chunk, state.score, state.at[~use], p[~use])
             yield _state(
                 chunk, state.at[use], p[use], own[use], none, rare, none,
-                state.known, state.base, score,
+                state.known, state.base, score, state.later,
+            )
+
+    return run
+
+
+_SUBTREES = pa.schema(
+    [
+        ("range", pa.int64()),
+        ("chunk", pa.int64()),
+        ("contexts", pa.binary()),
+        ("sizes", pa.binary()),
+        ("words", pa.binary()),
+        ("places", pa.binary()),
+        ("train", pa.binary()),
+        ("p", pa.binary()),
+    ]
+)
+_SUBTREES_SQL = (
+    "range bigint, chunk bigint, contexts binary, sizes binary, words binary, places binary, "
+    "train binary, p binary"
+)
+
+
+def _sent(chunk: Chunk, state: State, level: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which open tokens are sent to their context's range, in what order, and their contexts then."""
+    sent = np.where(state.own < 0, -1 - state.own, state.own) <= most
+    at = state.at[sent]
+    context = _behind(chunk.spelt, at, level)
+    order = np.lexsort((chunk.tokens[at], context))
+    return sent, order, context[order]
+
+
+def _ask_subtrees(level: int, reach: int, n_ranges: int, most: int):
+    """Tokens by range of the context: its next word, and the words before the context."""
+    backs = [0, *range(level + 1, reach + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _rows(batches):
+            chunk = Chunk(batch, i)
+            state = State(batch, i, chunk, level)
+            sent, order, context = _sent(chunk, state, level, most)
+            every, p = state.at[sent][order], state.p[sent][order]
+            of = _range(context, n_ranges)
+            cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+            rows = []
+            for a, b in zip(cuts, [*cuts[1:], len(of)]):
+                at = every[a:b]
+                before = chunk.place[at] - chunk.starts[chunk.text[at]]
+                words = np.zeros((len(backs), b - a), np.uint64)  # 0: the text begins before
+                for k, back in enumerate(backs):
+                    inside = before >= back
+                    words[k, inside] = chunk.tokens[at[inside] - back] + 1
+                used, places = grouped(np.r_[np.uint64(0), words.ravel()])
+                first = np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1]])
+                rows.append(
+                    [
+                        int(of[a]),
+                        chunk.id,
+                        squeezed_rising(context[a:b][first]),
+                        squeezed(np.diff(first, append=b - a).astype("<u4")),
+                        squeezed_rising(chunk.words[used[1:].astype(np.int64) - 1]),
+                        squeezed(places[1:].astype("<u4")),
+                        squeezed(np.packbits(chunk.train[at])),
+                        squeezed_shares(p[a:b]),
+                    ]
+                )
+            columns = zip(*rows) if rows else [[]] * len(_SUBTREES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(columns, _SUBTREES.types)], schema=_SUBTREES
+            )
+
+    return run
+
+
+def _grow_subtrees(level: int, reach: int, least: float, prior: float, least_gain: float):
+    """Grow a range's contexts from ``level`` to ``reach`` words. Answered is each token's probability,
+    below 0 if its longest context is still open."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = {name: group[name].to_pylist() for name in group.column_names}
+        words = [loosened_rising(b) for b in blobs["words"]]
+        known, number = grouped(np.concatenate(words))
+        cuts = np.cumsum([0, *map(len, words)])
+        matrices = [
+            np.r_[0, number[a:b] + 1].astype(np.int32)[loosened(m, "<u4").reshape(reach - level + 1, -1)]
+            for a, b, m in zip(cuts, cuts[1:], blobs["places"])
+        ]
+        ends = np.cumsum([0, *(m.shape[1] for m in matrices)])
+        word = np.concatenate(matrices, axis=1)
+        del matrices
+        contexts = [loosened_rising(b) for b in blobs["contexts"]]
+        of = grouped(np.concatenate(contexts))[1]
+        of = np.repeat(of, np.concatenate([loosened(b, "<u4") for b in blobs["sizes"]]))
+        train = np.concatenate(
+            [np.unpackbits(loosened(t, "u1"), count=b - a) for t, a, b in zip(blobs["train"], ends, ends[1:])]
+        ).astype(bool)
+        p = np.concatenate([loosened_shares(b) for b in blobs["p"]])
+        at, many = np.arange(len(p)), np.uint64(len(known) + 1)
+        for k in range(reach - level + 1):
+            if k:
+                before = word[k, at]
+                at, of, before = at[before > 0], of[before > 0], before[before > 0]
+                of = grouped(of.astype(np.uint64) * many + before.astype(np.uint64))[1]
+            own = np.bincount(of[train[at]], minlength=of.max(initial=-1) + 1)[of]
+            use = own >= least
+            at, of, own = at[use], of[use], own[use]
+            if len(at) == 0:
+                break
+            seen, item = train[at], grouped(of.astype(np.uint64) * many + word[0, at].astype(np.uint64))[1]
+            n = np.bincount(item[seen], minlength=item.max() + 1)[item]
+            shorter = p[at]
+            without = smoothed(n[seen] - 1, own[seen] - 1, shorter[seen], prior)
+            gain = np.bincount(of[seen], weights=np.log(without / shorter[seen]), minlength=of.max() + 1)
+            kept = (gain >= least_gain)[of]
+            p[at[kept]] = smoothed(n, own, shorter, prior)[kept]
+            at, of = at[kept], of[kept]
+        p[at] *= -1
+        return pa.table(
+            {
+                "range": group["range"],
+                "chunk": group["chunk"],
+                "values": pa.array([squeezed_shares(p[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()),
+                "different": pa.nulls(group.num_rows, pa.int64()),
+            }
+        )
+
+    return run
+
+
+def _after_subtrees(level: int, reach: int, most: int):
+    """Tokens sent are final, or wait for the level after ``reach``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _rows(batches):
+            if batch.column("alive")[i].as_py() == 0:
+                yield _unchanged(batch, i)
+                continue
+            chunk = Chunk(batch, i)
+            state = State(batch, i, chunk, level)
+            sent, order, _ = _sent(chunk, state, level, most)
+            answer = np.empty(len(order))
+            answer[order] = np.concatenate([np.zeros(0), *map(loosened_shares, _answers(batch, i))])
+            at, p = state.at[sent], np.abs(answer)
+            wait = (answer < 0) & _inside(chunk, at, reach + 1)
+            score = _finish(chunk, state.score, at[~wait], p[~wait])
+            later = np.r_[state.later[0], at[wait]]
+            rising = np.argsort(later)
+            later = later[rising], np.r_[state.later[1], p[wait]][rising]
+            seen, gain = state.seen, state.gain
+            if len(seen):
+                keys, of = _context_groups(chunk, state.at, level)
+                seen, gain = seen[~sent], gain[np.bincount(of[~sent], minlength=len(keys)) > 0]
+            yield _state(
+                chunk, state.at[~sent], state.p[~sent], state.own[~sent], seen, state.rare, gain,
+                state.known, state.base, score, later,
             )
 
     return run
@@ -572,7 +761,8 @@ _NARROWED_SQL = (
 
 
 def _narrowed(level: int, reach: int):
-    """Of a whole chunk only the open tokens and ``reach`` words before each, with the state to match.
+    """Of a whole chunk only the open tokens and ``reach`` words before each, with the state to match;
+    tokens that have waited for this level are open from now on.
 
     ``was`` is the place of the tokens that the state has been about so far, null: all."""
 
@@ -582,7 +772,10 @@ def _narrowed(level: int, reach: int):
             was = batch.column("was")[i].as_py()
             was = chunk.place if was is None else loosened_rising(was).astype(np.int64)
             state = State(batch, i, chunk, level, len(was))
-            at, size = was[state.at], len(chunk.tokens)
+            at, size = np.r_[state.at, state.later[0]], len(chunk.tokens)
+            rising = np.argsort(at)
+            at, p = was[at[rising]], np.r_[state.p, state.later[1]][rising]
+            own = np.r_[state.own, np.full(len(state.later[0]), -1 - (1 << 62))][rising]
             begin = np.maximum(at - reach, chunk.starts[chunk.text[at]])
             open_at = np.bincount(begin, minlength=size + 1) - np.bincount(at + 1, minlength=size + 1)
             inside = np.cumsum(open_at)[:size] > 0
@@ -592,7 +785,7 @@ def _narrowed(level: int, reach: int):
             used[chunk.tokens[place]] = True
             tokens = (np.cumsum(used) - 1)[chunk.tokens[place]]
             after = _state(
-                chunk, (np.cumsum(inside) - 1)[at], state.p, state.own, state.seen, rare[place],
+                chunk, (np.cumsum(inside) - 1)[at], p, own, state.seen, rare[place],
                 state.gain, state.known, state.base, state.score,
             )
             blobs = squeezed(chunk.words[used]), squeezed(tokens.astype("<u4")), squeezed_rising(place)
@@ -640,23 +833,23 @@ def _grown(
     def least_at(level: int) -> float:
         return least if share is None else max(1.0 if level == 1 else 2.0, share * tokens)
 
-    def met(asks: DataFrame, kind: str, answer) -> DataFrame:
-        return asks.groupBy("range").applyInArrow(_meet(kind, answer), _REPLY_SQL)
-
     whole = lambda total: total.astype("<i8")
-    replies = stored(met(chunks.mapInArrow(_ask_words(n_ranges), _ASK_SQL), "<u4", whole))
+    asks = chunks.mapInArrow(_ask_words(n_ranges), _ASK_SQL)
+    replies = stored(asks.groupBy("range").applyInArrow(_meet(_counts, whole), _REPLY_SQL))
     different = int(replies.agg(F.sum("different")).first()[0] or 0)
     begun = work.join(_by_chunk(replies).hint("merge"), "chunk")
     begun = begun.mapInArrow(_begin(tokens, different, least_at(1)), _STATE_SQL)
     state = _stored_by_chunk(begun, n_buckets)
     discard(replies)
-    level, open_before, reach = 1, n, None
+    level, reach = 1, None
     while longest is None or level <= longest:
-        alive = int(state.agg(F.sum("alive")).first()[0] or 0)
-        if not alive:
+        alive, waiting = (int(v or 0) for v in state.agg(F.sum("alive"), F.sum("waiting")).first())
+        if not alive and not waiting:
             break
-        if level > 1 and (NARROW_AT * alive < open_before or reach is not None and level > reach):
-            open_before, reach = alive, 2 * level
+        if not alive:
+            level = reach + 1
+        if level > 1 and (NARROW_AT * alive < n if reach is None else level > reach):
+            alive, reach = alive + waiting, level + min(level, MOST_WORDS_AHEAD)
             was = F.col("place") if "place" in work.columns else F.lit(None).cast("binary")
             both = chunks.join(state, "chunk").join(work.select("chunk", was.alias("was")), "chunk")
             both = stored(both.mapInArrow(_narrowed(level, reach), _NARROWED_SQL))
@@ -669,17 +862,25 @@ def _grown(
             )
             discard(both)
         n_ranges = max(1, 2 * alive // TOKENS_PER_RANGE)
-        for ask, kind, answer, update in (
-            (_ask_counts(level, n_ranges), "<u4", whole, _count(level, least_at(level), prior)),
-            (
-                _ask_gains(level, n_ranges),
-                "<f8",
-                lambda total: (total >= least_gain).astype("<u1"),
-                _retain(level, level == longest, least_at(level + 1), prior),
-            ),
-        ):
+        counts = _meet(_counts, whole)
+        steps = [(_ask_counts(level, n_ranges), _ASK_SQL, counts, _count(level, least_at(level), prior))]
+        if reach is not None and longest is None:
+            columns = reach - level + 1
+            most = CONTEXT_WORDS // columns
+            ask = _ask_subtrees(level, reach, max(1, alive * columns // SUBTREE_WORDS), most)
+            grow = _grow_subtrees(level, reach, least, prior, least_gain)
+            steps.append((ask, _SUBTREES_SQL, grow, _after_subtrees(level, reach, most)))
+            if not waiting:  # else nothing is known about the contexts yet
+                steps.insert(0, steps[-1])
+        gains = _meet(loosened_shares, lambda total: (total >= least_gain).astype("<u1"))
+        retain = _retain(level, level == longest, least_at(level + 1), prior)
+        steps.append((_ask_gains(level, n_ranges), _ASK_SQL, gains, retain))
+        for i, (ask, columns, meet, update) in enumerate(steps):
+            if i and not state.where("alive > 0").take(1):
+                break
             both = work.join(state.hint("merge"), "chunk")
-            replies = met(both.where("alive > 0").mapInArrow(ask, _ASK_SQL), kind, answer)
+            asks = both.where("alive > 0").mapInArrow(ask, columns)
+            replies = asks.groupBy("range").applyInArrow(meet, _REPLY_SQL)
             answers = both.join(_by_chunk(replies).hint("merge"), "chunk", "left")
             after = _stored_by_chunk(answers.mapInArrow(update, _STATE_SQL), n_buckets)
             discard(state)
