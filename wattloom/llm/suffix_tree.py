@@ -38,7 +38,7 @@ CHUNK_TOKENS = 1 << 19
 TOKENS_PER_RANGE = 2 << 20
 NARROW_AT = 5
 #: Words sent to one range of subtrees, and the most that one context may send there.
-SUBTREE_WORDS = 1 << 22
+SUBTREE_WORDS = 1 << 23
 CONTEXT_WORDS = 1 << 20
 MOST_WORDS_AHEAD = 64
 
@@ -259,7 +259,8 @@ def _stored_by_chunk(rows: DataFrame, n: int) -> DataFrame:
     name = f"stored_{path.rsplit('-', 1)[1]}"
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd') "
+        f"CREATE TABLE {name} ({columns}) USING parquet "  # the columns are compressed and differ by row
+        "OPTIONS (compression 'none', 'parquet.enable.dictionary' 'false') "
         f"CLUSTERED BY (chunk) INTO {n} BUCKETS LOCATION '{path}'"
     )
     rows.write.insertInto(name)  # an insert's shuffle files can be removed when it ends
@@ -277,7 +278,10 @@ def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _contexts(chunk: Chunk, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``level`` words before each token, and of these words with the token."""
-    h = _behind(chunk.spelt, at, level)
+    if level == 1:
+        h = _behind(chunk.words, np.arange(1, len(chunk.words) + 1), 1)[chunk.tokens[at - 1]]
+    else:
+        h = _behind(chunk.spelt, at, level)
     return h, _mixed(~h, chunk.spelt[at])
 
 
@@ -426,18 +430,57 @@ class State:
     """
 
     def __init__(self, batch: pa.RecordBatch, i: int, chunk: Chunk, level: int, size: int | None = None):
-        blob = lambda name: batch.column(name)[i].as_py()
-        self.at = loosened_rising(blob("at")).astype(np.int64)
-        self.kept_p, self.kept_own = loosened_shares(blob("p")), loosened(blob("own"), "<i8")
-        self.p, self.own = self.kept_p, self.kept_own
-        if level == 1:
-            self.p, self.own = self.p[chunk.tokens[self.at]], self.own[chunk.tokens[self.at - 1]]
-        self.seen, self.gain = loosened(blob("seen"), "<i8"), loosened_shares(blob("gain"))
-        bits = loosened(blob("rare"), "u1")
-        self.rare = np.unpackbits(bits, count=len(chunk.tokens) if size is None else size).astype(bool)
-        self.known, self.base = loosened(blob("known"), "<i8"), loosened(blob("base"), "<f8")
-        self.score = loosened(blob("score"), "<f8")
-        self.later = loosened_rising(blob("later_at")).astype(np.int64), loosened_shares(blob("later_p"))
+        self.blob = lambda name: batch.column(name)[i].as_py()
+        self.chunk, self.level, self.size = chunk, level, len(chunk.tokens) if size is None else size
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        return loosened_rising(self.blob("at")).astype(np.int64)
+
+    @cached_property
+    def kept_p(self) -> np.ndarray:
+        return loosened_shares(self.blob("p"))
+
+    @cached_property
+    def kept_own(self) -> np.ndarray:
+        return loosened(self.blob("own"), "<i8")
+
+    @cached_property
+    def p(self) -> np.ndarray:
+        return self.kept_p[self.chunk.tokens[self.at]] if self.level == 1 else self.kept_p
+
+    @cached_property
+    def own(self) -> np.ndarray:
+        return self.kept_own[self.chunk.tokens[self.at - 1]] if self.level == 1 else self.kept_own
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        return loosened(self.blob("seen"), "<i8")
+
+    @cached_property
+    def rare(self) -> np.ndarray:
+        return np.unpackbits(loosened(self.blob("rare"), "u1"), count=self.size).astype(bool)
+
+    @cached_property
+    def gain(self) -> np.ndarray:
+        return loosened_shares(self.blob("gain"))
+
+    @cached_property
+    def known(self) -> np.ndarray:
+        return loosened(self.blob("known"), "<i8")
+
+    @cached_property
+    def base(self) -> np.ndarray:
+        return loosened(self.blob("base"), "<f8")
+
+    @cached_property
+    def score(self) -> np.ndarray:
+        return loosened(self.blob("score"), "<f8")
+
+    @cached_property
+    def later(self) -> tuple[np.ndarray, np.ndarray]:
+        at = loosened_rising(self.blob("later_at")).astype(np.int64)
+        return at, loosened_shares(self.blob("later_p"))
 
 
 _NOBODY = np.zeros(0, np.int64), np.zeros(0)
@@ -834,14 +877,14 @@ def _grown(
         return least if share is None else max(1.0 if level == 1 else 2.0, share * tokens)
 
     whole = lambda total: total.astype("<i8")
-    asks = chunks.mapInArrow(_ask_words(n_ranges), _ASK_SQL)
+    asks = work.mapInArrow(_ask_words(n_ranges), _ASK_SQL)
     replies = stored(asks.groupBy("range").applyInArrow(_meet(_counts, whole), _REPLY_SQL))
     different = int(replies.agg(F.sum("different")).first()[0] or 0)
     begun = work.join(_by_chunk(replies).hint("merge"), "chunk")
     begun = begun.mapInArrow(_begin(tokens, different, least_at(1)), _STATE_SQL)
     state = _stored_by_chunk(begun, n_buckets)
     discard(replies)
-    level, reach = 1, None
+    level, reach, shared = 1, None, False  # shared: the state's table is also that of the narrowed chunks
     while longest is None or level <= longest:
         alive, waiting = (int(v or 0) for v in state.agg(F.sum("alive"), F.sum("waiting")).first())
         if not alive and not waiting:
@@ -852,39 +895,41 @@ def _grown(
             alive, reach = alive + waiting, level + min(level, MOST_WORDS_AHEAD)
             was = F.col("place") if "place" in work.columns else F.lit(None).cast("binary")
             both = chunks.join(state, "chunk").join(work.select("chunk", was.alias("was")), "chunk")
-            both = stored(both.mapInArrow(_narrowed(level, reach), _NARROWED_SQL))
+            both = _stored_by_chunk(both.mapInArrow(_narrowed(level, reach), _NARROWED_SQL), n_buckets)
             discard(state)
             if "place" in work.columns:
                 discard(work)
-            state, work = (
-                _stored_by_chunk(both.select(*names).repartition(n_buckets, "chunk"), n_buckets)
-                for names in (_STATE.names, ("chunk", "held", "lengths", "words", "tokens", "place"))
-            )
-            discard(both)
+            state = both.select(*_STATE.names)
+            work = both.select("chunk", "held", "lengths", "words", "tokens", "place")
+            shared = True
         n_ranges = max(1, 2 * alive // TOKENS_PER_RANGE)
         counts = _meet(_counts, whole)
-        steps = [(_ask_counts(level, n_ranges), _ASK_SQL, counts, _count(level, least_at(level), prior))]
+        update = _count(level, least_at(level), prior)
+        steps = [(_ask_counts(level, n_ranges), ("at", "own"), _ASK_SQL, counts, update)]
         if reach is not None and longest is None:
-            columns = reach - level + 1
-            most = CONTEXT_WORDS // columns
-            ask = _ask_subtrees(level, reach, max(1, alive * columns // SUBTREE_WORDS), most)
+            width = reach - level + 1
+            most = CONTEXT_WORDS // width
+            ask = _ask_subtrees(level, reach, 1 + alive * width // SUBTREE_WORDS, most)
             grow = _grow_subtrees(level, reach, least, prior, least_gain)
-            steps.append((ask, _SUBTREES_SQL, grow, _after_subtrees(level, reach, most)))
+            update = _after_subtrees(level, reach, most)
+            steps.append((ask, ("at", "own", "p"), _SUBTREES_SQL, grow, update))
             if not waiting:  # else nothing is known about the contexts yet
                 steps.insert(0, steps[-1])
         gains = _meet(loosened_shares, lambda total: (total >= least_gain).astype("<u1"))
         retain = _retain(level, level == longest, least_at(level + 1), prior)
-        steps.append((_ask_gains(level, n_ranges), _ASK_SQL, gains, retain))
-        for i, (ask, columns, meet, update) in enumerate(steps):
+        steps.append((_ask_gains(level, n_ranges), ("at", "gain"), _ASK_SQL, gains, retain))
+        for i, (ask, used, asked, meet, update) in enumerate(steps):
             if i and not state.where("alive > 0").take(1):
                 break
             both = work.join(state.hint("merge"), "chunk")
-            asks = both.where("alive > 0").mapInArrow(ask, columns)
+            some = both.where("alive > 0").select(*work.columns, *used)
+            asks = some.mapInArrow(ask, asked)
             replies = asks.groupBy("range").applyInArrow(meet, _REPLY_SQL)
             answers = both.join(_by_chunk(replies).hint("merge"), "chunk", "left")
             after = _stored_by_chunk(answers.mapInArrow(update, _STATE_SQL), n_buckets)
-            discard(state)
-            state = after
+            if not shared:
+                discard(state)
+            state, shared = after, False
         level += 1
     return chunks, state, tokens
 
