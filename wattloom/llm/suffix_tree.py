@@ -38,7 +38,7 @@ CHUNK_TOKENS = 1 << 19
 TOKENS_PER_RANGE = 2 << 20
 NARROW_AT = 5
 #: Words sent to one range of subtrees, and the most that one context may send there.
-SUBTREE_WORDS = 1 << 23
+SUBTREE_WORDS = 1 << 22
 CONTEXT_WORDS = 1 << 20
 MOST_WORDS_AHEAD = 64
 
@@ -712,22 +712,23 @@ def _grow_subtrees(level: int, reach: int, least: float, prior: float, least_gai
         blobs = {name: group[name].to_pylist() for name in group.column_names}
         words = [loosened_rising(b) for b in blobs["words"]]
         known, number = grouped(np.concatenate(words))
-        cuts = np.cumsum([0, *map(len, words)])
-        matrices = [
-            np.r_[0, number[a:b] + 1].astype(np.int32)[loosened(m, "<u4").reshape(reach - level + 1, -1)]
-            for a, b, m in zip(cuts, cuts[1:], blobs["places"])
-        ]
-        ends = np.cumsum([0, *(m.shape[1] for m in matrices)])
-        word = np.concatenate(matrices, axis=1)
-        del matrices
+        cuts, many = np.cumsum([0, *map(len, words)]), np.uint64(len(known) + 1)
+        sizes = [loosened(b, "<u4") for b in blobs["sizes"]]
+        ends = np.cumsum([0, *(int(n.sum()) for n in sizes)])
+        word = np.empty((reach - level + 1, ends[-1]), np.int32)
+        for i, places in enumerate(blobs.pop("places")):
+            mine = np.r_[0, number[cuts[i] : cuts[i + 1]] + 1].astype(np.int32)
+            word[:, ends[i] : ends[i + 1]] = mine[loosened(places, "<u4").reshape(len(word), -1)]
+        del words, known, number
         contexts = [loosened_rising(b) for b in blobs["contexts"]]
         of = grouped(np.concatenate(contexts))[1]
-        of = np.repeat(of, np.concatenate([loosened(b, "<u4") for b in blobs["sizes"]]))
+        of = np.repeat(of, np.concatenate(sizes))
         train = np.concatenate(
             [np.unpackbits(loosened(t, "u1"), count=b - a) for t, a, b in zip(blobs["train"], ends, ends[1:])]
         ).astype(bool)
         p = np.concatenate([loosened_shares(b) for b in blobs["p"]])
-        at, many = np.arange(len(p)), np.uint64(len(known) + 1)
+        at = np.arange(len(p))
+        del blobs, contexts, sizes
         for k in range(reach - level + 1):
             if k:
                 before = word[k, at]
