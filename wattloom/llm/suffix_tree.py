@@ -38,8 +38,8 @@ CHUNK_TOKENS = 1 << 19
 TOKENS_PER_RANGE = 2 << 20
 NARROW_AT = 5
 #: Words sent to one range of subtrees, and the most that one context may send there.
-SUBTREE_WORDS = 1 << 22
-CONTEXT_WORDS = 1 << 20
+SUBTREE_WORDS = 1 << 21
+CONTEXT_WORDS = 1 << 19
 MOST_WORDS_AHEAD = 64
 
 
